@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,20 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch |
                 yield out
 
     return df.mapInArrow(each, schema)
+
+
+def worker_kept(key, make: Callable):
+    """What make() returns, kept by the worker process for its later tasks; for caches of bounded size only."""
+    kept = sys.__dict__.setdefault("_spanspark_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def shared(sc: SparkContext, value) -> Broadcast:
+    """A broadcast of a value whose class executors need not have installed; read it with unshared()."""
+    return sc.broadcast(cloudpickle.dumps(value))
+
+
+def unshared(sent: Broadcast):
+    return cloudpickle.loads(sent.value)

@@ -30,15 +30,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and cuts its lineage there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (a test) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which a cluster shares; only a session without one (a test) gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanspark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

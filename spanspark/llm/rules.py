@@ -78,25 +78,25 @@ def share(characters: str, t: str = "whole") -> str:
     return f"(length({t}) - length(regexp_replace({t}, '{characters}', ''))) / greatest(1, length(translate({t}, '{BLANK_CHARS}', '')))"
 
 
-def base_rules(measured: bool) -> dict[str, Column]:
+def base_rules(measured: bool, t: str = "whole") -> dict[str, Column]:
     """The two base rules, over measured columns or over the text."""
-    words = F.col("n_words") if measured else n_words()
-    repeats = F.col("n_repeat_words") if measured else n_repeat_words()
+    words = F.col("n_words") if measured else n_words(t)
+    repeats = F.col("n_repeat_words") if measured else n_repeat_words(t)
     return {"too_few_words": words < MIN_WORDS, "repetitive": 100 * repeats > REPEAT_PERCENT * words}
 
 
-def added_rules(measured: bool) -> dict[str, Column]:
+def added_rules(measured: bool, t: str = "whole") -> dict[str, Column]:
     """Rules beyond the base; each leaves ordinary prose far from its threshold."""
-    words = F.col("n_words") if measured else n_words()
-    chars = F.col("word_chars") if measured else word_chars()
-    symbols = F.col("n_symbols") if measured else n_symbols()
-    lines = F.col("n_dup_lines") if measured else n_dup_lines()
+    words = F.col("n_words") if measured else n_words(t)
+    chars = F.col("word_chars") if measured else word_chars(t)
+    symbols = F.col("n_symbols") if measured else n_symbols(t)
+    lines = F.col("n_dup_lines") if measured else n_dup_lines(t)
     return {
         "symbols": 100 * symbols > 8 * chars,
-        "shouting": F.expr(share(r"[^\\p{Lu}]+") + " < 0.6"),
+        "shouting": F.expr(share(r"[^\\p{Lu}]+", t) + " < 0.6"),
         "word_length": (chars < 2 * words) | (chars > 14 * words),
-        "repeated_lines": 2 * lines > F.expr("size(split(whole, '\\n'))"),
-        "exclaiming": F.expr(f"length(whole) - length(replace(whole, '!', ''))") * 4 > words,
+        "repeated_lines": 2 * lines > F.expr(rf"size(split({t}, '\n'))"),
+        "exclaiming": F.expr(f"length({t}) - length(replace({t}, '!', ''))") * 4 > words,
     }
 
 
@@ -125,12 +125,15 @@ def cascade(rules: dict[str, Column], order: Sequence[str]) -> Column:
     return found
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with rejected_by (null: kept); only what a text's verdict needs is computed for it."""
-    whole = docs.withColumn("whole", text_of(text))
-    rules = base_rules(False) | added_rules(False)
-    order = cascade_order(whole, rules)
-    return whole.withColumn("rejected_by", cascade(rules, order)).drop("whole")
+def verdict(docs: DataFrame, text: str = "text") -> Column:
+    """For rows of docs the first rule that rejects the text, null if it is kept; no measure is computed in vain.
+
+    The rules read the text through a column of their own scope, so no column of docs can clash with them.
+    """
+    whole = docs.select(text_of(text).alias("whole"))
+    order = cascade_order(whole, base_rules(False) | added_rules(False))
+    own = f"coalesce(cast(`{text}` as string), '')"
+    return cascade(base_rules(False, own) | added_rules(False, own), order)
 
 
 def measure(docs: DataFrame) -> DataFrame:

@@ -25,11 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that a document with a smaller id holds too."""
-    kept = linedup.with_kept_text(linedup.keep_bitmaps(docs, carry=docs.columns))
-    out = {c: F.col(c) for c in docs.columns}
-    if "n_chars" in out:
-        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return kept.select(*out.values())
+    others = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for c, x in others.items()))
+    kept = linedup.with_kept_text(linedup.keep_bitmaps(own, carry=("text", *others.values())))
+    if "n_chars" in others:
+        kept = kept.withColumn(others["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

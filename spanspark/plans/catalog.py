@@ -1,6 +1,8 @@
-"""Registered queries and their DuckDB equivalents."""
+"""All registered queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spanspark.plans import sequences, texts
+from spanspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "sequences", "texts"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanspark.plans import sequences, texts
+from spanspark.plans import detection, files, relations, sequences, texts
 from spanspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "sequences", "texts"]
+__all__ = ["ORACLES", "QUERIES", "detection", "files", "relations", "sequences", "texts"]

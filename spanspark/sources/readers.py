@@ -156,7 +156,7 @@ def interactive(spark: SparkSession, text: str | None = None, path: str | None =
     """(sid, text): a given text before a file before a fallback, one row per non-empty line."""
     if text is None and path is not None:
         return trimmed_lines(spark, path).select(F.col("n").cast("bigint").alias("sid"), F.col("line").alias("text"))
-    kept = [x.strip() for x in (text if text is not None else fallback).splitlines() if x.strip()]
-    return spark.createDataFrame(list(enumerate(kept)), "sid bigint, text string")
+    given = (text if text is not None else fallback).splitlines()
+    return spark.createDataFrame([(n, x.strip()) for n, x in enumerate(given) if x.strip()], "sid bigint, text string")
 
 

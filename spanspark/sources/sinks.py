@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from spanspark.operators.bio import assemble, encode
 from spanspark.sources.readers import CSV
 
+#: The readers' dialect for writing: an empty text is a quoted nothing, so it isn't taken for a null.
+CSV_OUT = {k: v for k, v in CSV.items() if k != "multiLine"} | {"emptyValue": '""'}
+
 
 def tagged_table(tags: DataFrame, path: str) -> None:
-    tags.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"}, sep="\t").csv(path)
+    tags.write.mode("overwrite").options(**CSV_OUT, sep="\t").csv(path)
 
 
 def append_split(tags: DataFrame, path: str, split: str = "train_llm") -> None:
@@ -51,7 +54,7 @@ def metrics_json(metrics: DataFrame, path: str) -> None:
 
 
 def samples_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
+    rows.write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
 def markdown(metrics: DataFrame, title: str, limit: int = 1000) -> str:

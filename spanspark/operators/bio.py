@@ -6,29 +6,40 @@ Spans are [s, e).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spanspark.functions import text as T
 
 B, I, O = "B-MATH", "I-MATH", "O"  # noqa: E741
-ORDER = Window.partitionBy("sid").orderBy("i")
-BEFORE, TO_HERE = ORDER.rowsBetween(Window.unboundedPreceding, -1), ORDER.rowsBetween(Window.unboundedPreceding, 0)
 MAX_GAP = 2
 
 
+def order() -> WindowSpec:
+    """The one window of sequences; made on call, as a window needs a running session."""
+    return Window.partitionBy("sid").orderBy("i")
+
+
+def before() -> WindowSpec:
+    return order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def to_here() -> WindowSpec:
+    return order().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def mask_to_bio(tokens: DataFrame, bit: str = "bit") -> DataFrame:
-    before = F.lag(bit).over(ORDER)
-    return tokens.withColumn("tag", F.when(F.col(bit) == 0, O).when(F.coalesce(before, F.lit(0)) == 0, B).otherwise(I))
+    last = F.lag(bit).over(order())
+    return tokens.withColumn("tag", F.when(F.col(bit) == 0, O).when(F.coalesce(last, F.lit(0)) == 0, B).otherwise(I))
 
 
 def gap_spans(tokens: DataFrame, max_gap: int = MAX_GAP, flag: str = "math") -> DataFrame:
     """(sid, s, e): flagged tokens joined over at most max_gap others, none of which ends a sentence."""
     breaks = F.col("tok").rlike(T.SENTENCE_BREAK).cast("int")
-    seen = tokens.withColumn("own", breaks).withColumn("broken", F.sum("own").over(TO_HERE))
-    last = seen.withColumn("p", F.last(F.when(F.col(flag), F.col("i")), ignorenulls=True).over(BEFORE)).withColumn("pb", F.last(F.when(F.col(flag), F.col("broken")), ignorenulls=True).over(BEFORE))
+    seen = tokens.withColumn("own", breaks).withColumn("broken", F.sum("own").over(to_here()))
+    last = seen.withColumn("p", F.last(F.when(F.col(flag), F.col("i")), ignorenulls=True).over(before())).withColumn("pb", F.last(F.when(F.col(flag), F.col("broken")), ignorenulls=True).over(before()))
     new = F.col("p").isNull() | (F.col("i") - F.col("p") - 1 > max_gap) | (F.col("broken") - F.col("own") - F.col("pb") > 0)
-    runs = last.where(F.col(flag)).withColumn("k", F.sum(new.cast("int")).over(TO_HERE))
+    runs = last.where(F.col(flag)).withColumn("k", F.sum(new.cast("int")).over(to_here()))
     return runs.groupBy("sid", "k").agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e")).drop("k")
 
 
@@ -36,9 +47,9 @@ def gap_merge(tokens: DataFrame, max_gap: int = MAX_GAP, flag: str = "math") ->
     """tokens with tag: the same islands, painted over their whole hull with windows only."""
     breaks = F.col("tok").rlike(T.SENTENCE_BREAK).cast("int")
     at = F.when(F.col(flag), F.col("i"))
-    after = ORDER.rowsBetween(0, Window.unboundedFollowing)
-    x = tokens.withColumn("own", breaks).withColumn("broken", F.sum("own").over(TO_HERE))
-    x = x.withColumn("p", F.last(at, ignorenulls=True).over(BEFORE)).withColumn("pb", F.last(F.when(F.col(flag), F.col("broken")), ignorenulls=True).over(BEFORE))
+    after = order().rowsBetween(0, Window.unboundedFollowing)
+    x = tokens.withColumn("own", breaks).withColumn("broken", F.sum("own").over(to_here()))
+    x = x.withColumn("p", F.last(at, ignorenulls=True).over(before())).withColumn("pb", F.last(F.when(F.col(flag), F.col("broken")), ignorenulls=True).over(before()))
     x = x.withColumn("n", F.first(at, ignorenulls=True).over(after)).withColumn("nb", F.first(F.when(F.col(flag), F.col("broken") - F.col("own")), ignorenulls=True).over(after))
     joined = F.col("p").isNotNull() & F.col("n").isNotNull() & (F.col("n") - F.col("p") - 1 <= max_gap) & (F.col("nb") - F.col("pb") <= 0)
     tag = F.when(F.col(flag), F.when(joined, I).otherwise(B)).otherwise(F.when(joined, I).otherwise(O))
@@ -46,29 +57,29 @@ def gap_merge(tokens: DataFrame, max_gap: int = MAX_GAP, flag: str = "math") ->
 
 
 def starts(lenient: bool) -> Column:
-    before = F.lag("tag").over(ORDER)
+    last = F.lag("tag").over(order())
     opened = F.col("tag") == B
-    return opened | ((F.col("tag") == I) & (before.isNull() | (before == O))) if lenient else opened
+    return opened | ((F.col("tag") == I) & (last.isNull() | (last == O))) if lenient else opened
 
 
 def spans(tags: DataFrame, lenient: bool = False) -> DataFrame:
     """(sid, s, e) of tagged runs; an I without a B before it is ignored, or opens a span if lenient."""
-    x = tags.withColumn("st", starts(lenient)).withColumn("k", F.sum((F.col("st") | (F.col("tag") == O)).cast("int")).over(TO_HERE))
+    x = tags.withColumn("st", starts(lenient)).withColumn("k", F.sum((F.col("st") | (F.col("tag") == O)).cast("int")).over(to_here()))
     runs = x.where(F.col("tag") != O).groupBy("sid", "k").agg(F.min_by("st", "i").alias("st"), F.min("i").alias("s"), (F.max("i") + 1).alias("e"))
     return runs.where("st").select("sid", "s", "e")
 
 
 def violations(tags: DataFrame, at_start: bool = True) -> DataFrame:
     """(sid, i): an I after an O, or at a sentence's start."""
-    before = F.lag("tag").over(ORDER)
-    bad = (F.col("tag") == I) & (F.coalesce(before, F.lit(O if at_start else B)) == O)
+    last = F.lag("tag").over(order())
+    bad = (F.col("tag") == I) & (F.coalesce(last, F.lit(O if at_start else B)) == O)
     return tags.withColumn("bad", bad).where("bad").select("sid", "i")
 
 
 def punct_outside(tags: DataFrame) -> DataFrame:
     """Punctuation becomes O; the next I that loses its opener to it becomes B."""
     p = F.col("tok").rlike(T.PUNCT_OUTSIDE)
-    x = tags.withColumn("p", p).withColumn("np", F.coalesce(F.sum((~F.col("p")).cast("int")).over(BEFORE), F.lit(0)))
+    x = tags.withColumn("p", p).withColumn("np", F.coalesce(F.sum((~F.col("p")).cast("int")).over(before()), F.lit(0)))
     run = Window.partitionBy("sid", "np").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("lost", F.coalesce(F.max(F.col("p") & (F.col("tag") != O)).over(run), F.lit(False)))
     return x.withColumn("tag", F.when(F.col("p"), O).when((F.col("tag") == I) & F.col("lost"), B).otherwise(F.col("tag"))).drop("p", "np", "lost")
@@ -81,13 +92,13 @@ def context(tokens: DataFrame, columns: tuple[str, ...], offsets: tuple[int, ...
     for k in offsets:
         for c in columns:
             beyond = False if kinds[c] == "boolean" else ("BOS" if k < 0 else "EOS")
-            out = out.withColumn(f"{c}_{'m' if k < 0 else 'p'}{abs(k)}", (F.lag if k < 0 else F.lead)(c, abs(k), beyond).over(ORDER))
+            out = out.withColumn(f"{c}_{'m' if k < 0 else 'p'}{abs(k)}", (F.lag if k < 0 else F.lead)(c, abs(k), beyond).over(order()))
     return out
 
 
 def edges(tokens: DataFrame) -> DataFrame:
     whole = Window.partitionBy("sid")
-    return tokens.withColumn("bos", F.row_number().over(ORDER) == 1).withColumn("eos", F.row_number().over(ORDER) == F.count(F.lit(1)).over(whole))
+    return tokens.withColumn("bos", F.row_number().over(order()) == 1).withColumn("eos", F.row_number().over(order()) == F.count(F.lit(1)).over(whole))
 
 
 def assemble(tags: DataFrame, *columns: str) -> DataFrame:

@@ -114,14 +114,14 @@ SENT_NO = "coalesce(sum(regexp_matches(tok, '[.!?;]')::INT) OVER (" + RUN + " 1
 
 @query("w11_reindex_by_sentence", f"WITH n AS (SELECT *, {SENT_NO} AS sent_no FROM tok) SELECT sid, i::BIGINT AS i, sent_no::BIGINT AS sent_no, (row_number() OVER (PARTITION BY sid, sent_no ORDER BY i) - 1)::BIGINT AS j FROM n")
 def w11(spark, sf):
-    x = tokens(spark, sf).withColumn("sent_no", F.coalesce(F.sum(F.col("tok").rlike(T.SENTENCE_BREAK).cast("int")).over(bio.BEFORE), F.lit(0)))
+    x = tokens(spark, sf).withColumn("sent_no", F.coalesce(F.sum(F.col("tok").rlike(T.SENTENCE_BREAK).cast("int")).over(bio.before()), F.lit(0)))
     return x.withColumn("j", F.row_number().over(Window.partitionBy("sid", "sent_no").orderBy("i")) - 1).select("sid", *long("i", "sent_no", "j"))
 
 
 @query("w12_mask_index", SPLIT_MARKS + f" SELECT sid, i::BIGINT AS i, CASE WHEN NOT p THEN (sum((NOT p)::INT) OVER ({RUN} CURRENT ROW) - 1)::BIGINT END AS mask_index FROM (SELECT *, regexp_matches(tok, '^[.,;!?]+$') AS p FROM tagged)")
 def w12(spark, sf):
     x = marked(spark, sf).withColumn("p", F.col("tok").rlike(T.PUNCT_OUTSIDE))
-    return x.select("sid", *long("i"), F.when(~F.col("p"), F.sum((~F.col("p")).cast("int")).over(bio.TO_HERE) - 1).cast("bigint").alias("mask_index"))
+    return x.select("sid", *long("i"), F.when(~F.col("p"), F.sum((~F.col("p")).cast("int")).over(bio.to_here()) - 1).cast("bigint").alias("mask_index"))
 
 
 NORMAL = r"translate(replace(lower(trim({t})), 'ё', 'е'), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~«»„“”…—–', '')".replace('\\"', '"')

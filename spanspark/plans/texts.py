@@ -278,13 +278,13 @@ def f18(spark, sf):
 
 @query("f19_char_spans", "SELECT sid, i::BIGINT AS i, (sum(length(tok) + 1) OVER (PARTITION BY sid ORDER BY i) - length(tok) - 1)::BIGINT AS start_char, (sum(length(tok) + 1) OVER (PARTITION BY sid ORDER BY i) - 1)::BIGINT AS end_char FROM tok")
 def f19(spark, sf):
-    end = F.sum(F.length("tok") + 1).over(bio.TO_HERE) - 1
+    end = F.sum(F.length("tok") + 1).over(bio.to_here()) - 1
     return tokens(spark, sf).select("sid", *long("i"), (end - F.length("tok")).cast("bigint").alias("start_char"), end.cast("bigint").alias("end_char"))
 
 
 @query("f20_token_bound_regex", "WITH g AS (SELECT sid, i AS s, w || ' ' || lead(w) OVER (PARTITION BY sid ORDER BY i) AS g FROM clean) SELECT sid, s::BIGINT AS s, (s + 2)::BIGINT AS e FROM g WHERE regexp_full_match(g, 'is (to|a)|of (the|a)')")
 def f20(spark, sf):
-    g = flagged(spark, sf).withColumn("g", F.concat("w", F.lit(" "), F.lead("w").over(bio.ORDER)))
+    g = flagged(spark, sf).withColumn("g", F.concat("w", F.lit(" "), F.lead("w").over(bio.order())))
     return g.where(F.col("g").rlike("^(is (to|a)|of (the|a))$")).select("sid", F.col("i").cast("bigint").alias("s"), (F.col("i") + 2).cast("bigint").alias("e"))
 
 

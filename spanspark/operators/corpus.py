@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanspark.operators.bio import B, O, spans
+from spanspark.storage import with_ordinals
 
 SPLITS = ("test", "val", "train_clean", "train_noisy", "train_llm")
 # Token-length buckets (from, to, weight).
@@ -66,7 +69,7 @@ def split_conflicts(tags: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, prefix: str, order: str, keep: Column | None = None) -> DataFrame:
     """rows with id prefix_0000 in order; with keep the rejected rows take no number."""
     own = rows if keep is None else rows.where(keep)
-    return own.withColumn("id", F.format_string(f"{prefix}_%04d", F.row_number().over(Window.orderBy(order)) - 1))
+    return with_ordinals(own, order).withColumn("id", F.format_string(f"{prefix}_%04d", "ordinal")).drop("ordinal")
 
 
 def length_bucket(n: Column) -> Column:
@@ -123,3 +126,27 @@ def carried(fillers: DataFrame, carriers: list[tuple[str, ...]], total: int, n_f
     table = spark.createDataFrame(rows, "first int, count int, prefix string, suffix string").where("count > 0")
     each = table.select("prefix", "suffix", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("n"))
     return each.withColumn("ord", F.pmod(F.col("n") * 7 + 3, F.lit(n_fillers)).cast("bigint")).join(F.broadcast(fillers), "ord").select("n", "prefix", "text", "suffix")
+
+
+def retry_with_fewer(make: Callable[[int], DataFrame], fits: Column, variants: Sequence[int], most_skipped: int) -> tuple[int, DataFrame, int]:
+    """(variants, kept, skipped): the first number of variants at which at most most_skipped rows don't fit, else the last."""
+    for n in variants:
+        rows = make(n)
+        skipped = rows.where(~fits).count()
+        if skipped <= most_skipped:
+            break
+    return n, rows.where(fits), skipped
+
+
+def backoff(call: Callable[[str], str], prompt: str, tries: int = 5, first_wait: float = 5.0, wait: Callable[[float], None] | None = None) -> str:
+    """A generator's answer; after a refusal for its rate (RuntimeError) it is asked again, waiting twice as long each time."""
+    import time
+
+    for k in range(tries):
+        try:
+            return call(prompt)
+        except RuntimeError:
+            if k == tries - 1:
+                raise
+            (wait or time.sleep)(first_wait * 2**k)
+    raise ValueError("no tries")

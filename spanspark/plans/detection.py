@@ -117,6 +117,44 @@ def h12_dependency(spark, sf):
     return dependency.detect(parsed(spark, sf), [x[:5] for x in LEXICON]).select("sid", *long("pos"), "tok", "deprel", "tag")
 
 
+def expanded(spark, sf, *columns):
+    return dependency.expansions(parsed(spark, sf), [x[:5] for x in LEXICON]).select("sid", *long("s", "e"), "id", *long(*columns))
+
+
+@query("h4_math_head_climb")
+def h4(spark, sf):
+    return expanded(spark, sf, "head", "subtree")
+
+
+@query("h5_relation_expansion")
+def h5(spark, sf):
+    return expanded(spark, sf, "head", "relation")
+
+
+@query("h6_anchored_expansion")
+def h6(spark, sf):
+    return expanded(spark, sf, "expanded")
+
+
+@query("m4_parser_plug_in", "SELECT sid, count(*)::BIGINT AS n FROM tok GROUP BY sid")
+def m4(spark, sf):
+    def parser():
+        return lambda text: [(t, t.lower(), "NOUN", None if k == 0 else k - 1, "dep", 0) for k, t in enumerate(text.split())]
+
+    return dependency.parse_texts(sentences(spark, sf).select("sid", "text"), parser).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g6_fewer_variants", "SELECT 1::BIGINT AS variants, count(*) FILTER (len(toks) > 60)::BIGINT AS skipped FROM arr")
+def g6(spark, sf):
+    """With three variants of each sentence too many exceed the limit, so one is made."""
+    def make(variants):
+        s = sentences(spark, sf).select("sid", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n"))
+        return s.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants))))
+
+    variants, kept, skipped = corpus.retry_with_fewer(make, F.col("n") <= 60, (3, 1), 0)
+    return spark.createDataFrame([(variants, skipped)], "variants bigint, skipped bigint")
+
+
 @query("h3_subtree_sizes", """WITH nodes AS (SELECT sid, i, CASE WHEN i % 5 = 0 THEN NULL ELSE i - 1 - i % 2 END AS head FROM tok WHERE i < 40),
 a1 AS (SELECT sid, i AS node, i AS top FROM nodes), a2 AS (SELECT n.sid, n.i AS node, n.head AS top FROM nodes n WHERE head >= 0),
 a3 AS (SELECT a.sid, a.node, n.head AS top FROM a2 a JOIN nodes n ON n.sid = a.sid AND n.i = a.top WHERE n.head >= 0),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +11,10 @@ from spanspark.plans.registry import LEXICON, flagged, gold, long, pred, query,
 from spanspark.plans.relations import SIDE_SQL, SPLIT3, side, split3
 from spanspark.plans.texts import BLOCK_SQL, REASON, TAGGED_SQL, blocks, tagged_lines
 from spanspark.sources import readers, sinks
+from spanspark.storage import scratch
 from spanspark.streaming import append_log
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that a cluster shares (spark.checkpoint.dir); a session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanspark-"))
-    return f"{sc.getCheckpointDir()}/files/{name}-{uuid.uuid4().hex}"
-
-
 def text_file(df, path: str, column: str = "line") -> str:
     """One file with the rows in order of n."""
     df.coalesce(1).sortWithinPartitions("n").select(F.col(column).alias("value")).write.text(path)

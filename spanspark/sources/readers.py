@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanspark.functions import text as T
+from spanspark.storage import with_ordinals
 
 BIO_SCHEMA = "sid string, i int, tok string, tag string, source string, split string"
 TAGS, SPLITS = ("O", "B-MATH", "I-MATH"), ("test", "val", "train_clean", "train_noisy", "train_llm")
@@ -59,7 +60,7 @@ def pronunciations(spark: SparkSession, path: str) -> DataFrame:
 def mask_table(spark: SparkSession, path: str) -> DataFrame:
     """(n, sentence, mask) in file order."""
     rows = delimited(spark, path, "sentence string, mask string", ",")
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).select("n", "sentence", "mask")
+    return with_ordinals(rows, name="n").select("n", "sentence", "mask")
 
 
 def webanno(spark: SparkSession, path: str, by_prefix: bool = False) -> DataFrame:

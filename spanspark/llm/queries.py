@@ -67,7 +67,62 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_token_counts, op4_html_extraction, op5_quality_rules, op6_quality_classifier, op7_benchmark_decontamination, op8_chat_formatting, op9_line_dedup, op10_near_dedup)}
 
+#: SQL's own words for a lower-case text's words and for the rules' measures.
+LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPLIT = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _spans(kind: int) -> str:
+    pattern, least = secrets.RULES[kind][1].replace("'", "''"), secrets.RULES[kind][2]
+    return f"SELECT doc_id, {kind} AS kind, {least} AS least, string_split_regex(t, '{pattern}') AS b, regexp_extract_all(t, '{pattern}') AS h, regexp_extract_all(t, '{pattern}', {2 if least else 0}) AS m FROM d WHERE regexp_matches(t, '{pattern}')"
+
+
+_JOINED = "coalesce(string_agg(['" + "', '".join(k for k, _, _ in secrets.RULES) + "'][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY s, kind){}, '')"
+
 ORACLE_SQL = {
+    "op1_secret_scans": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join(map(_spans, range(len(secrets.RULES))))}),
+e AS (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM x),
+sp AS (SELECT doc_id, kind, list_sum(list_transform(b[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda y: length(y))), 0) AS s, length(h[k]) AS n FROM e WHERE length(m[k]) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 0)::BIGINT AS n_assign, count(*) FILTER (kind = 1)::BIGINT AS n_access, count(*) FILTER (kind = 2)::BIGINT AS n_hex,
+       sha256({_JOINED.format(" FILTER (kind < 3)")}) AS base_sha256, {_JOINED.format(" FILTER (kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN sp USING (doc_id) GROUP BY d.doc_id""",
+    "op5_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {SPLIT.format(t="coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM win),
+cov AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(translate(t, {BLANKS_SQL}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
+  (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest(string_split(t, chr(10))) AS x) WHERE regexp_matches(x, '[^ 	-]'))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 8 * word_chars OR (length(t) - length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))) / greatest(1, word_chars)::DOUBLE < 0.6 OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+    OR 2 * n_dup_lines > len(string_split(t, chr(10))) OR (length(t) - length(replace(t, '!', ''))) * 4 > n_words) AS kept
+FROM f""",
+    "op8_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+  length('<|im_start|>' || replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '
+') || chr(10) || replace(replace(text, '', '\'), '<|', '<\|') || '<|im_end|>' || chr(10)) AS size FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS chars, max(k) OVER (PARTITION BY conv_id) AS last FROM o)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) FILTER (role = 'assistant' OR k = last)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op10_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPLIT.format(t=LOWER.format(t="coalesce(text, '')"))} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM d WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 75 * (na.n + nb.n - x)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b)::BIGINT AS component_id, d.doc_id = min(r.b) AS kept
+FROM d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
     "op9_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(list_zip(ls, range(len(ls)))) AS x, len(ls) AS n_lines

@@ -312,3 +312,67 @@ def test_empty_tables(spark):
     assert bio.spans(empty).count() == 0
     assert evaluate.span_scores(empty, empty).first().f1 == 0.0
     assert bio.gap_spans(empty.withColumn("math", F.lit(True))).count() == 0
+
+
+def test_greedy_choice_equals_a_loop(spark):
+    rng = random.Random(11)
+    vocab = ["a", "b", "c", "d"]
+    roles = ["RELATION", "OBJECT", "BOUNDARY", "DISCOURSE_START", "VARIABLE"]
+    entries = [(k, f"e{k}", " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 3))), rng.choice(roles), rng.choice(["phrase", "exact"])) for k in range(14)]
+    sents = [[rng.choice([*vocab, "x"]) for _ in range(rng.randint(1, 14))] for _ in range(30)]
+    expected = []
+    for sid, toks in enumerate(sents):
+        taken = {True: set(), False: set()}
+        for _, ident, pattern, role, _ in sorted(entries, key=lambda x: (-len(x[2].split()), x[0])):
+            parts, mine = pattern.split(), taken[role in lexicon.BOUNDARY_ROLES]
+            for s in range(len(toks) - len(parts) + 1):
+                if toks[s : s + len(parts)] == parts and not mine & set(range(s, s + len(parts))):
+                    mine |= set(range(s, s + len(parts)))
+                    expected.append((sid, s, s + len(parts), ident))
+    words = spark.createDataFrame([(sid, i, t) for sid, s in enumerate(sents) for i, t in enumerate(s)], "sid bigint, i int, tok string")
+    lex = spark.createDataFrame([(*e, "high") for e in entries], LEX)
+    assert sorted((r.sid, r.s, r.e, r.id) for r in lexicon.resolve(lexicon.candidates(words, lex, 3)).collect()) == sorted(expected)
+
+
+def test_mask_fit_is_the_best_of_all_gluings():
+    from itertools import combinations
+
+    rng = random.Random(12)
+    words, zero = frozenset({"икс", "плюс"}), frozenset({"и"})
+    for _ in range(200):
+        toks = [rng.choice(["икс", ",", "плюс", "2", "y", "да", ".", "и"]) for _ in range(rng.randint(2, 7))]
+        mask = "".join(rng.choice("01") for _ in range(rng.randint(1, len(toks) - 1)))
+        free = [k for k in range(1, len(toks)) if align.gluable(toks[k - 1], toks[k])]
+
+        def score(glued, toks=toks, mask=mask):
+            total, j = 0, 0
+            for k, t in enumerate(toks):
+                if k in glued:
+                    if align.PUNCT.match(t) and j:
+                        total += -8 if mask[j - 1] == "1" else 1
+                else:
+                    s = align.likeness(t, words, zero)
+                    total += s if mask[j] == "1" else -s if s > 2 else 0
+                    j += 1
+            return total
+
+        best = max((score(set(g)) for g in combinations(free, len(toks) - len(mask))), default=None)
+        got = align.fit_mask(toks, mask, words, zero)
+        assert (got is None) == (best is None)
+        if got:
+            assert len(got) == len(mask) and "".join(got) == "".join(toks)
+            ends, at = set(), 0
+            for g in got:
+                ends.add(at)
+                while g:
+                    g = g[len(toks[at]) :]
+                    at += 1
+            assert score({k for k in range(len(toks)) if k not in ends}) == best
+
+
+def test_ordinals_run_on_over_partitions(spark):
+    from spanspark.storage import with_ordinals
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(9)
+    assert [r.ordinal for r in with_ordinals(df, "k").orderBy("k").collect()] == list(range(1000))
+    assert sorted(r.ordinal for r in with_ordinals(df).collect()) == list(range(1000))

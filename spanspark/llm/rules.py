@@ -3,6 +3,7 @@
 A rule is a named condition that rejects a text. Cost (seconds) and selectivity (share rejected) of each rule are
 estimated on a sample; the rules then stand in one CASE expression in the order of rejections per cost, so a text that
 a cheap rule rejects never reaches a dear one. The order changes the speed only: a text is kept if no rule rejects it.
+A text is split into words once: what several rules need is bound to a lambda's variable, which no optimiser copies.
 
 Defined results: null text has no words; repeated rows and null ids give one row each; an empty table gives no rows and
 the rules keep their listed order; other columns pass through.
@@ -18,131 +19,96 @@ from pyspark.sql import functions as F
 
 from spanspark.llm.common import text_of
 
-SAMPLE_ROWS = 2000
-MIN_WORDS, REPEAT_PERCENT = 50, 50
+#: Rows that the estimates look at, and the longest text among them; verdicts never depend on either.
+SAMPLE_ROWS, SAMPLE_BYTES = 200, 20_000
 BLANK_CHARS = " \\t\\n\\u000b\\u000c\\r"
 SYMBOLS = "#*$%&|<>"
 #: Windows are hashed to 64 bits; up to so many words a hash and a place fit one sortable long.
 PACKED_WORDS = 1 << 20
 
+#: SQL over a text {t}, or over its words {ws}.
 WORDS = r"filter(split({t}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+WORD_CHARS = f"length(translate({{t}}, '{BLANK_CHARS}', ''))"
+N_SYMBOLS = f"(length({{t}}) - length(translate({{t}}, '{SYMBOLS}', '')))"
+#: Lines with a word that equal an earlier line.
+N_DUP_LINES = r"transform(array(filter(split({t}, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')), ls -> size(ls) - size(array_distinct(ls)))[0]"
 
 
-def n_words(t: str = "whole") -> Column:
-    return F.expr(f"cast(size({WORDS.format(t=t)}) as bigint)")
-
-
-def word_chars(t: str = "whole") -> Column:
-    return F.expr(f"cast(length(translate({t}, '{BLANK_CHARS}', '')) as bigint)")
-
-
-def n_symbols(t: str = "whole") -> Column:
-    return F.expr(f"cast(length({t}) - length(translate({t}, '{SYMBOLS}', '')) as bigint)")
-
-
-def n_dup_lines(t: str = "whole") -> Column:
-    """Lines with a word that equal an earlier line."""
-    return F.expr(rf"cast(transform(array(filter(split({t}, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')), ls -> size(ls) - size(array_distinct(ls)))[0] as bigint)")
-
-
-def n_repeat_words(t: str = "whole") -> Column:
-    """Words inside a three-word window that the text holds twice or more.
+def repeat_words(ws: str) -> str:
+    """SQL: words inside a three-word window that the words ws hold twice or more.
 
     Hashes of all windows are sorted together with their places; equal neighbours are the repeated windows, and the
     distinct places they cover are counted. Linear in the text but for the sort, whatever the text repeats.
     """
     bits = "length(bin(size(hs)))"
-    place = f"(x & (shiftleft(1L, {bits}) - 1))"
+    place = lambda x: f"cast({x} & (shiftleft(1L, {bits}) - 1) as int)"
     packed = f"""transform(array(sort_array(transform(hs, (h, i) -> shiftleft(h, {bits}) | cast(i as bigint)))), ss ->
-        transform(filter(ss, (x, k) ->
-            (k > 0 and hs[cast({place} as int)] = hs[cast({place.replace('(x &', '(ss[greatest(k - 1, 0)] &')} as int)])
-            or (k < size(ss) - 1 and hs[cast({place} as int)] = hs[cast({place.replace('(x &', '(ss[least(k + 1, size(ss) - 1)] &')} as int)])),
-          x -> cast({place} as int)))[0]"""
+        transform(filter(ss, (x, k) -> (k > 0 and hs[{place("x")}] = hs[{place("ss[greatest(k - 1, 0)]")}])
+            or (k < size(ss) - 1 and hs[{place("x")}] = hs[{place("ss[least(k + 1, size(ss) - 1)]")}])), x -> {place("x")}))[0]"""
     wide = """transform(array(sort_array(transform(hs, (h, i) -> struct(h as h, i as i)))), ss ->
         transform(filter(ss, (x, k) -> (k > 0 and ss[greatest(k - 1, 0)].h = x.h) or (k < size(ss) - 1 and ss[least(k + 1, size(ss) - 1)].h = x.h)), x -> x.i))[0]"""
     covered = "size(array_distinct(flatten(array(ps, transform(ps, p -> p + 1), transform(ps, p -> p + 2)))))"
-    return F.expr(f"""cast(transform(array({WORDS.format(t=t)}), ws ->
-        case when size(ws) < 3 then 0 else
-          transform(array(transform(sequence(0, size(ws) - 3), i -> xxhash64(ws[i], ws[i + 1], ws[i + 2]))), hs ->
+    return f"""(case when size({ws}) < 3 then 0 else
+        transform(array(transform(sequence(0, size({ws}) - 3), i -> xxhash64({ws}[i], {ws}[i + 1], {ws}[i + 2]))), hs ->
             case when size(array_distinct(hs)) = size(hs) then 0
-              else transform(array(case when size(hs) < {PACKED_WORDS} then {packed} else {wide} end), ps -> {covered})[0] end)[0]
-        end)[0] as bigint)""")
+              else transform(array(case when size(hs) < {PACKED_WORDS} then {packed} else {wide} end), ps -> {covered})[0] end)[0] end)"""
 
 
-#: Name of each measure of a text and its expression over the column "whole".
-MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+#: The two base rules: n words, r of them in repeated windows.
+BASE_RULES = {"too_few_words": "{n} < 50", "repetitive": "100 * {r} > 50 * {n}"}
+#: Rules beyond the base, over words n, their characters c, symbols s, repeated lines d and the text t; each leaves ordinary prose far from its threshold.
+ADDED_RULES = {
+    "symbols": "100 * {s} > 8 * {c}",
+    "shouting": r"(length({t}) - length(regexp_replace({t}, '[^\\p{{Lu}}]+', ''))) / greatest(1, {c}) < 0.6",
+    "word_length": "({c} < 2 * {n} or {c} > 14 * {n})",
+    "repeated_lines": r"2 * {d} > size(split({t}, '\n'))",
+    "exclaiming": "4 * (length({t}) - length(replace({t}, '!', ''))) > {n}",
+}
+RULES = BASE_RULES | ADDED_RULES
 
 
-def share(characters: str, t: str = "whole") -> str:
-    """Characters of a text that the class holds, as part of its word characters."""
-    return f"(length({t}) - length(regexp_replace({t}, '{characters}', ''))) / greatest(1, length(translate({t}, '{BLANK_CHARS}', '')))"
+def bound(body: str, t: str) -> str:
+    """SQL of body, in which m.ws, m.c and m.s are the words of the text t, their characters and its symbols, each computed once."""
+    return f"transform(array(named_struct('ws', {WORDS.format(t=t)}, 'c', {WORD_CHARS.format(t=t)}, 's', {N_SYMBOLS.format(t=t)})), m -> {body})[0]"
 
 
-def base_rules(measured: bool, t: str = "whole") -> dict[str, Column]:
-    """The two base rules, over measured columns or over the text."""
-    words = F.col("n_words") if measured else n_words(t)
-    repeats = F.col("n_repeat_words") if measured else n_repeat_words(t)
-    return {"too_few_words": words < MIN_WORDS, "repetitive": 100 * repeats > REPEAT_PERCENT * words}
+def condition(rule: str, t: str) -> str:
+    """SQL of a rule inside bound()."""
+    return RULES[rule].format(n="size(m.ws)", c="m.c", s="m.s", d=N_DUP_LINES.format(t=t), r=repeat_words("m.ws"), t=t)
 
 
-def added_rules(measured: bool, t: str = "whole") -> dict[str, Column]:
-    """Rules beyond the base; each leaves ordinary prose far from its threshold."""
-    words = F.col("n_words") if measured else n_words(t)
-    chars = F.col("word_chars") if measured else word_chars(t)
-    symbols = F.col("n_symbols") if measured else n_symbols(t)
-    lines = F.col("n_dup_lines") if measured else n_dup_lines(t)
-    return {
-        "symbols": 100 * symbols > 8 * chars,
-        "shouting": F.expr(share(r"[^\\p{Lu}]+", t) + " < 0.6"),
-        "word_length": (chars < 2 * words) | (chars > 14 * words),
-        "repeated_lines": 2 * lines > F.expr(rf"size(split({t}, '\n'))"),
-        "exclaiming": F.expr(f"length({t}) - length(replace({t}, '!', ''))") * 4 > words,
-    }
+def cascade_order(docs: DataFrame, rules: Sequence[str] = tuple(RULES), sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names by estimated rejections per second, the best first, from sample_rows rows of docs(whole)."""
+    first = docs.select("whole").where(F.octet_length("whole") <= SAMPLE_BYTES).take(sample_rows)  # reads no more partitions than it needs
+    if not first:
+        return list(rules)
+    sample = docs.sparkSession.range(1).select(F.explode(F.array(*(F.lit(r.whole) for r in first))).alias("whole"))
+    gain = {}
+    for name in rules:
+        began = time.perf_counter()
+        gone = sample.where(F.expr(bound(condition(name, "whole"), "whole"))).count()
+        gain[name] = gone / max(1e-4, time.perf_counter() - began)
+    return sorted(rules, key=lambda k: -gain[k])
 
 
-def cascade_order(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by estimated rejections per second, the best first, from sample_rows rows of docs(whole)."""
-    sample = docs.limit(sample_rows).select("whole").persist()
-    try:
-        n = sample.count()
-        if not n:
-            return list(rules)
-        gain = {}
-        for name, rejects in rules.items():
-            began = time.perf_counter()
-            gone = sample.select(F.sum(F.when(rejects, 1).otherwise(0))).first()[0]
-            gain[name] = (gone or 0) / n / max(1e-4, time.perf_counter() - began)
-        return sorted(rules, key=lambda k: -gain[k])
-    finally:
-        sample.unpersist()
-
-
-def cascade(rules: dict[str, Column], order: Sequence[str]) -> Column:
-    """The first rule in order that rejects a text; null: the text is kept."""
-    found = F.when(F.lit(False), F.lit(""))
-    for name in order:
-        found = found.when(rules[name], F.lit(name))
-    return found
+def cascade(order: Sequence[str], t: str = "whole") -> Column:
+    """The first rule in order that rejects the text t; null: the text is kept."""
+    return F.expr(bound("case " + " ".join(f"when {condition(name, t)} then '{name}'" for name in order) + " end", t))
 
 
 def verdict(docs: DataFrame, text: str = "text") -> Column:
-    """For rows of docs the first rule that rejects the text, null if it is kept; no measure is computed in vain.
-
-    The rules read the text through a column of their own scope, so no column of docs can clash with them.
-    """
-    whole = docs.select(text_of(text).alias("whole"))
-    order = cascade_order(whole, base_rules(False) | added_rules(False))
-    own = f"coalesce(cast(`{text}` as string), '')"
-    return cascade(base_rules(False, own) | added_rules(False, own), order)
+    """For rows of docs the first rule that rejects the text, null if it is kept; no costly measure is computed in vain."""
+    return cascade(cascade_order(docs.select(text_of(text).alias("whole"))), f"coalesce(cast(`{text}` as string), '')")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, all measures, base_failed and kept for each row of docs(doc_id, text)."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for each row of docs(doc_id, text)."""
     whole = docs.select("doc_id", text_of().alias("whole"))
-    order = cascade_order(whole, base_rules(False) | added_rules(False))
-    measured = whole.select("doc_id", "whole", *(f().alias(name) for name, f in MEASURES.items()))
-    failed = F.lit(False)
-    for rejects in base_rules(True).values():
-        failed = failed | rejects
-    rules = base_rules(True) | added_rules(True)
-    return measured.select("doc_id", *MEASURES, failed.alias("base_failed"), cascade(rules, order).isNull().alias("kept"))
+    order = cascade_order(whole)
+    measures = {"n_words": "size(m.ws)", "word_chars": "m.c", "n_symbols": "m.s", "n_dup_lines": N_DUP_LINES.format(t="whole"), "n_repeat_words": repeat_words("m.ws")}
+    all_of = bound("named_struct(" + ", ".join(f"'{k}', cast({v} as bigint)" for k, v in measures.items()) + ")", "whole")
+    verdicts = {k: RULES[k].format(n="m.n_words", c="m.word_chars", s="m.n_symbols", d="m.n_dup_lines", r="m.n_repeat_words", t="whole") for k in order}
+    failed = " or ".join(verdicts[k] for k in order if k in BASE_RULES)
+    rejected = "case " + " ".join(f"when {verdicts[k]} then '{k}'" for k in order) + " end"
+    judged = F.expr(f"transform(array({all_of}), m -> named_struct('m', m, 'base_failed', {failed}, 'rejected_by', {rejected}))[0]")
+    return whole.select("doc_id", judged.alias("j")).select("doc_id", "j.m.*", "j.base_failed", F.col("j.rejected_by").isNull().alias("kept"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanspark.llm.common import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 EXAMPLES = "conv_id bigint, example bigint, n_context bigint, formatted string, loss_start bigint, loss_end bigint"
 BATCH_CHARS = 8_000_000
@@ -106,7 +108,7 @@ def expand(turns: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
-    own = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = bound_batches(turns).select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     placed = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return placed.mapInArrow(examples, EXAMPLES)
 

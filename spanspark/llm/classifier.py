@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import BLANKS, text_of
+from spanspark.llm.common import BLANKS, bound_batches, text_of
 
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, L2, MIN_HESSIAN = 20_000, 60, 4, 64, 0.2, 1.0, 2.0
 THRESHOLD, FOLDS, HELD_OUT_FOLD = 0.7, 4, 2
@@ -130,7 +130,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text); labels(doc_id, quality) only teach."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    docs = bound_batches(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     model = fit(*training_rows(docs, labels.withColumn("doc_id", F.col("doc_id").cast("bigint")), train_rows))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

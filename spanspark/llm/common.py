@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-import sys
-import tempfile
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanspark.storage import checkpointed, shared_folder  # noqa: F401  for the operators
+
+
 #: The contract's word: a run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -19,6 +18,14 @@ WORD_RE = re.compile(WORD)
 BLANKS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SHINGLE_WORDS = 5
+#: Bytes of one Arrow batch between the JVM and a Python worker; a worker holds a few of them at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends at most BATCH_BYTES at a time to Python workers, whatever the length of its texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,18 +37,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which a cluster shares; only a session without one (a test) gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanspark-checkpoint-"))
-    return sc.getCheckpointDir()
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is no longer read, in whatever store it is."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df, a checkpointed table, to be broadcast if it has at most so many rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(text: str) -> str:
@@ -49,25 +53,6 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(each, schema)
-
-
-def worker_kept(key, make: Callable):
-    """What make() returns, kept by the worker process for its later tasks; for caches of bounded size only."""
-    kept = sys.__dict__.setdefault("_spanspark_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
-
-
 def shared(sc: SparkContext, value) -> Broadcast:
     """A broadcast of a value whose class executors need not have installed; read it with unshared()."""
     return sc.broadcast(cloudpickle.dumps(value))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import shared, text_of, unshared
+from spanspark.llm.common import bound_batches, shared, text_of, unshared
 
 SEED_WORDS, COMMON_TIMES, LEAST_SCORE = 3, 10, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -189,7 +189,7 @@ def text_matches(text: str, seeds: Seeds, least: float = LEAST_SCORE) -> list[tu
 
 def seeds_of(docs: DataFrame, benchmark: DataFrame) -> list:
     """Broadcast seeds of each slice of the benchmark."""
-    sc = docs.sparkSession.sparkContext
+    sc = bound_batches(docs).sparkSession.sparkContext
     return [shared(sc, rare_seeds(items, document_counts(docs, items))) for rows in slices(benchmark) if (items := Items.of(rows)).ids]
 
 

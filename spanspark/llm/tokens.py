@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import text_of
+from spanspark.llm.common import bound_batches, text_of
 
 #: Letters and digits up to U+024F, where every Unicode version agrees; texts with other characters take the slow way.
 LETTER, DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 SETTLED = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ]*")
-TABLE_SIZE, TASK_KEEPS, TASK_COUNTS, CACHE_ENTRIES, LONGEST_KEPT = 65_536, 16_384, 400_000, 500_000, 64
+TABLE_SIZE, TASK_KEEPS, TASK_COUNTS, CACHE_ENTRIES, LONGEST_KEPT = 65_536, 16_384, 300_000, 200_000, 64
 
 
 class Lengths(dict):
@@ -82,7 +82,7 @@ def frequent_pretokens(docs: DataFrame, table_size: int = TABLE_SIZE) -> DataFra
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, table_size: int = TABLE_SIZE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs(doc_id, text)."""
-    sc = docs.sparkSession.sparkContext
+    sc = bound_batches(docs).sparkSession.sparkContext
     tokenizer = load(tokenizer_path)
     frequent = [r.pretoken for r in frequent_pretokens(docs, table_size).select("pretoken").collect()]  # at most table_size short strings
     sizes = bytes(min(255, len(e.ids)) for e in tokenizer.encode_batch(frequent, add_special_tokens=False))

@@ -3,8 +3,8 @@
 A page becomes a tree without scripts, styles, comments, and elements that name themselves as something else than the
 article (navigation, footers, asides, forms, adverts, notices, reader comments). For every node the composite text
 density is its link-adjusted characters per tag; the sum of its children's densities finds the node that gathers the
-most text. Starting there, the smallest density on the way to the body is the threshold: parents in that path whose
-own sum is the larger one are taken instead, and an article or main element around the node is kept whole.
+most text. The smallest density on the way from it to the body is the threshold: subtrees beside the way are taken too
+if they are as dense (headings always), and an article or main element around the node is taken whole and alone.
 
 Defined results: null, empty or text-free html gives the empty text; a page without tags is its own text; repeated rows
 give one row each; an empty table gives no rows; other columns are ignored.
@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import text_of
+from spanspark.llm.common import bound_batches, text_of
 
 # HTML's elements by kind.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -140,6 +141,7 @@ def densities(root: Node) -> list[Node]:
 
 
 def main_node(root: Node) -> Node:
+    """The node whose text is the article's; what beside its way to the body is thinner than that way is marked as dropped."""
     order = densities(root)
     best = max(order, key=lambda x: x.sum)
     if best.sum <= 0:
@@ -147,16 +149,15 @@ def main_node(root: Node) -> Node:
     path = [best]
     while path[-1].parent and path[-1].tag != "body":
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
+    for x in path:
+        if x.tag in ("article", "main"):
+            return x
+    threshold, way = min(x.density for x in path), {id(x) for x in path}
     for x in path[1:]:
-        if x.density >= threshold and x.sum >= best.sum and x.tag not in ("html", "#root"):
-            best = x
-    around = [x for x in path if x.tag in ("article", "main")]
-    if around:
-        best = around[0]
-    elif (stray := best) and not any(isinstance(p, Node) for p in best.parts) and best.parent:
-        best = stray.parent
-    return best
+        for p in x.parts:
+            if isinstance(p, Node) and not p.drop and id(p) not in way and p.tag not in HEADINGS and p.density < threshold:
+                p.drop = True
+    return path[-1]
 
 
 def block_text(node: Node) -> str:
@@ -185,5 +186,5 @@ def extract(pages: DataFrame) -> DataFrame:
             out = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
+    own = bound_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     return own.mapInArrow(texts, "page_id bigint, url string, text string, n_chars bigint")

@@ -28,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import SHINGLE_WORDS, checkpointed, text_of
+from spanspark.llm.common import SHINGLE_WORDS, bound_batches, checkpointed, text_of
 
 PERCENT = 75
 K = 64
 #: Retained values of the union that a pair at the threshold shares at least, but for a chance under 1e-7 (binomial).
 SHARED = 26
 #: Of a block: nodes, and shingles of all nodes.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
-CACHE_WORDS, LONGEST_KEPT = 300_000, 64
+BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000
+#: Pivots of all nodes in a table that is broadcast at most (a node has 39 at most, so many bytes each).
+BROADCAST_PLACES = 1_000_000
+CACHE_WORDS, LONGEST_KEPT = 150_000, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: odd multipliers of a 64-bit mixer
 
 
@@ -166,15 +168,15 @@ def block_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     """Links that connect what the pairs of a block connect: (smallest node, other node) of each component."""
     order = sorted({n: k for k, n in enumerate(nodes)}.items())
     nodes, sets = [n for n, _ in order], [sets[k] for _, k in order]
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int32)
     forest = Forest(len(nodes))
     if len(nodes) == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(nodes[0], nodes[1])] if 100 * common >= PERCENT * (size.sum() - common) else []
     sketches = [s[:K] for s in sets]
-    least = np.array([least_shared(len(s)) for s in sketches])
+    least = np.array([least_shared(len(s)) for s in sketches], np.float32)
     shared = overlaps(sketches)
-    likely = (shared >= np.maximum(least[:, None], least)) & (100 * np.minimum(size[:, None], size) >= PERCENT * np.maximum(size[:, None], size))
+    likely = (shared >= np.maximum(least[:, None], least)) & (np.minimum(size[:, None], size) >= np.maximum(size[:, None], size) * np.float32(PERCENT / 100 - 1e-3))
     np.fill_diagonal(likely, False)
     seen = np.zeros(len(nodes), bool)
     for a in range(len(nodes)):
@@ -194,10 +196,12 @@ def block_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
 
 def links(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(u, v), u < v: links between nodes, confirmed on the whole sets of docs(row, whole)."""
-    weighed = members.join(nodes.select("node", "n", "row"), "node")
+    weighed = checkpointed(members.join(nodes.select("node", "n", "row"), "node"))
     blocks = weighed.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    places = weighed.join(blocks, "pivot").groupBy("node", "row").agg(F.collect_list(F.struct("pivot", "blocks")).alias("places"))
-    texts = docs.select("row", "whole").join(places, "row").select("node", "whole", F.col("places.pivot").alias("pivots"), F.col("places.blocks").alias("blocks"))
+    blocks = checkpointed(blocks)  # so that both sides of the next join are dealt anew and a hot pivot's rows can be split
+    places = checkpointed(weighed.join(blocks, "pivot").groupBy("node", "row").agg(F.collect_list(F.struct("pivot", "blocks")).alias("places")))
+    small = weighed.count() <= BROADCAST_PLACES
+    texts = docs.select("row", "whole").join(F.broadcast(places) if small else places, "row").select("node", "whole", F.col("places.pivot").alias("pivots"), F.col("places.blocks").alias("blocks"))
     names = ["pivot", "i", "j", "node", "shingles"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of id and text), n_shingles, component_id, kept, first (the group's one row key to keep) for docs(doc_id, text)."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("whole")).withColumn("row", F.xxhash64("doc_id", "whole"))
+    base = bound_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("whole")).withColumn("row", F.xxhash64("doc_id", "whole"))
     sketches = checkpointed(sketched(base.select("doc_id", "row", "whole")))
     by_set = sketches.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("least_doc"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = checkpointed(by_set.select("content", "least_doc", "least", F.col("least.row").alias("row"), "n", "sketch", F.monotonically_increasing_id().alias("node")))

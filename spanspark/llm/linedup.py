@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import BLANKS, checkpointed, text_of
+from spanspark.llm.common import BLANKS, bound_batches, checkpointed, text_of
 
 MIN_CHARS = 10
 LAST_ID = 2**63 - 1
@@ -108,14 +108,20 @@ def later_lines(ordered: DataFrame, carried_in: dict) -> DataFrame:
     return ordered.mapInArrow(stream, "doc bigint, row bigint, lines array<int>")
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_lines, n_dropped, keep (zlib-compressed bits, one per line) and the carried columns of docs(doc_id, text)."""
-    base = docs.select("doc_id", *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), text_of().alias("whole"))
+def decided(docs: DataFrame, min_chars: int, carry: Sequence[str]) -> DataFrame:
+    """doc_id, the carried columns as carried_0 and so on, whole (the text), and lines: the positions to drop, null if none."""
+    base = bound_batches(docs).select("doc_id", *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), text_of().alias("whole"))
     base = base.withColumn("row", F.xxhash64("doc_id", "whole"))
     lines = checkpointed(hashed_lines(base.select("doc", "row", "whole"), min_chars))
     order = ["h1", "h2", "doc", "row"]
     ordered = checkpointed(lines.repartitionByRange(*order).sortWithinPartitions(*order))
     dropped = later_lines(ordered, partition_ends(ordered)).groupBy("doc", "row").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    # The texts stream past the short rows of their partition; neither side is sorted.
+    return base.join(dropped.hint("shuffle_hash"), ["doc", "row"], "left").drop("doc", "row")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, keep (zlib-compressed bits, one per line) and the carried columns of docs(doc_id, text)."""
 
     def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,32 +131,28 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[st
                 keep[lines or []] = False
                 gone.append(size - int(keep.sum()))
                 bits.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-            kept = [k for k, c in enumerate(batch.schema.names) if c != "lines"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(gone, pa.int64()), pa.array(bits, pa.binary())], [*(batch.schema.names[k] for k in kept), "n_dropped", "keep"])
+            out = {c: batch.column(c) for c in batch.schema.names if c != "lines"}
+            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(gone, pa.int64()), pa.array(bits, pa.binary())], [*out, "n_dropped", "keep"])
 
     size = (F.length("whole") - F.length(F.replace(F.col("whole"), F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines")
-    joined = base.join(dropped, ["doc", "row"], "left").select("doc_id", *[F.col(f"carried_{k}") for k in range(len(carry))], size, "lines")
+    joined = decided(docs, min_chars, carry).select("doc_id", *[F.col(f"carried_{k}") for k in range(len(carry))], size, "lines")
     fields = [f for f in joined.schema.fields if f.name != "lines"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", n_dropped bigint, keep binary"
     return joined.mapInArrow(bitmap, schema).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
 
 
+def kept_texts(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text cut to its kept lines (null text: empty), and the carried columns of docs(doc_id, text).
+
+    The positions to drop, the bitmap's zeros, are applied where the join has brought them; no text goes to Python for it.
+    """
+    cut = r"transform(array(split(whole, '\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), lines), i -> ls[i]), '\n'))[0]"
+    own = decided(docs, min_chars, carry)
+    return own.select("doc_id", F.expr(f"case when lines is null then whole else {cut} end").alias("text"), *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)))
+
+
 def kept_text(text: str | None, keep: bytes) -> str:
     """The lines of text whose bit is set, joined by line ends."""
     lines = (text or "").split("\n")
     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
     return text or "" if bits.all() else "\n".join(x for x, b in zip(lines, bits.tolist(), strict=True) if b)
-
-
-def with_kept_text(bitmaps: DataFrame, text: str = "text") -> DataFrame:
-    """bitmaps that carry a text, with the text cut to its kept lines."""
-    names, schema = bitmaps.columns, bitmaps.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keep = names.index(text), names.index("keep")
-        for batch in batches:
-            cols = batch.columns
-            cols[at] = pa.array([kept_text(t, k) for t, k in zip(cols[at].to_pylist(), cols[keep].to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return bitmaps.mapInArrow(cut, schema)

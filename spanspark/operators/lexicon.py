@@ -8,13 +8,11 @@ candidates depends on order and is done per sentence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanspark.functions.text import STRONG_PUNCT, normal_token, phrase_tokens
+from spanspark.functions.text import normal_token, phrase_tokens
 
 # Role classes and limits.
 BOUNDARY_ROLES = ("NEGATIVE_CONTEXT", "BOUNDARY", "BOUNDARY_AMBIGUOUS", "END_CONTEXT", "DISCOURSE_START")

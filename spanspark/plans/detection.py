@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from spanspark.operators import align, bio, corpus, dependency, features, lexicon, models
-from spanspark.plans.registry import LEXICON, LONGEST, MATH, RUN, flagged, gold, long, query, raw_tags, sentences, table, tokens
+from spanspark.plans.registry import LEXICON, LONGEST, MATH, RUN, flagged, gold, long, query, sentences, table, tokens
 from spanspark.plans.registry import lexicon as lex
 from spanspark.plans.relations import NGRAMS
-from spanspark.plans.sequences import BIT, NORMAL, STRICT, STRONG
+from spanspark.plans.sequences import NORMAL, STRONG
 
 #: Anchors for clustering: lexicon candidates of one word.
 ANCHORS = NGRAMS + ", anc AS (SELECT sid, s, e, role, id FROM cand WHERE role NOT IN ('NEGATIVE_CONTEXT', 'BOUNDARY', 'BOUNDARY_AMBIGUOUS', 'END_CONTEXT', 'DISCOURSE_START'))"

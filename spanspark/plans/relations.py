@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanspark.operators import align, bio, corpus, evaluate, features, lexicon, models
-from spanspark.plans.registry import CLEAN, LONGEST, RUN, flagged, gold, long, pred, pred_all, query, raw_tags, sentences, table, tokens
+from spanspark.plans.registry import CLEAN, LONGEST, flagged, gold, long, pred, query, sentences, table, tokens
 from spanspark.plans.registry import lexicon as lex
-from spanspark.plans.sequences import NORMAL, STRICT, UPOS, with_upos
-from spanspark.plans.texts import TAGGED_SQL, tagged_lines
+from spanspark.plans.sequences import NORMAL, UPOS, with_upos
 
 SPLIT3 = "CASE sid % 3 WHEN 0 THEN 'train_clean' WHEN 1 THEN 'val' ELSE 'test' END"
 

@@ -12,9 +12,10 @@ are documents of their own; an empty table gives no rows; other columns of the i
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import text_of, worker_kept
+from spanspark.llm.common import bound_batches, text_of
 from spanspark.llm.tokens import LETTER, load
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 8192
-CACHE_WORDS, PORTION_CHARS = 600_000, 2_000_000
+CACHE_WORDS = 250_000
 #: Texts of plain Latin characters without an apostrophe or control string; in them a mark after a letter is a part by itself.
 PLAIN = re.compile("[\t\n -&(-;=-~\xa1-įı-ɏ]*")
 MARKS = re.compile(f"(?<=[{LETTER}])([.,])(?=[ \n])")
+ODD_MARKS = re.compile("[^a-z\xdf-\xf6\xf8-\xff][.,][ \n]")
 LETTERS = re.compile(f"[{LETTER}]+")
 #: The byte-level alphabet: bytes that are printable in Latin-1 stand for themselves, the others for characters from 256 on.
 ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -39,48 +41,33 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 class WordIds(dict):
     """Word without white space to its ids as little-endian unsigned 32-bit bytes.
 
-    Words not met before are encoded by the tokenizer, those of lower-case letters only (one part, nothing to normalise)
-    by its model alone. The cache is of bounded size and outlives a task in its worker.
+    A word not met before is encoded by the tokenizer, one of lower-case letters only (one part, nothing to normalise)
+    by its model alone. The cache is of bounded size.
     """
 
     def __init__(self, tokenizer):
         super().__init__({"": b""})
         self.tokenizer, self.model = tokenizer, tokenizer.model
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Makes the ids of all these words known."""
-        words = set(chain.from_iterable(texts))
-        fresh = words.difference(self)
-        if len(self) + len(fresh) > CACHE_WORDS:
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            ids = [t.id for t in self.model.tokenize(word)]
+        elif LETTERS.fullmatch(word) and word == word.lower():
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(ALPHABET))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if len(self) >= CACHE_WORDS:
             self.clear()
             self[""] = b""
-            fresh = words - {""}
-        mixed = []
-        for w in fresh:
-            if LETTERS.fullmatch(w) and w == w.lower():
-                self[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(ALPHABET))])
-            else:
-                mixed.append(w)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The tokenizer's ids of whole texts; it drops white space, so words between spaces and line ends are independent."""
-        words = [(MARKS.sub(r" \1", t.lower()) if PLAIN.fullmatch(t) else t).replace("\n", " ").split(" ") for t in texts]
-        self.learn(words)
-        return [b"".join(map(self.__getitem__, w)) for w in words]
-
-
-def portions(texts: list[str], chars: int = PORTION_CHARS) -> Iterator[list[str]]:
-    """The texts in order, some at a time."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        self[word] = found = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        return found
+
+    def ids(self, text: str) -> bytes:
+        """The tokenizer's ids of a whole text; it drops white space, so words between spaces and line ends are independent."""
+        if PLAIN.fullmatch(text):
+            text = text.lower()
+            text = MARKS.sub(r" \1", text) if ODD_MARKS.search(text) else text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -112,7 +99,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
         while size := int(fits[gap]):
             held.append((size, take(size)))
             gap -= size
-        while gap:
+        while gap and len(held) > 1:
             small, i = held[-1]
             room = gap + small
             first = sizes[1:room]
@@ -135,18 +122,17 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    groups = max(1, -(-docs.count() // group_pieces))
+    groups = max(1, -(-bound_batches(docs).count() // group_pieces))
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_kept(("word ids", tokenizer_path), lambda: WordIds(load(tokenizer_path)))
+        words = WordIds(load(tokenizer_path))
         task = TaskContext.get()
         dealt = zlib.crc32(str(task.partitionId() if task else 0).encode())
         for batch in batches:
             rows = []
-            encoded = chain.from_iterable(map(words.ids, portions(batch.column(1).to_pylist())))
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = words.ids(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     dealt += 1

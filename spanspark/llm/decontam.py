@@ -15,7 +15,6 @@ gives no rows; other columns are ignored, and pass through ``uncontaminated``.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -20,7 +20,6 @@ of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np

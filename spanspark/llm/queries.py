@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanspark.llm import chat, classifier, decontam, html, linedup, neardup, packing, rules, secrets, tokens
 from spanspark.llm.common import table

@@ -148,9 +148,13 @@ def test_line_dedup(spark, texts, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         ids = [None if k % 13 == 5 else k % 50 for k in range(len(texts))]
-        own = linedup.with_kept_text(linedup.keep_bitmaps(frame(spark, texts, ids), carry=("text",)))
-        got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in own.collect()]
-        assert sorted(got, key=str) == sorted(brute_lines(ids, texts), key=str)
+        expected = sorted(brute_lines(ids, texts), key=str)
+        whole = linedup.keep_bitmaps(frame(spark, texts, ids), carry=("text",))
+        got = [(r.doc_id, r.n_lines, r.n_dropped, linedup.kept_text(r.text, r.keep)) for r in whole.collect()]
+        assert sorted(got, key=str) == expected
+        cut = linedup.kept_texts(frame(spark, texts, ids), carry=("label", "kept"))
+        assert sorted([(r.doc_id, r.text) for r in cut.collect()], key=str) == sorted([(i, t) for i, _, _, t in expected], key=str)
+        assert cut.columns == ["doc_id", "text", "label", "kept"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
@@ -211,18 +215,16 @@ def test_rule_measures(spark, texts, docs):
 def test_repeated_words_beyond_packed_hashes(spark, monkeypatch):
     monkeypatch.setattr(rules, "PACKED_WORDS", 10)
     df = spark.createDataFrame([("a b c d a b c x y z " * 3 + "q",)], "whole string")
-    assert df.select(rules.n_repeat_words()).first()[0] == 30
+    assert df.select(F.expr(rules.bound(rules.repeat_words("m.ws"), "whole"))).first()[0] == 30
 
 
 def test_cascade_keeps_what_no_rule_rejects(spark, docs):
     measured = {r.doc_id: r.kept for r in rules.measure(docs).collect()}
-    order = list(rules.base_rules(False) | rules.added_rules(False))
     own = docs.withColumn("whole", F.coalesce("text", F.lit("")))
-    for names in (order, order[::-1]):
-        got = own.select("doc_id", rules.cascade(rules.base_rules(False) | rules.added_rules(False), names).isNull().alias("k")).collect()
-        assert {r.doc_id: r.k for r in got} == measured
+    for names in (list(rules.RULES), list(rules.RULES)[::-1]):
+        assert {r.doc_id: r.k for r in own.select("doc_id", rules.cascade(names).isNull().alias("k")).collect()} == measured
     assert {r.doc_id for r in docs.where(rules.verdict(docs).isNull()).collect()} == {i for i, k in measured.items() if k}
-    assert sorted(rules.cascade_order(own, rules.base_rules(False))) == sorted(rules.base_rules(False))
+    assert sorted(rules.cascade_order(own)) == sorted(rules.RULES)
 
 
 def test_token_counts(spark, texts, docs):
@@ -242,7 +244,7 @@ def test_odd_texts_are_counted_and_encoded_exactly():
     b, w = tokens.load(public_tokenizers.path("byte_bpe_50k.json")), tokens.load(public_tokenizers.path("word_bpe_49k.json"))
     lengths, words = tokens.Lengths(b), packing.WordIds(w)
     assert [tokens.count_text(x, lengths, tokens.specials_of(b)) for x in odd] == [len(b.encode(x, add_special_tokens=False).ids) for x in odd]
-    assert words.ids(odd) == [np.array(w.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+    assert [words.ids(x) for x in odd] == [np.array(w.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
 
 
 def test_packing(spark, texts, docs):
@@ -308,6 +310,7 @@ def test_chat_round_trip(spark):
 PAGES = [
     ("<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>menu</a></li></ul></nav><article><h1>Head &amp; line</h1><p><b>One<br>two <i>th</i>ree.<p>Four  five\n six &lt;x&gt;</p><script>var a='</p>'</script></article><footer>foot</footer>", "Head & line One two three. Four five six <x>"),
     ("<body><div class='sidebar'>side</div><div id=main><p>" + "Long text here. " * 20 + "</p><p>" + "More of it. " * 20 + "</p></div><div class='comments'><p>Nice!</p></div><form>q</form></body>", " ".join(("Long text here. " * 20 + "More of it. " * 20).split())),
+    ("<body><div class='content'><h2>Top</h2><section>" + "<p>" + "Words of the first part. " * 9 + "</p>" + "<p>" + "More words. " * 9 + "</p></section><section><p>" + "A second part follows here. " * 9 + "</p></section></div><ul>" + "<li><a href=x>go there</a></li>" * 20 + "</ul></body>", " ".join(("Top " + "Words of the first part. " * 9 + "More words. " * 9 + "A second part follows here. " * 9).split())),
     ("<article><p>a</p><aside>b</aside><div class='advert'>c</div><div class=\"cookie-notice\">d</div><p>e<!-- f --></p><noscript>g</noscript></article>", "a e"),
     ("<article><header><h1>Title</h1></header><p>body&nbsp;text</p></article>", "Title body text"),
     ("plain &amp; simple", "plain & simple"), ("", ""), (None, ""), ("<nav>x</nav>", ""), ("<p>unclosed <b>bold", "unclosed bold"), ("<<<>>> &#x41; &bogus; < 3", None), ("<!-- open", ""), ("<p" + " " * 2000, ""),

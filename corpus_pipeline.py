@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanspark.llm import decontam, linedup, neardup, packing, rules
-from spanspark.llm.common import checkpoint_folder, table, text_of
+from spanspark.llm.common import broadcast_up_to, checkpointed, remove, shared_folder, table, text_of
 
 KEY = ("pipeline_doc", "pipeline_row")
+#: Rows (of 25 bytes) of a table that is broadcast at most.
+NAMED_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that a document with a smaller id holds too."""
     others = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for c, x in others.items()))
-    kept = linedup.with_kept_text(linedup.keep_bitmaps(own, carry=("text", *others.values())))
+    kept = linedup.kept_texts(own, carry=tuple(others.values()))
     if "n_chars" in others:
         kept = kept.withColumn(others["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
@@ -36,12 +38,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without words belong to no group and stay."""
     doc, row = KEY
+    found = neardup.near_duplicates(docs).where("n_shingles > 0").groupBy("doc_id", "row").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # Only rows that go, or of which one of several equal ones stays, are named; the others pass by.
+    named = checkpointed(found.where("row <> first or copies > 1").select(F.col("doc_id").alias("named_doc"), F.col("row").alias("named_row"), (F.col("row") == F.col("first")).alias("stays")))
     keyed = docs.withColumn(doc, F.col("doc_id").cast("bigint")).withColumn(row, F.xxhash64(F.col(doc), text_of()))
-    firsts = neardup.near_duplicates(docs).where("n_shingles > 0 and row = first").select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
-    wordless = text_of().rlike(r"\A[\x20\x09-\x0D]*\z")
-    single = keyed.where(~wordless).groupBy(doc, row).agg(F.first(F.struct(*docs.columns)).alias("kept"))
-    same = single[doc].eqNullSafe(firsts[doc]) & (single[row] == firsts[row])
-    return single.join(firsts, same, "left_semi").select("kept.*").unionByName(docs.where(wordless))
+    both = keyed.join(broadcast_up_to(named, NAMED_ROWS), F.col(doc).eqNullSafe(F.col("named_doc")) & (F.col(row) == F.col("named_row")), "left")
+    single = both.where("stays").groupBy(doc, row).agg(F.first(F.struct(*docs.columns)).alias("kept")).select("kept.*")
+    return both.where("stays is null").select(*docs.columns).unionByName(single)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what they keep goes through the cluster's shared checkpoint folder."""
-    folder = f"{checkpoint_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
+    """All stages over the documents of sf_dir; what each keeps stays in the cluster's shared checkpoint folder until the next has read it."""
+    folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -89,8 +89,9 @@ def test_near_duplicates(spark, seed):
 
 
 def test_near_duplicates_of_a_dense_group(spark, monkeypatch):
-    """Near copies around the threshold, in blocks that meet pairwise."""
+    """Near copies around the threshold, in blocks that meet pairwise, with nothing small enough for a broadcast."""
     monkeypatch.setattr(neardup, "BLOCK_NODES", 16)
+    monkeypatch.setattr(neardup, "BROADCAST_PLACES", 0)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(120)]
     texts = []

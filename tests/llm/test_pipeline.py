@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_llm import brute_components, brute_lines, frame
 
 import corpus_pipeline
@@ -55,7 +56,9 @@ def test_pipeline_equals_plain_steps(spark, tmp_path):
     assert 0 < len(expected) < len(texts)
 
 
-def test_rows_without_words_stay_and_copies_go(spark):
+@pytest.mark.parametrize("named_rows", [0, 1_000_000])
+def test_rows_without_words_stay_and_copies_go(spark, monkeypatch, named_rows):
+    monkeypatch.setattr(corpus_pipeline, "NAMED_ROWS", named_rows)
     docs = frame(spark, ["", "", None, "a b c d e f", "a b c d e f", "a b c d e f"], [1, 1, None, 4, 4, 5])
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, ""), (1, ""), (4, "a b c d e f")]

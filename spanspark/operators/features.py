@@ -22,10 +22,14 @@ def role_confidence(lexicon: DataFrame) -> DataFrame:
 
 
 def corpus_words(tokens: DataFrame, min_count: int = MIN_COUNT, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """(word, n) of the frequent words that are long enough and no stop words."""
-    w = tokens.select(T.clean_word(F.col("tok")).alias("word")).where(F.length("word") >= MIN_LENGTH)
+    """(word, n) of the frequent words that are long enough and no stop words.
+
+    Tokens are counted as they stand, so that each distinct one is cleaned once.
+    """
+    distinct = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("times"))
+    w = distinct.select(T.clean_word(F.col("tok")).alias("word"), "times").where(F.length("word") >= MIN_LENGTH)
     stop = tokens.sparkSession.createDataFrame([(s,) for s in stopwords], "word string")
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).join(F.broadcast(stop), "word", "left_anti")
+    return w.groupBy("word").agg(F.sum("times").alias("n")).where(F.col("n") >= min_count).join(F.broadcast(stop), "word", "left_anti")
 
 
 def vocabulary(lexicon: DataFrame, corpus: DataFrame) -> DataFrame:

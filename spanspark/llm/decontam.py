@@ -1,11 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds lead to passages, local alignment scores them.
 
-Texts are compared as lower-case runs of letters and digits. A first pass counts, over all documents, how many hold
-each n-gram of the benchmark; an item's seeds are its n-grams but those far commoner than its own rarest quarter, so a
-passage that is itself common keeps its seeds. A second pass joins the training texts to the seeds where they are read
-(the seeds are broadcast in slices of bounded size) and places each hit's item beside the text; hits that agree on the
-place form a passage, and a Smith-Waterman alignment of item and passage scores copies with changed, added or missing
-words. No text is shuffled.
+Texts are compared as lower-case runs of letters and digits. An item's seeds are all its 3-grams, however many documents
+hold them, so no copy loses its seeds by being common. One pass joins the texts to the seeds where they are read (the
+seeds are broadcast in slices of bounded size) and places each hit's item beside the text; hits that agree on the place
+form a passage, and a Smith-Waterman alignment of item and passage scores copies with changed, added or missing words. A
+passage that lacks half of the item's words can't reach the score and isn't aligned. A copy is found if it shares three
+words in a row with its item. No text is shuffled.
 
 Defined results: null text is the empty text and never contaminated; items without words are never found; items shorter
 than a seed are found as whole runs of words; repeated rows are judged each on its own; an empty table or benchmark
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanspark.llm.common import bound_batches, shared, text_of, unshared
 
-SEED_WORDS, COMMON_TIMES, LEAST_SCORE = 3, 10, 0.5
+SEED_WORDS, LEAST_SCORE = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of benchmark text in one broadcast slice; a larger benchmark is taken in several.
 SLICE_BYTES = 32 << 20
@@ -96,44 +96,24 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r.item_id, r.text) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).sort("item_id", "text").collect()]
 
 
-def document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """For each n-gram of the items the number of documents that hold it; each task sends its sums."""
-    sent = shared(docs.sparkSession.sparkContext, items)
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = unshared(sent)
-        total = np.zeros(len(own.grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[np.unique(own.hits(own.numbered(text), own.grams)[1])] += 1
-        k = np.flatnonzero(total)
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["gram", "n"])
-
-    found = docs.select(text_of().alias("whole")).mapInArrow(counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in found.collect()}  # at most as many rows as a slice has n-grams
-
-
 @dataclass
 class Seeds:
-    """Sorted codes of the seeds, and for each the items and places it stands at."""
+    """Sorted codes of the seeds; seed k stands in items[item[n]] at word at[n], n from first[k] to first[k + 1]."""
 
     items: Items
     codes: np.ndarray
-    uses: list[list[tuple[int, int]]]
+    first: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
 
 
-def rare_seeds(items: Items, counts: dict[int, int]) -> Seeds:
-    times = np.array([counts.get(k, 0) for k in range(len(items.grams))], np.int64)
-    uses: dict[int, list[tuple[int, int]]] = {}
-    for k, (words, n) in enumerate(zip(items.words, items.width, strict=True)):
-        own = items.codes(words, int(n))
-        held = times[np.searchsorted(items.grams, own)]
-        limit = COMMON_TIMES * (np.quantile(held, 0.25) + 1)
-        for q in np.flatnonzero(held <= limit).tolist():
-            uses.setdefault(int(own[q]), []).append((k, q))
-    codes = np.array(sorted(uses), np.uint64)
-    return Seeds(items, codes, [uses[int(c)] for c in codes])
+def all_seeds(items: Items) -> Seeds:
+    """Every n-gram of every item, however common: a copy may share only those that hundreds of documents hold."""
+    codes = [items.codes(w, int(n)) for w, n in zip(items.words, items.width, strict=True)]
+    whole, sizes = np.concatenate(codes), [len(c) for c in codes]
+    order = np.argsort(whole, kind="stable")
+    first = np.append(np.searchsorted(whole[order], items.grams), len(whole))
+    return Seeds(items, items.grams, first, np.repeat(np.arange(len(codes), dtype=np.int32), sizes)[order], np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -159,7 +139,8 @@ def text_matches(text: str, seeds: Seeds, least: float = LEAST_SCORE) -> list[tu
         return []
     places: dict[int, list[int]] = {}
     for p, k in zip(at.tolist(), which.tolist(), strict=True):
-        for item, q in seeds.uses[k]:
+        uses = slice(seeds.first[k], seeds.first[k + 1])
+        for item, q in zip(seeds.item[uses].tolist(), seeds.at[uses].tolist(), strict=True):
             places.setdefault(item, []).append(p - q)
     found = []
     for item, starts in places.items():
@@ -189,7 +170,7 @@ def text_matches(text: str, seeds: Seeds, least: float = LEAST_SCORE) -> list[tu
 def seeds_of(docs: DataFrame, benchmark: DataFrame) -> list:
     """Broadcast seeds of each slice of the benchmark."""
     sc = bound_batches(docs).sparkSession.sparkContext
-    return [shared(sc, rare_seeds(items, document_counts(docs, items))) for rows in slices(benchmark) if (items := Items.of(rows)).ids]
+    return [shared(sc, all_seeds(items)) for rows in slices(benchmark) if (items := Items.of(rows)).ids]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

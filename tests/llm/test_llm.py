@@ -426,6 +426,18 @@ def test_common_passages_keep_their_seeds(spark):
     assert {r.doc_id for r in decontam.find(frame(spark, docs), bench).collect()} == {k for k in range(300) if k % 3}
 
 
+def test_common_edited_and_half_copies_keep_their_seeds(spark):
+    """Hundreds of documents hold the same edited or half copy, beside a few or no exact ones."""
+    items = {k: [f"w{k}x{n}" for n in range(36)] for k in range(5)}
+    edited = lambda k, step: [f"new{n}" if n % step == step - 1 else w for n, w in enumerate(items[k])]
+    copies = [edited(0, 9), edited(1, 4), items[2][:18], items[3][18:], edited(4, 9)]
+    docs = [" ".join(["before", *copies[d % 5], f"tail{d}"]) for d in range(1000)] + [" ".join(items[4])] * 3
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(frame(spark, docs), bench).collect()}
+    assert got == {(d, d % 5) for d in range(1000)} | {(d, 4) for d in range(1000, 1003)}
+    assert decontam.uncontaminated(frame(spark, docs), bench).count() == 0
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("false")
     w, b = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")

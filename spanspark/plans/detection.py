@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from spanspark.operators import align, bio, corpus, dependency, features, lexicon, models
-from spanspark.plans.registry import LEXICON, LONGEST, MATH, RUN, flagged, gold, long, query, sentences, table, tokens
+from spanspark.plans.registry import BASE, LEXICON, LONGEST, MATH, RUN, flagged, gold, long, query, sentences, table, tokens
 from spanspark.plans.registry import lexicon as lex
 from spanspark.plans.relations import NGRAMS
 from spanspark.plans.sequences import NORMAL, STRONG
@@ -163,7 +163,7 @@ a5 AS (SELECT a.sid, a.node, n.head AS top FROM a4 a JOIN nodes n ON n.sid = a.s
 al AS (SELECT * FROM a1 UNION SELECT * FROM a2 UNION SELECT * FROM a3 UNION SELECT * FROM a4 UNION SELECT * FROM a5)
 SELECT sid, top::BIGINT AS top, count(*)::BIGINT AS size FROM al GROUP BY sid, top""")
 def h3(spark, sf):
-    """Subtree closure as a bounded self-join; a round adds the next level and the last one adds none."""
+    """Subtree closure as a bounded self-join, cut as its SQL is: tokens below 40, tops up to 4 links away; h3_whole_subtree_sizes has no cut."""
     t = tokens(spark, sf).where("i < 40")
     nodes = t.select("sid", "i", F.when(F.col("i") % 5 != 0, F.col("i") - 1 - F.col("i") % 2).alias("head"))
     level = nodes.where("head >= 0").select("sid", F.col("i").alias("node"), F.col("head").alias("top"))
@@ -175,6 +175,15 @@ def h3(spark, sf):
     return closed.distinct().groupBy("sid", "top").agg(F.count(F.lit(1)).alias("size")).withColumn("top", F.col("top").cast("bigint"))
 
 
+@query("h3_whole_subtree_sizes", """WITH nodes AS (SELECT sid, i, CASE WHEN i % 5 = 0 OR i = 1 THEN NULL ELSE i - 1 - i % 2 END AS head FROM tok),
+al AS (SELECT sid, i AS node, i AS top FROM nodes UNION SELECT a.sid, a.node, n.head AS top FROM al a JOIN nodes n ON n.sid = a.sid AND n.i = a.top WHERE n.head IS NOT NULL)
+SELECT sid, top::BIGINT AS top, count(*)::BIGINT AS size FROM al GROUP BY sid, top""", base=BASE.replace("WITH", "WITH RECURSIVE", 1))
+def h3_whole(spark, sf):
+    """The subtree closure of whole turns, of any depth."""
+    nodes = tokens(spark, sf).select("sid", "i", F.when((F.col("i") % 5 != 0) & (F.col("i") != 1), F.col("i") - 1 - F.col("i") % 2).alias("head"))
+    return dependency.subtree_sizes(nodes).select("sid", *long("top"), "size")
+
+
 @query("h1_mask_alignment")
 def h1(spark, sf):
     s = sentences(spark, sf).select("sid", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)).alias("tokens"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n"))

@@ -376,3 +376,20 @@ def test_ordinals_run_on_over_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(9)
     assert [r.ordinal for r in with_ordinals(df, "k").orderBy("k").collect()] == list(range(1000))
     assert sorted(r.ordinal for r in with_ordinals(df).collect()) == list(range(1000))
+
+
+def test_subtree_sizes_close_trees_of_any_depth(spark):
+    """Against a walk from each node: a chain of 50, the stand-in's tree, a random tree, a cycle."""
+    rng = random.Random(3)
+    heads = [[None, *range(49)], [None if i % 5 == 0 or i == 1 else i - 1 - i % 2 for i in range(60)], [None, *(rng.randrange(i) for i in range(1, 60))], [1, 2, 0, 2, None]]
+    expected = set()
+    for sid, own in enumerate(heads):
+        for top in range(len(own)):
+            found, queue = set(), [top]
+            while queue:
+                if (k := queue.pop()) not in found:
+                    found.add(k)
+                    queue += [c for c, h in enumerate(own) if h == k]
+            expected.add((sid, top, len(found)))
+    nodes = spark.createDataFrame([(sid, i, h) for sid, own in enumerate(heads) for i, h in enumerate(own)], "sid bigint, i int, head int")
+    assert {(r.sid, r.top, r["size"]) for r in dependency.subtree_sizes(nodes).collect()} == expected

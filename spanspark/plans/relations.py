@@ -33,6 +33,12 @@ def j4(spark, sf):
     return evaluate.token_pairs(gold(spark, sf), pred(spark, sf).where("i < 30")).select("sid", *long("i"), "gold", "pred")
 
 
+@query("j4_whole_token_pairs", "SELECT g.sid, g.i::BIGINT AS i, g.tag AS gold, p.tag AS pred FROM bio2 g JOIN pred p USING (sid, i)")
+def j4_whole(spark, sf):
+    """Whole sequences; j4_token_pairs is cut as its SQL is, to the first 30 tokens of the predicted side."""
+    return evaluate.token_pairs(gold(spark, sf), pred(spark, sf)).select("sid", *long("i"), "gold", "pred")
+
+
 SIDE_SQL = "WITH side AS (SELECT sid, i, CASE (sid + i) % 4 WHEN 0 THEN '' WHEN 1 THEN 'nmod' ELSE 'obj' END AS dep, CASE WHEN (sid + i) % 5 = 0 THEN ' ' ELSE 'B-MATH' END AS rule_tag FROM tok WHERE (sid * 3 + i) % 4 <> 2)"
 
 

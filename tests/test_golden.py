@@ -393,3 +393,16 @@ def test_subtree_sizes_close_trees_of_any_depth(spark):
             expected.add((sid, top, len(found)))
     nodes = spark.createDataFrame([(sid, i, h) for sid, own in enumerate(heads) for i, h in enumerate(own)], "sid bigint, i int, head int")
     assert {(r.sid, r.top, r["size"]) for r in dependency.subtree_sizes(nodes).collect()} == expected
+
+
+def test_whole_token_pairs_pass_token_30_and_end_with_the_shorter_side(spark):
+    from conftest import DATA
+
+    from spanspark.plans.catalog import QUERIES
+    from spanspark.plans.registry import pred
+
+    whole = QUERIES["j4_whole_token_pairs"](spark, DATA)
+    assert whole.count() == pred(spark, DATA).count() > QUERIES["j4_token_pairs"](spark, DATA).count()
+    assert whole.where("i >= 30").count() == pred(spark, DATA).where("i >= 30").count()
+    gold, short = tagged(spark, "BIO" * 15, "OOB"), tagged(spark, "BIO" * 14, "OOBII")
+    assert sorted((r.sid, r.i) for r in evaluate.token_pairs(gold, short).collect()) == [(0, i) for i in range(42)] + [(1, i) for i in range(3)]

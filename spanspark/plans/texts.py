@@ -44,6 +44,19 @@ def p1(spark, sf):
     return d.select("doc_id", T.is_metadata(line).alias("is_metadata"))
 
 
+WHOLE_META = "CASE doc_id % 5 WHEN 0 THEN 'Title: ' || text WHEN 1 THEN ' \"HTTPS://' || text WHEN 3 THEN 'SI=' || text ELSE text END"
+
+
+@query("p1_whole_metadata_filter", f"""WITH m AS (SELECT doc_id, {WHOLE_META} AS line FROM documents),
+b AS (SELECT *, lower(trim(regexp_replace(trim(line), '^"+|"+$', '', 'g'))) AS bare FROM m)
+SELECT doc_id, coalesce({" OR ".join(f"starts_with(bare, '{p}')" for p in T.METADATA_PREFIXES)}, true) AS is_metadata FROM b""")
+def p1_whole(spark, sf):
+    """Whole texts; p1_metadata_filter is cut as its SQL is, to the first 5 to 40 characters of a text."""
+    d, t, k = table(spark, sf, "documents"), F.col("text"), F.col("doc_id") % 5
+    line = F.when(k == 0, F.concat(F.lit("Title: "), t)).when(k == 1, F.concat(F.lit(' "HTTPS://'), t)).when(k == 3, F.concat(F.lit("SI="), t)).otherwise(t)
+    return d.select("doc_id", T.is_metadata(line).alias("is_metadata"))
+
+
 @query("p2_math_mark", "SELECT sid, i::BIGINT AS i, (n NOT IN ('_', '*', '')) OR (r NOT IN ('_', '*', '') AND contains(r, 'inception')) AS is_math FROM (SELECT sid, i, CASE (sid + i) % 4 WHEN 0 THEN '_' WHEN 1 THEN '*' WHEN 2 THEN '' ELSE w END AS n, CASE (sid + i) % 3 WHEN 0 THEN 'x.inception/' || w ELSE '_' END AS r FROM clean)")
 def p2(spark, sf):
     k, r = (F.col("sid") + F.col("i")) % 4, (F.col("sid") + F.col("i")) % 3

@@ -406,3 +406,13 @@ def test_whole_token_pairs_pass_token_30_and_end_with_the_shorter_side(spark):
     assert whole.where("i >= 30").count() == pred(spark, DATA).where("i >= 30").count()
     gold, short = tagged(spark, "BIO" * 15, "OOB"), tagged(spark, "BIO" * 14, "OOBII")
     assert sorted((r.sid, r.i) for r in evaluate.token_pairs(gold, short).collect()) == [(0, i) for i in range(42)] + [(1, i) for i in range(3)]
+
+
+def test_whole_metadata_filter_judges_whole_texts_and_nulls(spark, tmp_path):
+    from spanspark.plans.catalog import QUERIES
+
+    long = "line of text\n" * 500
+    texts = [long, long, long + "Title: x", long, '"' * 50 + "Title: x\n" + long, None, None, None, None, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.is_metadata for r in QUERIES["p1_whole_metadata_filter"](spark, str(tmp_path)).collect()}
+    assert got == {k: k != 2 for k in range(10)}

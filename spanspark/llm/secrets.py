@@ -1,9 +1,10 @@
 """Secret scans over a blob ledger, with DataFrame functions only.
 
-Every version of a file is addressed by the SHA-256 of its text. A ledger keeps (blob, rule_version, spans); a scan
-takes each blob that the ledger lacks under the current rule version once, however many paths hold it, and findings are
-joined back to all paths. Spans are code points, end exclusive. The text between two hits and the hits themselves give
-every hit's place: a running sum over their lengths, taken per blob in the partition that already holds it.
+Every version of a file is addressed by the SHA-256 of its text. A ledger keeps (blob, rule_version, spans) of every
+blob scanned, clean ones with an empty array; a scan takes each blob that the ledger lacks under the current rule
+version once, however many paths hold it, and findings are joined back to all paths. Spans are code points, end
+exclusive. The text between two hits and the hits themselves give every hit's place: a running sum over their lengths,
+taken per blob in the partition that already holds it.
 
 Defined results: null text is the empty text (no spans); repeated rows and null paths give one row each; an empty table
 gives no rows; other columns are ignored; a ledger may be missing or empty.
@@ -44,18 +45,16 @@ def hits(text: Column, rule: int) -> Column:
 
 
 def scan(unseen: DataFrame) -> DataFrame:
-    """(blob, spans) of the blobs (blob, text) that hold a secret."""
+    """(blob, spans) of each of the blobs (blob, text); a blob without secrets has an empty array."""
     text = F.col("text")
-    any_hit = F.lit(False)
-    for _, pattern, _ in RULES:
-        any_hit = any_hit | text.rlike(pattern)
-    by_rule = unseen.where(any_hit).select("blob", F.explode(F.filter(F.array(*(hits(text, k) for k in range(len(RULES)))), lambda x: x.isNotNull())).alias("x"))
-    each = by_rule.select("blob", F.col("x.kind").alias("kind"), F.posexplode(F.arrays_zip(F.col("x.before").alias("before"), F.col("x.hit").alias("hit"), F.col("x.measured").alias("measured"))).alias("at", "h"))
+    by_rule = unseen.select("blob", F.explode_outer(F.filter(F.array(*(hits(text, k) for k in range(len(RULES)))), lambda x: x.isNotNull())).alias("x"))
+    each = by_rule.select("blob", F.col("x.kind").alias("kind"), F.posexplode_outer(F.arrays_zip(F.col("x.before").alias("before"), F.col("x.hit").alias("hit"), F.col("x.measured").alias("measured"))).alias("at", "h"))
     so_far = Window.partitionBy("blob", "kind").orderBy("at")
     least = F.element_at(F.array(*(F.lit(n) for _, _, n in RULES)), F.col("kind") + 1)
     placed = each.select("blob", "kind", "at", F.length("h.before").alias("gap"), F.length("h.hit").alias("size"), F.length("h.measured").alias("measured")).withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(so_far).cast("int"))
-    real = placed.where(F.col("size").isNotNull() & (F.col("measured") >= least))
-    return real.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end"))).alias("spans"))
+    real = F.col("size").isNotNull() & (F.col("measured") >= least)
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end")
+    return placed.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(real, span))).alias("spans"))
 
 
 def update_ledger(history: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:

@@ -199,6 +199,19 @@ def test_ledger_scans_only_unseen_blobs_and_versions(spark):
     assert got == {0: 1, 1: 1, 2: 1, 8: 1, 9: 0}
 
 
+def test_ledger_keeps_clean_blobs(spark):
+    """Blobs without a hit, with a hit too short for a secret, empty and null texts aren't scanned a second time."""
+    texts = ["nothing here", "secret=short", "", None, "secret=ABCDEFGHIJKL", "nothing here"]
+    history = secrets.blobs(frame(spark, texts))
+    found, ledger = secrets.scan_history(frame(spark, texts))
+    assert sorted(len(r.spans) for r in ledger.collect()) == [0, 0, 0, 1]
+    assert [len(r.spans) for r in found.orderBy("path").collect()] == [0, 0, 0, 0, 1, 0]
+    assert secrets.update_ledger(history, ledger).count() == 0
+    assert secrets.update_ledger(history, ledger, "another version").count() == 4
+    again, new = secrets.scan_history(frame(spark, [*texts, "more, but clean"]), ledger=ledger)
+    assert [len(r.spans) for r in new.collect()] == [0] and again.count() == 7
+
+
 def test_rule_measures(spark, texts, docs):
     got = {r.doc_id: r for r in rules.measure(docs).collect()}
     assert len(got) == len(texts)

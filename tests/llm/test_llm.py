@@ -1,8 +1,10 @@
 """The pipeline operators against brute force: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -344,6 +346,77 @@ def test_html(spark):
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(html.main_text("<article>" + "<p>word</p>" * 20000 + "</article>")) == 20000 * 5 - 1
+    began = time.perf_counter()
+    for part in ("<span>x ", "<p>x <b>y", "<table><tr><td>x", '<p a="x>y ', "</b></p><a ==", "<!-<a/"):
+        html.main_text(part * 20_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_only_whole_names_say_that_something_is_no_article():
+    assert html.main_text('<article><h2 id="related-work">Related</h2><section class="social-history">Once.</section><p class="search-algorithms">Find.</p><p class="share-prices">Rise.</p><p>A text.</p></article>') == "Related Once. Find. Rise. A text."
+    assert html.main_text('<article><p>A text.</p><div class="social-share">x</div><ul class="navMenu"><li>y</ul><p id="ad-1">z</p><section id="comments">w</section></article>') == "A text."
+    assert html.main_text('<div class="banner"><h1>Head</h1><p>A text.</p></div><div>more</div>') == "Head A text. more"
+    assert html.main_text('<div class="widget"><p>All there is.</p></div>') == "All there is."
+
+
+def test_references_are_decoded_in_each_text_run():
+    assert html.main_text("<article>AT&am<b>p;T &lt;</b>b></article>") == "AT&amp;T <b>"
+    assert html.main_text('<p title="x>Hello') == "Hello"
+
+
+def test_density_decides(monkeypatch):
+    """Of two articles the dense one, and of nameless elements the prose, not the links; without density neither."""
+    prose = "".join(f"<p>Paragraph {k} of the main text goes on for a while here.</p>" for k in range(8))
+    pages = [f"<body><article><h3>Teaser</h3>{'<p>Read on.</p>' * 20}</article><article><h1>Head</h1>{prose}</article></body>", "<body><div>" + "<a href=x>somewhere</a> " * 40 + f"</div><div>{prose}</div><div><a href=y>up</a></div></body>"]
+    expected = " ".join(f"Paragraph {k} of the main text goes on for a while here." for k in range(8))
+    assert [html.main_text(p) for p in pages] == ["Head " + expected, expected]
+    monkeypatch.setattr(html, "composite", lambda chars, *_: float(chars > 0))
+    assert all(html.main_text(p) != e for p, e in zip(pages, ["Head " + expected, expected], strict=True))
+
+
+def random_tree(rng, depth=0):
+    tag = rng.choice(["div", "section", "p", "span", "a"]) if depth else "body"
+    deeper = depth < 5 and tag not in ("p", "a")
+    parts = [random_tree(rng, depth + 1) if deeper and rng.random() < 0.6 else "word " * rng.randint(1, 30) for _ in range(rng.randint(1, 5))]
+    return tag, parts
+
+
+def rendered(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>" + "<!---->".join(map(rendered, tree[1])) + f"</{tree[0]}>"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_extraction_equals_plain_densities(seed):
+    """Brute force: every node's counts from all text and tags below it, every sum, the way, the threshold."""
+    tree = random_tree(random.Random(seed))
+
+    def below(x):
+        return [] if isinstance(x, str) else [x, *(y for p in x[1] for y in below(p))]
+
+    def chars(x, linked=False):
+        linked = linked or x[0] == "a" and not isinstance(x, str)
+        return np.array([len(x.strip()), len(x.strip()) * linked]) if isinstance(x, str) else sum(chars(p, linked) for p in x[1])
+
+    def density(x, under="", share=chars(tree)[1] / chars(tree)[0]):
+        c, links = chars(x, under == "a")
+        inner = below(x)[1:]
+        t, lt = max(1, len(inner)), max(1, sum(y[0] == "a" for y in inner))
+        base = 1 + math.log(c / max(1, c - links) * links + share * c + math.e)
+        return c / t * max(0, math.log(c / max(1, links) * t / lt)) / math.log(base)
+
+    total = lambda x: sum(density(p, x[0]) for p in x[1])
+    best = max(below(tree), key=total)
+    way = [x for x in below(tree) if any(y is best for y in below(x))]
+    least = min(map(density, way))
+
+    def text(x, whole):
+        if isinstance(x, str):
+            return x
+        whole = whole or x is best
+        kept = [p for p in x[1] if whole or isinstance(p, str) or any(p is y for y in way) or density(p) >= least]
+        return (" " if x[0] in ("span", "a") else "\n") + "".join(text(p, whole or not any(p is y for y in way)) for p in kept) + " "
+
+    assert html.main_text(rendered(tree)).split() == text(tree, False).split()
 
 
 def test_classifier(spark):

@@ -20,6 +20,8 @@ ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SHINGLE_WORDS = 5
 #: Bytes of one Arrow batch between the JVM and a Python worker; a worker holds a few of them at a time.
 BATCH_BYTES = 4 << 20
+#: Keys that a skewed join broadcasts are fewer than so many.
+HOT_KEYS = 2_000
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
@@ -48,6 +50,18 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row per key and, in weight, how many of left's rows hold it (dropped).
+
+    Keys of more than one in HOT_KEYS of left's rows, so fewer than HOT_KEYS of them whatever the data, are broadcast;
+    the rest are shuffled, so no task gathers the rows of a hot key.
+    """
+    hot = F.col(weight) * HOT_KEYS > rows
+    met = left.join(F.broadcast(right.where(hot).drop(weight)), key)
+    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
+    return met.unionByName(rest.join(right.where(~hot).drop(weight), key, how))
+
+
 def ascii_lower(text: str) -> str:
     """A-Z in lower case, all else as it is."""
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)

@@ -7,10 +7,13 @@ one pair in ten million), so a node needs to stand only in the lists of its rare
 documents share stands last in that order and makes no list of theirs meet.
 
 Every list names a pivot, its smallest node, and the nodes with a common pivot form a bucket, in which each pair that
-shares a list meets. A bucket beyond a fixed size is cut into blocks that meet pairwise. Inside a block, overlaps of
-sketches and then the union-sketch estimate filter the pairs, the whole sets decide, and pairs already connected are
-skipped, so a bucket returns at most one link for each of its nodes. Components come from alternating large and small
-stars; no list, link or component is ever gathered on the driver.
+shares a list meets. Inside a block of a bucket, overlaps of sketches and then the union-sketch estimate filter the
+pairs, the whole sets decide, and pairs already connected are skipped, so a block returns at most one link for each of
+its nodes. A bucket beyond a fixed size is cut into blocks, and its pivot stands in each: one round, in which every node
+is sent once, connects a group of near copies. Nodes that it leaves apart from the pivot get a pivot of their own in
+the next round, as long as rounds connect most of them. What is still apart meets, in blocks by pairs, the nodes with
+which it shares a list but no component. Components come from alternating large and small stars. No list, link or
+component is ever gathered on the driver, and joins on values, contents and roots split hot keys.
 
 Defined results: null text is the empty text, which is linked with nothing; a null doc_id takes part in links but never
 names a component unless all of its ids are null; repeated rows are copies; an empty table gives no rows; other columns
@@ -21,20 +24,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import SHINGLE_WORDS, bound_batches, checkpointed, text_of
+from spanspark.llm.common import SHINGLE_WORDS, bound_batches, checkpointed, skew_join, text_of
 
 PERCENT = 75
 K = 64
 #: Retained values of the union that a pair at the threshold shares at least, but for a chance under 1e-7 (binomial).
 SHARED = 26
 #: Of a block: nodes, and shingles of all nodes.
-BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
+#: A further round of pivots must leave at most this part of the nodes that the last one left apart.
+ROUND_LEAVES = 0.7
 #: Pivots of all nodes in a table that is broadcast at most (a node has 39 at most, so many bytes each).
 BROADCAST_PLACES = 1_000_000
 CACHE_WORDS, LONGEST_KEPT = 150_000, 64
@@ -99,7 +105,8 @@ def rare_lists(nodes: DataFrame) -> DataFrame:
     """(value, node) for the rarest retained values of each node that it shares with another."""
     values = nodes.select("node", F.least("n", F.lit(K)).alias("m"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = values.join(shared, "value").groupBy("node", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    rows = nodes.select(F.coalesce(F.sum(F.least("n", F.lit(K))), F.lit(0))).first()[0]
+    held = skew_join(values, shared.withColumn("holders", F.col("df")), "value", "holders", rows).groupBy("node", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     least = F.when(F.col("m") <= K * PERCENT // 100, F.ceil(F.col("m") * PERCENT / 100)).otherwise(SHARED)
     taken = (F.col("m") - least + 1 - (F.col("m") - F.size("held"))).cast("int")
     return held.where(taken > 0).select("node", F.explode(F.slice("held", F.lit(1), taken)).alias("x")).select(F.col("x.value").alias("value"), "node")
@@ -107,8 +114,8 @@ def rare_lists(nodes: DataFrame) -> DataFrame:
 
 def buckets(lists: DataFrame) -> DataFrame:
     """(pivot, node): each node with the smallest node of each of its lists."""
-    pivots = lists.groupBy("value").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return lists.join(pivots, "value").select("pivot", "node").distinct()
+    pivots = lists.groupBy("value").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return skew_join(lists, pivots, "value", "size", lists.count()).select("pivot", "node").distinct()
 
 
 class Forest:
@@ -193,14 +200,72 @@ def block_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     return [(nodes[r], nodes[k]) for k, r in enumerate(forest.roots().tolist()) if r != k]
 
 
-def links(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(u, v), u < v: links between nodes, confirmed on the whole sets of docs(row, whole)."""
-    weighed = checkpointed(members.join(nodes.select("node", "n", "row"), "node"))
-    blocks = weighed.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = checkpointed(blocks)  # so that both sides of the next join are dealt anew and a hot pivot's rows can be split
-    places = checkpointed(weighed.join(blocks, "pivot").groupBy("node", "row").agg(F.collect_list(F.struct("pivot", "blocks")).alias("places")))
-    small = weighed.count() <= BROADCAST_PLACES
-    texts = docs.select("row", "whole").join(F.broadcast(places) if small else places, "row").select("node", "whole", F.col("places.pivot").alias("pivots"), F.col("places.blocks").alias("blocks"))
+def place(i, j, times_i=1, times_j=1):
+    """Where a node stands in its bucket: the blocks from (i, j) to (i + times_i, j + times_j), exclusive."""
+    return F.struct(F.col("pivot"), *(F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in zip(("i", "j", "times_i", "times_j"), (i, j, times_i, times_j), strict=True)))
+
+
+def block_counts(rows: DataFrame, name: str = "blocks") -> DataFrame:
+    """(pivot, blocks, held): blocks that a bucket's rows(pivot, node, n) fill, and their number."""
+    return rows.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name), F.count(F.lit(1)).alias("held"))
+
+
+def with_lead(docs: DataFrame, rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """A round in which the first node of each bucket of rows(pivot, node, n, row) stands in all blocks of the bucket.
+
+    Returns its links, and the rows of buckets of several blocks with that node as lead.
+    """
+    counted = checkpointed(block_counts(rows).join(rows.groupBy("pivot").agg(F.min("node").alias("lead")), "pivot"))
+    dealt = checkpointed(skew_join(rows, counted, "pivot", "held", n_rows))
+    first = F.col("node") == F.col("lead")
+    spots = dealt.select("node", "row", place(F.when(first, 0).otherwise(F.pmod("node", F.col("blocks"))), 0, F.when(first, F.col("blocks")).otherwise(1)).alias("place"))
+    return meet(docs, spots, n_rows), dealt.where("blocks > 1").drop("blocks")
+
+
+def apart(rows: DataFrame, named: DataFrame, n_rows: int) -> DataFrame:
+    """The rows(pivot, node, lead) whose component, by named(node, root), isn't their lead's."""
+    rooted = rows.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    leads = checkpointed(rooted.groupBy("pivot").agg(F.min_by("root", F.col("node") != F.col("lead")).alias("lead_root"), F.count(F.lit(1)).alias("held")))
+    return checkpointed(skew_join(rooted, leads, "pivot", "held", n_rows).where("root <> lead_root").drop("root", "lead_root", "lead"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(u, v), u < v: links between nodes that share one of lists(value, node), confirmed on the whole sets of docs(row, whole)."""
+    weighed = checkpointed(buckets(lists).join(nodes.select("node", "n", "row"), "node"))
+    found, large = with_lead(docs, weighed, weighed.count())
+    rest, n_large = large, large.count()
+    left = n_large
+    while left:
+        named = checkpointed(components(found))
+        rest, before = apart(rest, named, left), left
+        left = rest.count()
+        if not left or left > ROUND_LEAVES * before:
+            break
+        more, rest = with_lead(docs, rest, left)
+        found, left = checkpointed(found.union(more)), rest.count()
+    if not n_large:
+        return found
+    far = apart(large, components(found), n_large)
+    return found if far.isEmpty() else found.union(across(docs, far, large.drop("lead"), components(found), lists))
+
+
+def across(docs: DataFrame, far: DataFrame, large: DataFrame, named: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links of nodes that rounds have left apart to all of their bucket that share a list, but no component, with another."""
+    rooted = lists.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a < b").select("value", "held")
+    open_nodes = checkpointed(skew_join(lists, checkpointed(mixed), "value", "held", lists.count()).select("node").distinct())
+    own, all_of = checkpointed(far.join(open_nodes, "node")), checkpointed(large.join(open_nodes, "node"))
+    n_own, n_all = own.count(), all_of.count()
+    counts = checkpointed(block_counts(own, "own_blocks").withColumnRenamed("held", "own_held").join(block_counts(all_of, "all_blocks"), "pivot"))
+    one = skew_join(own, counts.drop("held"), "pivot", "own_held", n_own).select("node", "row", place(F.pmod("node", F.col("own_blocks")), 0, 1, F.col("all_blocks")).alias("place"))
+    other = skew_join(all_of, counts.drop("own_held"), "pivot", "held", n_all).select("node", "row", place(0, F.pmod("node", F.col("all_blocks")), F.col("own_blocks"), 1).alias("place"))
+    return meet(docs, one.union(other), n_own + n_all)
+
+
+def meet(docs: DataFrame, spots: DataFrame, n_spots: int) -> DataFrame:
+    """(u, v), u < v: links that connect what stands in a common block of spots(node, row, place)."""
+    places = checkpointed(spots.groupBy("node", "row").agg(F.collect_list("place").alias("places")))
+    texts = docs.select("row", "whole").join(F.broadcast(places) if n_spots <= BROADCAST_PLACES else places, "row").select("node", "whole", *(F.col(f"places.{k}").alias(k) for k in ("pivot", "i", "j", "times_i", "times_j")))
     names = ["pivot", "i", "j", "node", "shingles"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +273,11 @@ def links(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             held = 0
-            for node, text, pivots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for node, text, *spots_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, hashes).view(np.int64)
-                for pivot, count in zip(pivots, counts, strict=True):
-                    own = node % count
-                    for other in range(count):
-                        for x, y in zip(out, (pivot, min(own, other), max(own, other), node, s), strict=True):
+                for pivot, i0, j0, times_i, times_j in zip(*spots_, strict=True):
+                    for i, j in product(range(i0, i0 + times_i), range(j0, j0 + times_j)):
+                        for x, y in zip(out, (pivot, i, j, node, s), strict=True):
                             x.append(y)
                         held += len(s)
                         if held > BLOCK_SHINGLES:
@@ -250,7 +314,7 @@ def links(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
 
     blocks_ = texts.mapInArrow(placed, "pivot bigint, i int, j int, node bigint, shingles array<bigint>")
-    return blocks_.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node").mapInArrow(linked, "u bigint, v bigint").distinct()
+    return checkpointed(blocks_.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node").mapInArrow(linked, "u bigint, v bigint"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,10 +327,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select("m", F.explode(F.array("u", "v")).alias("v")).where("m < v").select(F.col("m").alias("u"), "v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("held"))
+        large = skew_join(both, least, "u", "held", 2 * before[0]).where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("held"))
+        small = skew_join(large, least, "v", "held", before[0]).select("m", F.explode(F.array("u", "v")).alias("v")).where("m < v").select(F.col("m").alias("u"), "v").distinct()
         edges = checkpointed(small)
         if (after := state(edges)) == before:
             break
@@ -278,14 +342,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of id and text), n_shingles, component_id, kept, first (the group's one row key to keep) for docs(doc_id, text)."""
     base = bound_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("whole")).withColumn("row", F.xxhash64("doc_id", "whole"))
     sketches = checkpointed(sketched(base.select("doc_id", "row", "whole")))
-    by_set = sketches.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("least_doc"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = checkpointed(by_set.select("content", "least_doc", "least", F.col("least.row").alias("row"), "n", "sketch", F.monotonically_increasing_id().alias("node")))
-    members = checkpointed(buckets(rare_lists(nodes)))
-    roots = components(links(base, nodes, members))
-    named = nodes.join(roots, "node", "left").select("content", "least_doc", "least", F.coalesce("root", "node").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.min("least").alias("least"))
-    by_content = checkpointed(named.join(groups.select("root", "component_id", F.col("least.row").alias("first")), "root").select("content", "component_id", "first"))
-    found = sketches.select("doc_id", "row", F.col("n").alias("n_shingles"), "content").join(by_content, "content", "left")
+    by_set = sketches.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("least_doc"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    nodes = checkpointed(by_set.select("content", "copies", "least_doc", "least", F.col("least.row").alias("row"), "n", "sketch", F.monotonically_increasing_id().alias("node")))
+    roots = components(links(base, nodes, checkpointed(rare_lists(nodes))))
+    named = checkpointed(nodes.join(roots, "node", "left").select("content", "copies", "least_doc", "least", F.coalesce("root", "node").alias("root")))
+    groups = checkpointed(named.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.min("least").alias("least"), F.count(F.lit(1)).alias("held")).select("root", "component_id", F.col("least.row").alias("first"), "held"))
+    by_content = checkpointed(skew_join(named.select("content", "copies", "root"), groups, "root", "held", named.count()).drop("root"))
+    found = skew_join(sketches.select("doc_id", "row", F.col("n").alias("n_shingles"), "content"), by_content, "content", "copies", sketches.count(), "left")
     alone = F.col("content").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.when(alone, F.col("row")).otherwise(F.col("first")).alias("first"))

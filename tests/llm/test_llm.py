@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanspark.llm import chat, classifier, decontam, html, linedup, neardup, packing, queries, rules, secrets, tokens
-from spanspark.llm.common import ascii_lower
+from spanspark.llm.common import ascii_lower, skew_join
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,6 +107,43 @@ def test_near_duplicates_of_a_dense_group(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(ids, texts)
 
 
+def test_near_duplicates_of_clusters_in_one_bucket(spark, monkeypatch):
+    """Groups of near copies that share half of their words, some joined by a text between them: several rounds, then all that is left."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 8)
+    rng = random.Random(8)
+    shared_words = [f"s{k}" for k in range(100)]
+    texts = []
+    for cluster in range(5):
+        own = [f"c{cluster}w{k}" for k in range(60)]
+        for k in range(20):
+            w = shared_words + own[: 60 - rng.randint(0, 3)]
+            w[rng.randrange(len(w))] = f"x{cluster}_{k}"
+            texts.append(" ".join(w))
+    texts += [" ".join(shared_words + [f"c0w{k}" for k in range(31)] + [f"c1w{k}" for k in range(31, 60)]), *(" ".join(shared_words + [f"y{k}_{j}" for j in range(60)]) for k in range(30))]
+    rng.shuffle(texts)
+    got = neardup.near_duplicates(frame(spark, texts)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == brute_components(list(range(len(texts))), texts)
+
+
+def test_a_large_group_sends_each_text_about_once(spark, monkeypatch):
+    """The sets that meet in blocks grow with the group, not with its square."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 16)
+    sent = []
+    meet = neardup.meet
+    monkeypatch.setattr(neardup, "meet", lambda docs, spots, n: (sent.append(spots.select(F.sum(F.col("place.times_i") * F.col("place.times_j"))).first()[0]), meet(docs, spots, n))[1])
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join([*base[: k % 140], f"x{k}", *base[k % 140 + 1 :]]) for k in range(800)]
+    got = neardup.near_duplicates(frame(spark, texts)).select("component_id").distinct().count()
+    assert got == 1 and sum(x or 0 for x in sent) < 40 * 800 * 1.2
+
+
+def test_skewed_joins_equal_plain_ones(spark):
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = left.where("k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.max("x").alias("m"))
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, skew_join(left, right, "k", "held", 5000, how).collect()), key=str) == sorted(map(tuple, left.join(right.drop("held"), "k", how).collect()), key=str)
+
+
 def test_near_duplicates_keep_one_row_key_per_group(spark, texts, docs):
     rows = neardup.near_duplicates(docs).where("n_shingles > 0").collect()
     by = defaultdict(set)

@@ -541,6 +541,63 @@ def test_decontamination_equals_alignment_of_all_pairs(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [d for d in range(len(docs)) if d not in {d for d, _ in expected}]
 
 
+def edited_copy(rng, words, rate):
+    out = []
+    for k, w in enumerate(words):
+        if rng.random() < rate:
+            out += rng.choice([[], [f"new{k}"], [w, f"new{k}"], [f"new{k}", f"more{k}"]])
+        else:
+            out.append(w)
+    return out
+
+
+def test_recall_under_spread_edits():
+    """Of copies edited all over that an alignment of all pairs finds, at least 0.99 are found; what is missed scores next to nothing above the limit."""
+    rng = random.Random(12)
+    items = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(10, 60)))) for k in range(40)]
+    seeds = decontam.Seeds.of(items)
+    n = missed = 0
+    for k, text in items:
+        for rate in (0.1, 0.2, 0.3, 0.35, 0.4):
+            for _ in range(5):
+                own, copy = text.split(), edited_copy(rng, text.split(), rate)
+                score = smith_waterman(own, copy) / (decontam.MATCH * len(own))
+                if score >= decontam.LEAST_SCORE:
+                    n += 1
+                    if not any(m[1] == k for m in decontam.chunk_matches(["x y z " + " ".join(copy) + " u v"], seeds)):
+                        missed += 1
+                        assert score <= decontam.LEAST_SCORE + 1 / len(own)
+    assert n > 500 and missed <= 0.01 * n
+
+
+def test_regular_edits_are_found():
+    """A foreign word after every pair, and every third word changed, added or missing."""
+    own = [f"w{k}" for k in range(16)]
+    seeds = decontam.Seeds.of([(7, " ".join(own))])
+    pairs = [x for k, w in enumerate(own) for x in ([w, f"x{k}"] if k % 2 else [w])]
+    changed = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(own)]
+    missing = [w for k, w in enumerate(own) if k % 3 < 2]
+    for copy in (own, pairs, changed, missing):
+        assert [m[1] for m in decontam.chunk_matches([" ".join(copy)], seeds)] == [7]
+
+
+def test_slices_and_parts_change_nothing(spark, monkeypatch):
+    """A benchmark in many slices, seeds that many items share, and few hits sorted at a time."""
+    rng = random.Random(13)
+    common = "which of the following is right"
+    items = [(k, f"{common} " + " ".join(f"w{rng.randrange(300)}" for _ in range(12))) for k in range(60)]
+    docs = [" ".join([*(f"w{rng.randrange(300)}" for _ in range(20)), common, *edited_copy(rng, items[k % 60][1].split(), 0.15)]) for k in range(90)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    expected = sorted(map(tuple, decontam.find(frame(spark, docs), bench).collect()))
+    assert len(expected) >= 85
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 1500)
+    monkeypatch.setattr(decontam, "SORTED_HITS", 50)
+    monkeypatch.setattr(decontam, "CHUNK_WORDS", 30)
+    assert sorted(map(tuple, decontam.find(frame(spark, docs), bench).collect())) == expected
+    clean = decontam.uncontaminated(frame(spark, docs), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(set(range(90)) - {x[0] for x in expected})
+
+
 def test_common_passages_keep_their_seeds(spark):
     """A benchmark passage that most documents hold is still found in all of them."""
     passage = "one two three four five six seven eight nine ten eleven twelve"

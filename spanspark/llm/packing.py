@@ -1,12 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 A task tokenises its documents and sends on one short row per piece (never ids or text). Pieces are dealt evenly over
-groups of about ``group_pieces`` rows, so no group grows with the input or with any key, and each group is packed in
-one task: a bin is filled greedily with the largest pieces that fit, then its smallest piece is replaced by the two
+groups of about ``group_pieces`` rows, so no group grows with the input or with any key. The groups are shuffled over
+the session's partitions, however many groups there are, and stream through a task one by one: a bin is filled greedily with the largest pieces that fit, then its smallest piece is replaced by the two
 unpacked pieces that together fill the widened gap more tightly, until no such pair is tighter.
 
 Defined results: null text is the empty text (one piece of one token, the end id); rows with the same or a null doc_id
-are documents of their own; an empty table gives no rows; other columns of the input are ignored.
+are documents of their own; equal lengths are taken in the order they come; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanspark.llm.common import bound_batches, text_of
-from spanspark.llm.tokens import LETTER, load
+from spanspark.llm.tokens import LETTER, load, spelled
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 8192
 CACHE_WORDS = 250_000
@@ -33,6 +33,13 @@ PLAIN = re.compile("[\t\n -&(-;=-~\xa1-įı-ɏ]*")
 MARKS = re.compile(f"(?<=[{LETTER}])([.,])(?=[ \n])")
 ODD_MARKS = re.compile("[^a-z\xdf-\xf6\xf8-\xff][.,][ \n]")
 LETTERS = re.compile(f"[{LETTER}]+")
+PIECES = 4096, 1, 8192
+CACHE_WORDS = 250_000
+#: Texts of plain Latin characters without an apostrophe or control string; in them a mark after a letter is a part by itself.
+PLAIN = re.compile("[\t\n -&(-;=-~\xa1-įı-ɏ]*")
+MARKS = re.compile(f"(?<=[{LETTER}])([.,])(?=[ \n])")
+ODD_MARKS = re.compile("[^a-z\xdf-\xf6\xf8-\xff][.,][ \n]")
+LETTERS = re.compile(f"[{LETTER}]+")
 #: The byte-level alphabet: bytes that are printable in Latin-1 stand for themselves, the others for characters from 256 on.
 ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -53,7 +60,7 @@ class WordIds(dict):
         if word.isascii() and word.isalpha() and word.islower():
             ids = [t.id for t in self.model.tokenize(word)]
         elif LETTERS.fullmatch(word) and word == word.lower():
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(ALPHABET))]
+            ids = [t.id for t in self.model.tokenize(spelled(word))]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         if len(self) >= CACHE_WORDS:
@@ -139,23 +146,28 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), dealt % groups))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "pack_group"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def packed(group: int, rows: pa.Table) -> list[pa.RecordBatch]:
+        length = rows["length"].to_numpy()
+        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for k, members in enumerate(pack(length, capacity)):
+            sequence[members] = (group << 32) + k
+            offset[members] = np.cumsum(length[members]) - length[members]
+        return rows.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).combine_chunks().to_batches()
+
+    def pack_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            held.append(batch)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        group, length = t["pack_group"].to_numpy(), t["length"].to_numpy()
-        sequence, offset = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            for k, members in enumerate(pack(length[at], capacity)):
-                m = at[members]
-                sequence[m] = (int(g) << 32) + k
-                offset[m] = np.cumsum(length[m]) - length[m]
-        yield from t.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches()
+            group = batch.column("pack_group").to_numpy()
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
+            for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
+                if held and now != group[a]:
+                    yield from packed(now, pa.Table.from_batches(held))
+                    held = []
+                now = int(group[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from packed(now, pa.Table.from_batches(held))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     pieces = texts.mapInArrow(cut, f"{PIECES}, pack_group bigint")
-    return pieces.repartition(groups, "pack_group").mapInArrow(place, f"{PIECES}, sequence_id bigint, offset bigint")
+    return pieces.repartition("pack_group").sortWithinPartitions("pack_group").mapInArrow(pack_groups, f"{PIECES}, sequence_id bigint, offset bigint")

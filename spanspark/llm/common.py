@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,13 @@ HOT_KEYS = 2_000
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends at most BATCH_BYTES at a time to Python workers, whatever the length of its texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """df; its session sends at most BATCH_BYTES at a time to Python workers, whatever the length of its texts.
+
+    A smaller bound of the session stays. The bound is read when a query starts, so it stays set.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not str(now := conf.get(name)).isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
@@ -39,6 +45,23 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """The names, lengthened until no taken column is called like them in any case."""
+    held = {x.lower() for x in taken}
+    found = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        found.append(name)
+    return tuple(found)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that is no longer read, in whatever store it is."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

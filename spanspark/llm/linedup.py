@@ -4,7 +4,8 @@ A line's key is the line stripped of ASCII white space with A-Z in lower case. E
 long key: a 128-bit hash, its id and the line positions. The rows are range-partitioned by (hash, id) and sorted; a
 stream over each partition sees the smallest id of a hash first and drops the positions of all later ids. A hash whose
 rows fill several partitions is settled by the partitions' ends (one short row per partition), so a line that a third of
-all documents share is split like any other. What comes back is a compressed keep bitmap per document, not text.
+all documents share is split like any other. What comes back is a compressed keep bitmap per document that loses lines,
+made from positions alone; texts meet it only where the caller wants them cut.
 
 Defined results: null text is the empty text (one empty line); a null doc_id ranks after every id and all null ids count
 as one document; rows that repeat a doc_id count as one document and each keeps its own lines; keys shorter than
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import BLANKS, bound_batches, checkpointed, text_of
+from spanspark.llm.common import BLANKS, bound_batches, checkpointed, quoted, text_of
 
 MIN_CHARS = 10
 LAST_ID = 2**63 - 1
@@ -108,51 +109,65 @@ def later_lines(ordered: DataFrame, carried_in: dict) -> DataFrame:
     return ordered.mapInArrow(stream, "doc bigint, row bigint, lines array<int>")
 
 
-def decided(docs: DataFrame, min_chars: int, carry: Sequence[str]) -> DataFrame:
-    """doc_id, the carried columns as carried_0 and so on, whole (the text), and lines: the positions to drop, null if none."""
-    base = bound_batches(docs).select("doc_id", *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), text_of().alias("whole"))
-    base = base.withColumn("row", F.xxhash64("doc_id", "whole"))
+def dropped_bitmaps(base: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, row, n_dropped, keep) of each row of base(doc, row, whole) that loses lines.
+
+    keep is a zlib-compressed bit per line, up to the byte of the last line that goes; what it doesn't reach is kept.
+    """
     lines = checkpointed(hashed_lines(base.select("doc", "row", "whole"), min_chars))
     order = ["h1", "h2", "doc", "row"]
     ordered = checkpointed(lines.repartitionByRange(*order).sortWithinPartitions(*order))
-    dropped = later_lines(ordered, partition_ends(ordered)).groupBy("doc", "row").agg(F.flatten(F.collect_list("lines")).alias("lines"))
-    # The texts stream past the short rows of their partition; neither side is sorted.
-    return base.join(dropped.hint("shuffle_hash"), ["doc", "row"], "left").drop("doc", "row")
-
+    dropped = later_lines(ordered, partition_ends(ordered)).groupBy("doc", "row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_lines, n_dropped, keep (zlib-compressed bits, one per line) and the carried columns of docs(doc_id, text)."""
-
-    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, bits = batch.column("n_lines").to_pylist(), [], []
-            for size, lines in zip(n, batch.column("lines").to_pylist(), strict=True):
-                keep = np.ones(size, bool)
-                keep[lines or []] = False
-                gone.append(size - int(keep.sum()))
+            sizes, bits = [], []
+            for lines in batch.column("lines").to_pylist():
+                keep = np.ones((max(lines) // 8 + 1) * 8, bool)
+                keep[lines] = False
+                sizes.append(len(lines))
                 bits.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-            out = {c: batch.column(c) for c in batch.schema.names if c != "lines"}
-            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(gone, pa.int64()), pa.array(bits, pa.binary())], [*out, "n_dropped", "keep"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["doc", "row", "n_dropped", "keep"])
+
+    return dropped.mapInArrow(bitmaps, "doc bigint, row bigint, n_dropped bigint, keep binary")
+
 
+def with_bitmaps(docs: DataFrame, min_chars: int, carry: Sequence[str]) -> DataFrame:
+    """doc_id, the carried columns as carried_0 and so on, whole (the text), n_dropped and keep (null if no line goes)."""
+    base = bound_batches(docs).select("doc_id", *[F.col(quoted(c)).alias(f"carried_{k}") for k, c in enumerate(carry)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), text_of().alias("whole"))
+    base = base.withColumn("row", F.xxhash64("doc_id", "whole"))
+    # The texts stream past the short rows of their partition; neither side is sorted.
+    return base.join(dropped_bitmaps(base, min_chars).hint("shuffle_hash"), ["doc", "row"], "left").drop("doc", "row")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the carried columns, n_lines, n_dropped and keep (zlib-compressed bits up to the last line that goes, null if none goes) of docs(doc_id, text)."""
     size = (F.length("whole") - F.length(F.replace(F.col("whole"), F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines")
-    joined = decided(docs, min_chars, carry).select("doc_id", *[F.col(f"carried_{k}") for k in range(len(carry))], size, "lines")
-    fields = [f for f in joined.schema.fields if f.name != "lines"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", n_dropped bigint, keep binary"
-    return joined.mapInArrow(bitmap, schema).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
+    own = with_bitmaps(docs, min_chars, carry)
+    return own.select("doc_id", *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)), size, F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"), "keep")
 
 
 def kept_texts(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text cut to its kept lines (null text: empty), and the carried columns of docs(doc_id, text).
+    """doc_id, text cut to its kept lines (null text: empty), and the carried columns of docs(doc_id, text)."""
+    own = with_bitmaps(docs, min_chars, carry).drop("n_dropped").withColumnRenamed("whole", "text")
+    names = ["doc_id", "text", *(f"carried_{k}" for k in range(len(carry)))]
 
-    The positions to drop, the bitmap's zeros, are applied where the join has brought them; no text goes to Python for it.
-    """
-    cut = r"transform(array(split(whole, '\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), lines), i -> ls[i]), '\n'))[0]"
-    own = decided(docs, min_chars, carry)
-    return own.select("doc_id", F.expr(f"case when lines is null then whole else {cut} end").alias("text"), *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column("keep")
+            text = batch.column("text")
+            if keep.null_count < len(keep):
+                text = pa.array([t if k is None else kept_text(t, k) for t, k in zip(text.to_pylist(), keep.to_pylist(), strict=True)], text.type)
+            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
+
+    kept = own.mapInArrow(cut, own.select(*names).schema)
+    return kept.select("doc_id", "text", *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)))
 
 
-def kept_text(text: str | None, keep: bytes) -> str:
-    """The lines of text whose bit is set, joined by line ends."""
+def kept_text(text: str | None, keep: bytes | None) -> str:
+    """The lines of text that a keep bitmap leaves, joined by line ends."""
+    if keep is None:
+        return text or ""
     lines = (text or "").split("\n")
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
-    return text or "" if bits.all() else "\n".join(x for x, b in zip(lines, bits.tolist(), strict=True) if b)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))[: len(lines)].tolist()
+    return "\n".join([x for x, b in zip(lines, bits, strict=False) if b] + lines[len(bits) :])

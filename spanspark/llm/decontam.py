@@ -274,7 +274,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> D
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs, all columns as they are, whose text holds no benchmark item."""
-    at, schema = docs.columns.index(text), docs.schema
+    at, own = docs.columns.index(text), docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # any names pass
 
     def without(rows: DataFrame, sent) -> DataFrame:
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +286,9 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", le
                 if keep.any():
                     yield batch.filter(pa.array(keep))
 
-        return rows.mapInArrow(clean, schema)
+        return rows.mapInArrow(clean, own.schema)
 
     kept = None
     for sent in sent_seeds(docs, benchmark):
-        kept = without(docs if kept is None else checkpointed(kept), sent)
-    return docs if kept is None else kept
+        kept = without(own if kept is None else checkpointed(kept), sent)
+    return docs if kept is None else kept.toDF(*docs.columns)

@@ -94,7 +94,8 @@ win AS (SELECT doc_id, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) >=
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM win),
 cov AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(translate(t, {BLANKS_SQL}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
-  (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest(string_split(t, chr(10))) AS x) WHERE regexp_matches(x, '[^ 	-]'))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest(string_split(t, chr(10))) AS x) WHERE regexp_matches(x, '[^ 	-
+]'))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -199,6 +199,13 @@ def test_line_dedup(spark, texts, parts):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_bitmaps_reach_to_the_last_dropped_line():
+    text = "\n".join(f"line {k}" for k in range(20))
+    keep = zlib.compress(np.packbits(np.array([1, 0, 1, 0], bool)).tobytes())
+    assert linedup.kept_text(text, keep).split("\n") == [f"line {k}" for k in range(20) if k not in (1, 3, 4, 5, 6, 7)]
+    assert linedup.kept_text(None, None) == "" and linedup.kept_text("a\nb", None) == "a\nb"
+
+
 def test_line_dedup_of_a_line_in_every_document(spark):
     """One line fills several partitions of the ordered hashes."""
     spark.conf.set("spark.sql.shuffle.partitions", 6)
@@ -265,10 +272,22 @@ def test_rule_measures(spark, texts, docs):
         assert r.base_failed == (e[0] < 50 or 100 * e[4] > 50 * e[0]) and not (r.base_failed and r.kept)
 
 
-def test_repeated_words_beyond_packed_hashes(spark, monkeypatch):
-    monkeypatch.setattr(rules, "PACKED_WORDS", 10)
-    df = spark.createDataFrame([("a b c d a b c x y z " * 3 + "q",)], "whole string")
-    assert df.select(F.expr(rules.bound(rules.repeat_words("m.ws"), "whole"))).first()[0] == 30
+def test_repeated_words_with_equal_hashes(spark):
+    """Windows whose hashes collide are told apart by their words."""
+    sql = rules.repeat_words("ws").replace("xxhash64(ws[i], ws[i + 1], ws[i + 2])", "cast(length(ws[i]) as bigint)")
+    assert "as bigint)" in sql
+    df = spark.createDataFrame([("a b c d a b c x y z " * 3 + "q", 30), ("a b c x a b c", 6), ("a b a b a b", 6), ("a b c d e f", 0), ("a b", 0)], "whole string, n int")
+    for r in df.select(F.expr(f"transform(array(split(trim(whole), ' ')), ws -> {sql})[0]").alias("got"), F.expr(f"transform(array(split(trim(whole), ' ')), ws -> {rules.repeat_words('ws')})[0]").alias("plain"), "n").collect():
+        assert r.got == r.plain == r.n
+
+
+def test_costs_leave_out_what_any_job_costs(spark, monkeypatch):
+    """A dear rule and a cheap one that reject the same texts: the cheap one comes first, every time."""
+    monkeypatch.setitem(rules.RULES, "cheap", "length({t}) > 100")
+    monkeypatch.setitem(rules.RULES, "dear", "length({t}) > 100 and {r} >= 0 and {d} >= 0")
+    docs = spark.createDataFrame([(" ".join(f"w{k}x{j % 90}" for j in range(1500)),) for k in range(60)], "whole string")
+    for _ in range(3):
+        assert rules.cascade_order(docs, ("dear", "cheap")) == ["cheap", "dear"]
 
 
 def test_cascade_keeps_what_no_rule_rejects(spark, docs):

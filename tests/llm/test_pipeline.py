@@ -70,3 +70,21 @@ def test_empty_documents(spark, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_any_column_names(spark, tmp_path):
+    """Columns called like the stages' own, with dots, backticks and blanks, come through every stage as they were."""
+    names = ["stays", "named_doc", "key_doc", "KEY_ROW", "named_row", "kept_row", "a.b", "we`ird", "two words", "row", "doc", "whole", "keep", "n", "first", "pipeline_doc", "m", "w", "ws"]
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    texts = [say(80) for _ in range(6)]
+    texts += [texts[0], texts[1] + " more", None, ""]
+    rows = [(k, t, *(f"{c}{k}" for c in names)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names))
+    spark.createDataFrame([(1, say(12))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        left = {tuple(r) for r in out.collect()}
+        assert left and {(r[0], *r[2:]) for r in left} <= {(r[0], *r[2:]) for r in rows}, name
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 1, 2, 3, 4, 5, 8, 9}

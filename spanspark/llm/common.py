@@ -77,8 +77,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: in
     """left joined to right, which has one row per key and, in weight, how many of left's rows hold it (dropped).
 
     Keys of more than one in HOT_KEYS of left's rows, so fewer than HOT_KEYS of them whatever the data, are broadcast;
-    the rest are shuffled, so no task gathers the rows of a hot key.
+    the rest are shuffled, so no task gathers the rows of a hot key. Where left has no more rows than that, any key is small.
     """
+    if rows <= HOT_KEYS:
+        return left.join(right.drop(weight), key, how)
     hot = F.col(weight) * HOT_KEYS > rows
     met = left.join(F.broadcast(right.where(hot).drop(weight)), key)
     rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")

@@ -10,10 +10,11 @@ Every list names a pivot, its smallest node, and the nodes with a common pivot f
 shares a list meets. Inside a block of a bucket, overlaps of sketches and then the union-sketch estimate filter the
 pairs, the whole sets decide, and pairs already connected are skipped, so a block returns at most one link for each of
 its nodes. A bucket beyond a fixed size is cut into blocks, and its pivot stands in each: one round, in which every node
-is sent once, connects a group of near copies. Nodes that it leaves apart from the pivot get a pivot of their own in
-the next round, as long as rounds connect most of them. What is still apart meets, in blocks by pairs, the nodes with
-which it shares a list but no component. Components come from alternating large and small stars. No list, link or
-component is ever gathered on the driver, and joins on values, contents and roots split hot keys.
+is sent once, connects a group of near copies. Nodes that their block leaves apart from the pivot get a pivot of their
+own in the next round, as long as rounds connect most of them. What is in no component with the first pivot after that
+meets, in blocks by pairs, the nodes with which it shares a list but no component. Components come from alternating
+large and small stars. No list, link or component is ever gathered on the driver, and joins on values, pivots, contents
+and roots split hot keys.
 
 Defined results: null text is the empty text, which is linked with nothing; a null doc_id takes part in links but never
 names a component unless all of its ids are null; repeated rows are copies; an empty table gives no rows; other columns
@@ -39,7 +40,7 @@ K = 64
 SHARED = 26
 #: Of a block: nodes, and shingles of all nodes.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
-#: A further round of pivots must leave at most this part of the nodes that the last one left apart.
+#: Rounds of pivots go on while one leaves at most this part of the nodes that the last one left apart.
 ROUND_LEAVES = 0.7
 #: Pivots of all nodes in a table that is broadcast at most (a node has 39 at most, so many bytes each).
 BROADCAST_PLACES = 1_000_000
@@ -200,73 +201,82 @@ def block_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
     return [(nodes[r], nodes[k]) for k, r in enumerate(forest.roots().tolist()) if r != k]
 
 
-def place(i, j, times_i=1, times_j=1):
-    """Where a node stands in its bucket: the blocks from (i, j) to (i + times_i, j + times_j), exclusive."""
-    return F.struct(F.col("pivot"), *(F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in zip(("i", "j", "times_i", "times_j"), (i, j, times_i, times_j), strict=True)))
+def place(i, j, times_i=1, times_j=1, split=False):
+    """Where a node stands in its bucket: the blocks from (i, j) to (i + times_i, j + times_j), exclusive; split: are apart nodes to be told?"""
+    numbers = (F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in zip(("i", "j", "times_i", "times_j"), (i, j, times_i, times_j), strict=True))
+    return F.struct(F.col("pivot"), *numbers, (F.lit(split) if isinstance(split, bool) else split).alias("split")).alias("place")
 
 
 def block_counts(rows: DataFrame, name: str = "blocks") -> DataFrame:
-    """(pivot, blocks, held): blocks that a bucket's rows(pivot, node, n) fill, and their number."""
-    return rows.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name), F.count(F.lit(1)).alias("held"))
+    """(pivot, blocks, held, lead): blocks that a bucket's rows(pivot, node, n) fill, the number of rows, the smallest node."""
+    return rows.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name), F.count(F.lit(1)).alias("held"), F.min("node").alias("lead"))
 
 
 def with_lead(docs: DataFrame, rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     """A round in which the first node of each bucket of rows(pivot, node, n, row) stands in all blocks of the bucket.
 
-    Returns its links, and the rows of buckets of several blocks with that node as lead.
+    Returns its links(u, v), and (pivot, node) of buckets of several blocks where a block leaves the node apart from the first.
     """
-    counted = checkpointed(block_counts(rows).join(rows.groupBy("pivot").agg(F.min("node").alias("lead")), "pivot"))
-    dealt = checkpointed(skew_join(rows, counted, "pivot", "held", n_rows))
+    dealt = skew_join(rows, checkpointed(block_counts(rows)), "pivot", "held", n_rows)
     first = F.col("node") == F.col("lead")
-    spots = dealt.select("node", "row", place(F.when(first, 0).otherwise(F.pmod("node", F.col("blocks"))), 0, F.when(first, F.col("blocks")).otherwise(1)).alias("place"))
-    return meet(docs, spots, n_rows), dealt.where("blocks > 1").drop("blocks")
+    spots = dealt.select("node", "row", place(F.when(first, 0).otherwise(F.pmod("node", F.col("blocks"))), 0, F.when(first, F.col("blocks")).otherwise(1), 1, F.col("blocks") > 1))
+    met = meet(docs, spots, n_rows)
+    return met.where("not apart").select("u", "v"), met.where("apart").select(F.col("u").alias("pivot"), F.col("v").alias("node"))
 
 
-def apart(rows: DataFrame, named: DataFrame, n_rows: int) -> DataFrame:
-    """The rows(pivot, node, lead) whose component, by named(node, root), isn't their lead's."""
-    rooted = rows.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    leads = checkpointed(rooted.groupBy("pivot").agg(F.min_by("root", F.col("node") != F.col("lead")).alias("lead_root"), F.count(F.lit(1)).alias("held")))
-    return checkpointed(skew_join(rooted, leads, "pivot", "held", n_rows).where("root <> lead_root").drop("root", "lead_root", "lead"))
-
-
-def links(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(u, v), u < v: links between nodes that share one of lists(value, node), confirmed on the whole sets of docs(row, whole)."""
+def linked_components(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, root) of nodes in components of links: pairs that share one of lists(value, node), confirmed on the whole sets of docs(row, whole)."""
     weighed = checkpointed(buckets(lists).join(nodes.select("node", "n", "row"), "node"))
-    found, large = with_lead(docs, weighed, weighed.count())
-    rest, n_large = large, large.count()
-    left = n_large
+    found, apart = with_lead(docs, weighed, weighed.count())
+    first_apart, left = apart, apart.count()
     while left:
-        named = checkpointed(components(found))
-        rest, before = apart(rest, named, left), left
-        left = rest.count()
-        if not left or left > ROUND_LEAVES * before:
+        rows = checkpointed(apart.join(nodes.select("node", "n", "row"), "node"))
+        more, apart = with_lead(docs, rows, left)
+        found, before, left = found.union(more), left, apart.count()
+        if left > ROUND_LEAVES * before:
             break
-        more, rest = with_lead(docs, rest, left)
-        found, left = checkpointed(found.union(more)), rest.count()
-    if not n_large:
-        return found
-    far = apart(large, components(found), n_large)
-    return found if far.isEmpty() else found.union(across(docs, far, large.drop("lead"), components(found), lists))
-
-
-def across(docs: DataFrame, far: DataFrame, large: DataFrame, named: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links of nodes that rounds have left apart to all of their bucket that share a list, but no component, with another."""
-    rooted = lists.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a < b").select("value", "held")
-    open_nodes = checkpointed(skew_join(lists, checkpointed(mixed), "value", "held", lists.count()).select("node").distinct())
-    own, all_of = checkpointed(far.join(open_nodes, "node")), checkpointed(large.join(open_nodes, "node"))
+    roots = components(found)
+    if first_apart.isEmpty():
+        return roots
+    far = checkpointed(not_with_lead(first_apart, weighed, checkpointed(roots)))
+    return roots if far.isEmpty() else components(found.union(across(docs, far, weighed, roots, lists)))
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows(node, …) with the root of their node, itself where it is linked with nothing."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def not_with_lead(rows: DataFrame, weighed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows(pivot, node) whose component isn't that of the first node of their bucket."""
+    leads = weighed.join(rows.select("pivot").distinct(), "pivot", "left_semi").groupBy("pivot").agg(F.min("node").alias("node"))
+    held = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("held"))
+    leads = checkpointed(rooted(leads, roots).select("pivot", F.col("root").alias("lead_root")).join(held, "pivot"))
+    return skew_join(rooted(rows, roots), leads, "pivot", "held", rows.count()).where("root <> lead_root").select("pivot", "node")
+
+
+def across(docs: DataFrame, far: DataFrame, weighed: DataFrame, roots: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links(u, v) of far(pivot, node) to all nodes of their buckets with which they share a list but no component."""
+    all_of = checkpointed(weighed.join(far.select("pivot").distinct(), "pivot", "left_semi"))
+    own_lists = checkpointed(rooted(lists.join(all_of.select("node").distinct(), "node", "left_semi"), roots))
+    mixed = own_lists.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a < b").select("value", "held")
+    open_nodes = checkpointed(skew_join(own_lists, checkpointed(mixed), "value", "held", own_lists.count()).select("node").distinct())
+    all_of = checkpointed(all_of.join(open_nodes, "node", "left_semi"))
+    own = checkpointed(all_of.join(far, ["pivot", "node"], "left_semi"))
     n_own, n_all = own.count(), all_of.count()
-    counts = checkpointed(block_counts(own, "own_blocks").withColumnRenamed("held", "own_held").join(block_counts(all_of, "all_blocks"), "pivot"))
-    one = skew_join(own, counts.drop("held"), "pivot", "own_held", n_own).select("node", "row", place(F.pmod("node", F.col("own_blocks")), 0, 1, F.col("all_blocks")).alias("place"))
-    other = skew_join(all_of, counts.drop("own_held"), "pivot", "held", n_all).select("node", "row", place(0, F.pmod("node", F.col("all_blocks")), F.col("own_blocks"), 1).alias("place"))
-    return meet(docs, one.union(other), n_own + n_all)
+    one, other = block_counts(own, "own_blocks").select("pivot", "own_blocks", F.col("held").alias("own_held")), block_counts(all_of, "all_blocks").drop("lead")
+    counts = checkpointed(one.join(other, "pivot"))
+    rows = skew_join(own, counts.drop("held"), "pivot", "own_held", n_own).select("node", "row", place(F.pmod("node", F.col("own_blocks")), 0, 1, F.col("all_blocks")))
+    columns = skew_join(all_of, counts.drop("own_held"), "pivot", "held", n_all).select("node", "row", place(0, F.pmod("node", F.col("all_blocks")), F.col("own_blocks"), 1))
+    return meet(docs, rows.union(columns), n_own + n_all).select("u", "v")
 
 
 def meet(docs: DataFrame, spots: DataFrame, n_spots: int) -> DataFrame:
-    """(u, v), u < v: links that connect what stands in a common block of spots(node, row, place)."""
+    """(u, v, apart): links u < v that connect what stands in a common block of spots(node, row, place), and, where asked
+    for, bucket u's nodes v that aren't connected to the first of their block."""
     places = checkpointed(spots.groupBy("node", "row").agg(F.collect_list("place").alias("places")))
-    texts = docs.select("row", "whole").join(F.broadcast(places) if n_spots <= BROADCAST_PLACES else places, "row").select("node", "whole", *(F.col(f"places.{k}").alias(k) for k in ("pivot", "i", "j", "times_i", "times_j")))
-    names = ["pivot", "i", "j", "node", "shingles"]
+    texts = docs.select("row", "whole").join(F.broadcast(places) if n_spots <= BROADCAST_PLACES else places, "row").select("node", "whole", *(F.col(f"places.{k}").alias(k) for k in ("pivot", "i", "j", "times_i", "times_j", "split")))
+    names = ["pivot", "i", "j", "node", "split", "shingles"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -275,9 +285,9 @@ def meet(docs: DataFrame, spots: DataFrame, n_spots: int) -> DataFrame:
             held = 0
             for node, text, *spots_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, hashes).view(np.int64)
-                for pivot, i0, j0, times_i, times_j in zip(*spots_, strict=True):
+                for pivot, i0, j0, times_i, times_j, split in zip(*spots_, strict=True):
                     for i, j in product(range(i0, i0 + times_i), range(j0, j0 + times_j)):
-                        for x, y in zip(out, (pivot, i, j, node, s), strict=True):
+                        for x, y in zip(out, (pivot, i, j, node, split, s), strict=True):
                             x.append(y)
                         held += len(s)
                         if held > BLOCK_SHINGLES:
@@ -285,7 +295,7 @@ def meet(docs: DataFrame, spots: DataFrame, n_spots: int) -> DataFrame:
                             out, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
@@ -293,28 +303,34 @@ def meet(docs: DataFrame, spots: DataFrame, n_spots: int) -> DataFrame:
             for batch in batches:
                 lists = batch.column("shingles")
                 flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                for r, x in enumerate(zip(*(batch.column(k).to_pylist() for k in names[:4]), strict=True)):
-                    if x[:3] != key:
+                for r, (pivot, i, j, node, split) in enumerate(zip(*(batch.column(k).to_pylist() for k in names[:5]), strict=True)):
+                    if (pivot, i, j, split) != key:
                         if len(nodes_) > 1:
-                            yield nodes_, sets
-                        key, nodes_, sets = x[:3], [], []
-                    nodes_.append(x[3])
+                            yield *key, nodes_, sets
+                        key, nodes_, sets = (pivot, i, j, split), [], []
+                    nodes_.append(node)
                     sets.append(flat[ends[r] : ends[r + 1]].copy())
             if len(nodes_) > 1:
-                yield nodes_, sets
+                yield *key, nodes_, sets
+
+        def rows(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["u", "v", "apart"])
 
         found = []
-        for nodes_, sets in groups():
-            if len(set(nodes_)) > 1:
-                found += block_links(nodes_, sets)
+        for pivot, _, _, split, nodes_, sets in groups():
+            pairs = block_links(nodes_, sets) if len(set(nodes_)) > 1 else []
+            found += [(u, v, False) for u, v in pairs]
+            if split:
+                near = {min(nodes_), *(v for u, v in pairs if u == min(nodes_))}
+                found += [(pivot, v, True) for v in nodes_ if v not in near]
             if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+                yield rows(found)
                 found = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+            yield rows(found)
 
-    blocks_ = texts.mapInArrow(placed, "pivot bigint, i int, j int, node bigint, shingles array<bigint>")
-    return checkpointed(blocks_.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node").mapInArrow(linked, "u bigint, v bigint"))
+    blocks_ = texts.mapInArrow(placed, "pivot bigint, i int, j int, node bigint, split boolean, shingles array<bigint>")
+    return checkpointed(blocks_.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node").mapInArrow(linked, "u bigint, v bigint, apart boolean"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,7 +360,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = checkpointed(sketched(base.select("doc_id", "row", "whole")))
     by_set = sketches.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("least_doc"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "row")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     nodes = checkpointed(by_set.select("content", "copies", "least_doc", "least", F.col("least.row").alias("row"), "n", "sketch", F.monotonically_increasing_id().alias("node")))
-    roots = components(links(base, nodes, checkpointed(rare_lists(nodes))))
+    roots = linked_components(base, nodes, checkpointed(rare_lists(nodes)))
     named = checkpointed(nodes.join(roots, "node", "left").select("content", "copies", "least_doc", "least", F.coalesce("root", "node").alias("root")))
     groups = checkpointed(named.groupBy("root").agg(F.min("least_doc").alias("component_id"), F.min("least").alias("least"), F.count(F.lit(1)).alias("held")).select("root", "component_id", F.col("least.row").alias("first"), "held"))
     by_content = checkpointed(skew_join(named.select("content", "copies", "root"), groups, "root", "held", named.count()).drop("root"))

@@ -43,7 +43,7 @@ BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
 #: Rounds of pivots go on while one leaves at most this part of the nodes that the last one left apart.
 ROUND_LEAVES = 0.7
 #: Pivots of all nodes in a table that is broadcast at most (a node has 39 at most, so many bytes each).
-BROADCAST_PLACES = 1_000_000
+BROADCAST_PLACES = 250_000
 CACHE_WORDS, LONGEST_KEPT = 150_000, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: odd multipliers of a 64-bit mixer
 
@@ -235,10 +235,10 @@ def linked_components(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> Da
         found, before, left = found.union(more), left, apart.count()
         if left > ROUND_LEAVES * before:
             break
-    roots = components(found)
+    roots = checkpointed(components(found))
     if first_apart.isEmpty():
         return roots
-    far = checkpointed(not_with_lead(first_apart, weighed, checkpointed(roots)))
+    far = checkpointed(not_with_lead(first_apart, roots))
     return roots if far.isEmpty() else components(found.union(across(docs, far, weighed, roots, lists)))
 
 
@@ -247,17 +247,17 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def not_with_lead(rows: DataFrame, weighed: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows(pivot, node) whose component isn't that of the first node of their bucket."""
-    leads = weighed.join(rows.select("pivot").distinct(), "pivot", "left_semi").groupBy("pivot").agg(F.min("node").alias("node"))
+def not_with_lead(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows(pivot, node) whose component isn't that of their bucket's first node, the pivot."""
     held = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("held"))
-    leads = checkpointed(rooted(leads, roots).select("pivot", F.col("root").alias("lead_root")).join(held, "pivot"))
+    leads = checkpointed(rooted(held.withColumn("node", F.col("pivot")), roots).select("pivot", "held", F.col("root").alias("lead_root")))
     return skew_join(rooted(rows, roots), leads, "pivot", "held", rows.count()).where("root <> lead_root").select("pivot", "node")
 
 
 def across(docs: DataFrame, far: DataFrame, weighed: DataFrame, roots: DataFrame, lists: DataFrame) -> DataFrame:
     """Links(u, v) of far(pivot, node) to all nodes of their buckets with which they share a list but no component."""
-    all_of = checkpointed(weighed.join(far.select("pivot").distinct(), "pivot", "left_semi"))
+    sizes = weighed.groupBy("pivot").agg(F.count(F.lit(1)).alias("held")).join(far.select("pivot").distinct(), "pivot", "left_semi")
+    all_of = checkpointed(skew_join(weighed, checkpointed(sizes), "pivot", "held", weighed.count()))
     own_lists = checkpointed(rooted(lists.join(all_of.select("node").distinct(), "node", "left_semi"), roots))
     mixed = own_lists.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a < b").select("value", "held")
     open_nodes = checkpointed(skew_join(own_lists, checkpointed(mixed), "value", "held", own_lists.count()).select("node").distinct())

@@ -23,6 +23,8 @@ SHINGLE_WORDS = 5
 BATCH_BYTES = 4 << 20
 #: Keys that a skewed join broadcasts are fewer than so many.
 HOT_KEYS = 2_000
+#: Short rows (of tens of bytes) that are no work for more than one task.
+ROWS_OF_A_TASK = 250_000
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
@@ -68,6 +70,16 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Has the driver forget finished steps, so that Spark's cleaner deletes their shuffle files; for loops of many short steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many short rows, in no more partitions than they need."""
+    return df.coalesce(max(1, -(-rows // ROWS_OF_A_TASK)))
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """df, a checkpointed table, to be broadcast if it has at most so many rows; beyond that joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import SHINGLE_WORDS, bound_batches, checkpointed, skew_join, text_of
+from spanspark.llm.common import SHINGLE_WORDS, bound_batches, checkpointed, drop_unused, few_tasks, skew_join, text_of
 
 PERCENT = 75
 K = 64
@@ -230,6 +230,7 @@ def linked_components(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> Da
     found, apart = with_lead(docs, weighed, weighed.count())
     first_apart, left = apart, apart.count()
     while left:
+        drop_unused(docs.sparkSession)
         rows = checkpointed(apart.join(nodes.select("node", "n", "row"), "node"))
         more, apart = with_lead(docs, rows, left)
         found, before, left = found.union(more), left, apart.count()
@@ -239,7 +240,9 @@ def linked_components(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> Da
     if first_apart.isEmpty():
         return roots
     far = checkpointed(not_with_lead(first_apart, roots))
-    return roots if far.isEmpty() else components(found.union(across(docs, far, weighed, roots, lists)))
+    if far.isEmpty():
+        return roots
+    return components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).union(across(docs, far, weighed, roots, lists)))
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -339,15 +342,16 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame):
         return tuple(e.select(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
-    edges = checkpointed(edges)
+    edges = checkpointed(few_tasks(edges, edges.count()))
     before = state(edges)
     while before[0]:
+        drop_unused(edges.sparkSession)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("held"))
         large = skew_join(both, least, "u", "held", 2 * before[0]).where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("held"))
         small = skew_join(large, least, "v", "held", before[0]).select("m", F.explode(F.array("u", "v")).alias("v")).where("m < v").select(F.col("m").alias("u"), "v").distinct()
-        edges = checkpointed(small)
+        edges = checkpointed(few_tasks(small, before[0]))
         if (after := state(edges)) == before:
             break
         before = after

@@ -21,8 +21,8 @@ ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SHINGLE_WORDS = 5
 #: Bytes of one Arrow batch between the JVM and a Python worker; a worker holds a few of them at a time.
 BATCH_BYTES = 4 << 20
-#: Keys that a skewed join broadcasts are fewer than so many.
-HOT_KEYS = 2_000
+#: Keys that a skewed join broadcasts are fewer than so many; rows (of tens of bytes) of which a task can hold all.
+HOT_KEYS, SMALL_ROWS = 500, 20_000
 #: Short rows (of tens of bytes) that are no work for more than one task.
 ROWS_OF_A_TASK = 250_000
 
@@ -88,15 +88,16 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, how: str = "inner") -> DataFrame:
     """left joined to right, which has one row per key and, in weight, how many of left's rows hold it (dropped).
 
-    Keys of more than one in HOT_KEYS of left's rows, so fewer than HOT_KEYS of them whatever the data, are broadcast;
-    the rest are shuffled, so no task gathers the rows of a hot key. Where left has no more rows than that, any key is small.
+    Keys of more than one in HOT_KEYS of left's rows, so fewer than HOT_KEYS of them whatever the data, are named and
+    their rows of right broadcast; the rest are shuffled, so no task gathers the rows of a hot key. left of no more than
+    SMALL_ROWS rows is shuffled whole.
     """
-    if rows <= HOT_KEYS:
-        return left.join(right.drop(weight), key, how)
-    hot = F.col(weight) * HOT_KEYS > rows
-    met = left.join(F.broadcast(right.where(hot).drop(weight)), key)
-    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
-    return met.unionByName(rest.join(right.where(~hot).drop(weight), key, how))
+    named = [] if rows <= SMALL_ROWS else [r[0] for r in right.where(F.col(weight) * HOT_KEYS > rows).select(key).collect()]
+    plain = right.drop(weight)
+    if not named:
+        return left.join(plain, key, how)
+    hot = F.coalesce(F.col(key).isin(named), F.lit(False))
+    return left.where(hot).join(F.broadcast(plain.where(hot)), key).unionByName(left.where(~hot).join(plain.where(~hot), key, how))
 
 
 def ascii_lower(text: str) -> str:

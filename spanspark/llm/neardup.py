@@ -105,7 +105,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 def rare_lists(nodes: DataFrame) -> DataFrame:
     """(value, node) for the rarest retained values of each node that it shares with another."""
     values = nodes.select("node", F.least("n", F.lit(K)).alias("m"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = checkpointed(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     rows = nodes.select(F.coalesce(F.sum(F.least("n", F.lit(K))), F.lit(0))).first()[0]
     held = skew_join(values, shared.withColumn("holders", F.col("df")), "value", "holders", rows).groupBy("node", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     least = F.when(F.col("m") <= K * PERCENT // 100, F.ceil(F.col("m") * PERCENT / 100)).otherwise(SHARED)
@@ -115,7 +115,7 @@ def rare_lists(nodes: DataFrame) -> DataFrame:
 
 def buckets(lists: DataFrame) -> DataFrame:
     """(pivot, node): each node with the smallest node of each of its lists."""
-    pivots = lists.groupBy("value").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    pivots = checkpointed(lists.groupBy("value").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     return skew_join(lists, pivots, "value", "size", lists.count()).select("pivot", "node").distinct()
 
 

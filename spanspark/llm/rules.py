@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import text_of
+from spanspark.llm.common import checkpointed, text_of
 
 #: Rows that the estimates look at, and the longest text among them; verdicts never depend on either.
 SAMPLE_ROWS, SAMPLE_BYTES = 200, 20_000
@@ -80,10 +80,10 @@ def condition(rule: str, t: str) -> str:
 
 def cascade_order(docs: DataFrame, rules: Sequence[str] = tuple(RULES), sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by estimated rejections per second, the best first, from sample_rows rows of docs(whole)."""
-    first = docs.select("whole").where(F.octet_length("whole") <= SAMPLE_BYTES).take(sample_rows)  # reads no more partitions than it needs
-    if not first:
+    first = checkpointed(docs.select("whole").where(F.octet_length("whole") <= SAMPLE_BYTES).limit(sample_rows))  # one small partition
+    if first.isEmpty():
         return list(rules)
-    sample = docs.sparkSession.range(0, TIMES_OVER, 1, 1).select(F.explode(F.array(*(F.lit(r.whole) for r in first))).alias("whole"))
+    sample = first.select("whole", F.explode(F.sequence(F.lit(1), F.lit(TIMES_OVER))).alias("time")).select("whole")
 
     def timed(rejects: str) -> tuple[int, float]:
         seconds = []

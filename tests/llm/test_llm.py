@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanspark.llm import chat, classifier, decontam, html, linedup, neardup, packing, queries, rules, secrets, tokens
+from spanspark.llm import chat, classifier, common, decontam, html, linedup, neardup, packing, queries, rules, secrets, tokens
 from spanspark.llm.common import ascii_lower, skew_join
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -94,6 +94,7 @@ def test_near_duplicates_of_a_dense_group(spark, monkeypatch):
     """Near copies around the threshold, in blocks that meet pairwise, with nothing small enough for a broadcast."""
     monkeypatch.setattr(neardup, "BLOCK_NODES", 16)
     monkeypatch.setattr(neardup, "BROADCAST_PLACES", 0)
+    monkeypatch.setattr(common, "SMALL_ROWS", 10)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(120)]
     texts = []
@@ -137,9 +138,10 @@ def test_a_large_group_sends_each_text_about_once(spark, monkeypatch):
     assert got == 1 and sum(x or 0 for x in sent) < 40 * 800 * 1.2
 
 
-def test_skewed_joins_equal_plain_ones(spark):
+def test_skewed_joins_equal_plain_ones(spark, monkeypatch):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
     right = left.where("k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.max("x").alias("m"))
+    monkeypatch.setattr(common, "SMALL_ROWS", 100)
     for how in ("inner", "left"):
         assert sorted(map(tuple, skew_join(left, right, "k", "held", 5000, how).collect()), key=str) == sorted(map(tuple, left.join(right.drop("held"), "k", how).collect()), key=str)
 

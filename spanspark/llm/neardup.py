@@ -39,7 +39,7 @@ K = 64
 #: Retained values of the union that a pair at the threshold shares at least, but for a chance under 1e-7 (binomial).
 SHARED = 26
 #: Of a block: nodes, and shingles of all nodes.
-BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 128, 2_000_000
 #: Rounds of pivots go on while one leaves at most this part of the nodes that the last one left apart.
 ROUND_LEAVES = 0.7
 #: Pivots of all nodes in a table that is broadcast at most (a node has 39 at most, so many bytes each).

@@ -22,7 +22,7 @@ SHINGLE_WORDS = 5
 #: Bytes of one Arrow batch between the JVM and a Python worker; a worker holds a few of them at a time.
 BATCH_BYTES = 4 << 20
 #: Keys that a skewed join broadcasts are fewer than so many; rows (of tens of bytes) of which a task can hold all.
-HOT_KEYS, SMALL_ROWS = 500, 20_000
+HOT_KEYS, SMALL_ROWS = 500, 1_000
 #: Short rows (of tens of bytes) that are no work for more than one task.
 ROWS_OF_A_TASK = 250_000
 

@@ -14,11 +14,14 @@ MIN_COUNT, MIN_LENGTH, CORPUS_ROLE = 50, 2, "S2L_MATH"
 
 
 def role_confidence(lexicon: DataFrame) -> DataFrame:
-    """(word, role, conf): each word's best confidence per role; regex patterns and negative contexts stay out."""
-    usable = lexicon.where((F.col("role") != "NEGATIVE_CONTEXT") & ~F.col("pattern").rlike(T.REGEX_CHARS))
-    level = F.when(F.col("confidence") == "low", 1).when(F.col("confidence") == "medium", 2).otherwise(3)
+    """(word, role, conf): each word's best confidence per role; regex patterns, negative contexts and words of one letter stay out.
+
+    A missing or unknown confidence is the lowest, a missing role is NONE.
+    """
+    usable = lexicon.withColumn("role", F.coalesce("role", F.lit("NONE"))).where((F.col("role") != "NEGATIVE_CONTEXT") & ~F.col("pattern").rlike(T.REGEX_CHARS))
+    level = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
     each = usable.select(F.explode(T.words(F.col("pattern"))).alias("w"), "role", level.alias("conf")).select(T.clean_word(F.col("w")).alias("word"), "role", "conf")
-    return each.where("word <> ''").groupBy("word", "role").agg(F.max("conf").alias("conf"))
+    return each.where(F.length("word") >= MIN_LENGTH).groupBy("word", "role").agg(F.max("conf").alias("conf"))
 
 
 def corpus_words(tokens: DataFrame, min_count: int = MIN_COUNT, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:

@@ -21,11 +21,12 @@ LEXICON = (
     (9, "m09", "et", "CONNECTIVE", "phrase", "medium"), (10, "m10", "in the", "RELATION", "phrase", "medium"), (11, "m11", "that", "DISCOURSE_START", "phrase", "medium"),
     (12, "m12", "de", "OBJECT", "phrase", "low"), (13, "m13", "was", "END_CONTEXT", "phrase", "low"), (14, "m14", "for", "NEGATIVE_CONTEXT", "phrase", "high"),
     (15, "m15", "the", "OBJECT", "phrase", "low"), (16, "m16", "is (to|a)", "OPERATOR", "regex", "medium"), (17, "m17", "de la", "STRUCTURE", "phrase", "high"),
+    (18, "m18", "x la", "OBJECT", "phrase", None), (19, "m19", "et de", "QUANTIFIER", "lemma", "unsure"), (20, "m20", "(was|et) (the|la|de)", "RELATION", "regex", "low"), (21, "m21", "that (the|is)", "NEGATIVE_CONTEXT", "regex", "low"),
 )
 LEXICON_SCHEMA = "ord int, id string, pattern string, role string, match_type string, confidence string"
 MATH = ("the", "of", "le", "la", "der", "die")
 LONGEST = 2
-values = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+values = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else "NULL" if v is None else str(v) for v in r) + ")" for r in rows)
 
 CLEAN = r"lower(regexp_replace({t}, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'))"
 RUN = "PARTITION BY sid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND "
@@ -50,6 +51,9 @@ raw AS (SELECT sid, i, tok, CASE WHEN (sid * 31 + i * 17) % 11 < 5 THEN 'O' WHEN
 """
 
 
+RECURSIVE = BASE.replace("WITH", "WITH RECURSIVE", 1)
+
+
 def query(name: str, sql: str | None = None, base: str = BASE):
     """Registers a query; sql continues the common tables."""
 

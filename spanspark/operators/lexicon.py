@@ -1,14 +1,18 @@
-"""Lexicon phrases over token sequences: candidate join, greedy choice, clusters, merges, and the span detectors.
+"""Lexicon entries over token sequences: candidate join, regex entries, greedy choice, clusters, merges, and the lexical detector.
 
-words: (sid, i, tok) with i counting words only. lexicon: (ord, id, pattern, role, match_type, confidence); ord is the
-lexicon's order, which settles ties. Candidates come from an equi-join of n-grams no longer than the longest pattern
-with the broadcast lexicon (a parameter of the caller, checked against ``MAX_PATTERNS``); choosing among overlapping
-candidates depends on order and is done per sentence.
+words: (sid, i, tok) with i counting words only, and lemma where there is one. lexicon: (ord, id, pattern, role,
+match_type, confidence); ord is the lexicon's order, which settles ties. Phrase, exact and lemma candidates come from an
+equi-join of n-grams no longer than the longest pattern with the lexicon; the join's strategy is left to its size. Regex
+entries (at most ``MAX_REGEXES``, collected from the lexicon) are searched in a sentence's normalised words joined by
+blanks. Choosing among overlapping candidates depends on order and is done sentence by sentence as sentences stream by.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,44 +28,124 @@ NON_VARIABLE_UPOS = ("ADP", "CCONJ", "SCONJ", "PART", "PRON")
 LEADING_UPOS = ("ADP", "SCONJ", "PART", "CCONJ")
 CLUSTER_GAP, MERGE_GAP, NEAR = 3, 2, 3
 CONFIDENCE = {"low": 1, "medium": 2, "high": 3}
-MAX_PATTERNS = 100_000
+MAX_REGEXES = 10_000
 MATCH = "sid bigint, s int, e int, role string, id string, ord int"
 
 
 def patterns(lexicon: DataFrame) -> DataFrame:
-    """lexicon with its key (normalised tokens joined) and size; regex entries and empty patterns fall away."""
+    """lexicon's phrase, exact and lemma entries with their key (normalised tokens joined) and size; empty patterns fall away."""
     own = lexicon.where(F.col("match_type").isin("phrase", "exact", "lemma")).withColumn("parts", phrase_tokens(F.col("pattern")))
     return own.withColumn("key", F.array_join("parts", " ")).withColumn("size", F.size("parts")).where("size > 0").drop("parts")
 
 
 def candidates(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
-    """(sid, s, e, role, id, ord) of every place a pattern matches."""
+    """(sid, s, e, role, id, ord) of every place a pattern matches: lemma entries by words' lemmas, others by the words.
+
+    A missing lemma is the word itself; words without a lemma column are their own lemmas.
+    """
     order = Window.partitionBy("sid").orderBy("i")
-    w = words.withColumn("w", normal_token(F.col("tok")))
+    series = {"word": F.col("tok")} | ({"lemma": F.coalesce("lemma", "tok")} if "lemma" in words.columns else {})
+    w = words.select("sid", "i", *(normal_token(c).alias(f"{k}1") for k, c in series.items()))
     for n in range(2, longest + 1):
-        w = w.withColumn(f"n{n}", F.lead("w", n - 1).over(order))
-    grams = [F.struct(F.lit(n).cast("int").alias("size"), F.concat_ws(" ", "w", *(f"n{k}" for k in range(2, n + 1))).alias("key"), (F.col(f"n{n}") if n > 1 else F.col("w")).isNotNull().alias("ok")) for n in range(1, longest + 1)]
-    each = w.select("sid", "i", F.explode(F.array(*grams)).alias("g")).where("g.ok").select("sid", "i", "g.size", "g.key")
-    found = each.join(F.broadcast(patterns(lexicon).select("ord", "id", "role", "size", "key")), ["size", "key"])
+        w = w.select("*", *(F.lead(f"{k}1", n - 1).over(order).alias(f"{k}{n}") for k in series))
+    grams = [F.struct(F.lit(k).alias("by"), F.lit(n).cast("int").alias("size"), F.concat_ws(" ", *(f"{k}{m}" for m in range(1, n + 1))).alias("key"), F.col(f"{k}{n}").isNotNull().alias("ok")) for k in series for n in range(1, longest + 1)]
+    each = w.select("sid", "i", F.explode(F.array(*grams)).alias("g")).where("g.ok").select("sid", "i", "g.by", "g.size", "g.key")
+    by = F.when(F.col("match_type") == "lemma", list(series)[-1]).otherwise("word")
+    found = each.join(patterns(lexicon).select("ord", "id", "role", "size", "key", by.alias("by")), ["by", "size", "key"])
     return found.select("sid", F.col("i").cast("int").alias("s"), (F.col("i") + F.col("size")).cast("int").alias("e"), "role", "id", "ord")
 
 
+def regex_entries(lexicon: DataFrame) -> list[tuple[int, str, str, str]]:
+    """(ord, id, pattern, role) of the regex entries in the lexicon's order."""
+    rows = lexicon.where(F.col("match_type") == "regex").select("ord", "id", "pattern", "role").orderBy("ord").limit(MAX_REGEXES + 1).collect()
+    if len(rows) > MAX_REGEXES:
+        raise ValueError(f"more than {MAX_REGEXES} regex entries")
+    return [tuple(r) for r in rows]
+
+
+def regex_matches(forms: Sequence[str], entries: Iterable[tuple]) -> Iterator[tuple[int, int, str, str, int]]:
+    """(s, e, role, id, ord) of regex entries (ord, id, compiled pattern, role), each from left to right without overlaps.
+
+    A match counts if it starts where a word starts and ends where one ends.
+    """
+    line = " ".join(forms)
+    starts, ends, at = {}, {}, 0
+    for k, form in enumerate(forms):
+        starts.setdefault(at, k)
+        at += len(form)
+        ends.setdefault(at, k + 1)
+        at += 1
+    for order, ident, pattern, role in entries:
+        for m in pattern.finditer(line):
+            s, e = starts.get(m.start()), ends.get(m.end())
+            if s is not None and e is not None and s < e:
+                yield s, e, role, ident, order
+
+
+def choose(found: Iterable[tuple], forms: Sequence[str] = (), regexes: Iterable[tuple] = ()) -> list[tuple]:
+    """The matches (s, e, role, id, ord) that stay: longer ones first, then by the lexicon's order, then by place.
+
+    A class (boundary roles or not) blocks itself only. Regex matches come last; those of boundary roles block nothing
+    and are never blocked.
+    """
+    taken: dict[bool, set[int]] = {True: set(), False: set()}
+    kept = []
+    for m in sorted(found, key=lambda m: (m[0] - m[1], m[4], m[0])):
+        mine = taken[m[2] in BOUNDARY_ROLES]
+        if mine.isdisjoint(range(m[0], m[1])):
+            mine.update(range(m[0], m[1]))
+            kept.append(m)
+    for m in regex_matches(forms, regexes) if regexes else ():
+        if m[2] in BOUNDARY_ROLES:
+            kept.append(m)
+        elif taken[False].isdisjoint(range(m[0], m[1])):
+            taken[False].update(range(m[0], m[1]))
+            kept.append(m)
+    return kept
+
+
+def chosen(sentences: DataFrame, regexes: Sequence[tuple[int, str, str, str]] = ()) -> DataFrame:
+    """The matches that stay of sentences(sid, found, forms): candidates and normalised words of a sentence."""
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(o, i, re.compile(p, re.IGNORECASE), r) for o, i, p, r in regexes]
+        for batch in batches:
+            rows = []
+            for sid, found, forms in zip(*(batch.column(k).to_pylist() for k in ("sid", "found", "forms")), strict=True):
+                rows += [(sid, *m) for m in choose([(m["s"], m["e"], m["role"], m["id"], m["ord"]) for m in found or ()], forms or (), compiled)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return sentences.mapInArrow(each, MATCH)
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    return found.groupBy("sid").agg(F.collect_list(F.struct("s", "e", "role", "id", "ord")).alias("found"))
+
+
+def joined_forms(words: DataFrame) -> DataFrame:
+    """(sid, forms): a sentence's normalised words in order."""
+    each = F.sort_array(F.collect_list(F.struct("i", normal_token(F.col("tok")).alias("w"))))
+    return words.groupBy("sid").agg(F.transform(each, lambda x: x["w"]).alias("forms"))
+
+
 def resolve(found: DataFrame) -> DataFrame:
-    """Greedy choice: longer patterns first, then lexicon order, then place; a class (boundary or not) blocks itself only."""
+    """Greedy choice among candidates of phrase, exact and lemma entries."""
+    return chosen(gathered(found).withColumn("forms", F.expr("cast(array() as array<string>)")))
+
+
+def matches(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
+    """(sid, s, e, role, id, ord): all entries' matches that stay."""
+    found, regexes = candidates(words, lexicon, longest), regex_entries(lexicon)
+    return chosen(joined_forms(words).join(gathered(found), "sid", "left"), regexes) if regexes else resolve(found)
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(n=rows.e - rows.s).sort_values(["n", "ord", "s"], ascending=[False, True, True])
-        taken: dict[bool, set[int]] = {True: set(), False: set()}
-        keep = []
-        for s, e, role in zip(rows.s, rows.e, rows.role, strict=True):
-            mine = taken[role in BOUNDARY_ROLES]
-            free = not any(k in mine for k in range(s, e))
-            if free:
-                mine.update(range(s, e))
-            keep.append(free)
-        return rows[keep][["sid", "s", "e", "role", "id", "ord"]]
 
-    return found.groupBy("sid").applyInPandas(choose, MATCH)
+def regex_spans(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(sid, s, e, role, id, ord) of the regex entries alone, leftmost first, at word bounds."""
+    none = F.expr("cast(array() as array<struct<s:int,e:int,role:string,id:string,ord:int>>)")
+    return chosen(joined_forms(words).withColumn("found", none), regex_entries(lexicon))
 
 
 def drop_spoken_variables(matches: DataFrame, words: DataFrame) -> DataFrame:
@@ -145,5 +229,5 @@ def trim_leading(kept: DataFrame) -> DataFrame:
 
 def detect_lexical(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(sid, s, e, roles) by lexicon alone: matches, gap clusters, context suppression. No dependency tree is used."""
-    found = resolve(candidates(words, lexicon, longest))
+    found = matches(words, lexicon, longest)
     return suppress(clusters(found.where(F.col("role").isin(*POSITIVE_ROLES))), words)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanspark.functions import text as T
-from spanspark.operators import bio, corpus, dependency, evaluate, lexicon, models
+from spanspark.operators import bio, corpus, dependency, evaluate, features, lexicon, models
 from spanspark.sources import readers, sinks
 
 
@@ -68,12 +68,14 @@ def cmd_evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def detected(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """(sid, pos, tok, deprel, tag): by parsed tokens where there are any, else by the lexicon alone."""
-    gazetteer = [r.line for r in readers.trimmed_lines(spark, a.gazetteer).collect()] if a.gazetteer else ()
-    lex = readers.lexicon(spark, a.markers, gazetteer)
+    lex = readers.lexicon(spark, a.markers, a.gazetteer)
     if a.parses:
-        tokens = readers.conllu(spark, a.parses).withColumn("sid", F.dense_rank().over(Window.orderBy("file", "sent")).cast("bigint"))
+        tokens = readers.conllu(spark, a.parses)
+        numbers = corpus.with_ordinals(tokens.select("file", "sent").distinct(), "file", "sent", name="sid")
+        tokens = tokens.join(numbers.withColumn("sid", F.col("sid") + 1), ["file", "sent"])
         return dependency.detect(tokens, [tuple(r)[:5] for r in lex.orderBy("ord").collect()])
-    words = readers.interactive(spark, a.text, a.input, a.default).select("sid", F.posexplode(T.words_and_marks(F.col("text"))).alias("k", "tok"))
+    given = sys.stdin.read() if a.input == "-" else a.text
+    words = readers.interactive(spark, given, a.input, a.default).select("sid", F.posexplode(T.words_and_marks(F.col("text"))).alias("k", "tok"))
     words = words.withColumn("mark", ~F.col("tok").rlike(rf"[{T.WORD_CLASS}]"))
     placed = words.where("not mark").withColumn("i", F.row_number().over(Window.partitionBy("sid").orderBy("k")) - 1)
     longest = lexicon.patterns(lex).agg(F.max("size")).first()[0] or 1
@@ -99,8 +101,7 @@ def cmd_detect(spark: SparkSession, a: argparse.Namespace) -> int:
 def cmd_convert(spark: SparkSession, a: argparse.Namespace) -> int:
     lines = readers.trimmed_lines(spark, a.input).withColumn("reason", T.reject_reason(F.col("line")))
     lines.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).count().show(truncate=False)
-    kept = lines.where("reason is null").select(F.concat_ws("|", "file", F.format_string("%012d", "n")).alias("key"), F.col("line").alias("text"))
-    kept = corpus.with_ordinals(kept, "key", name="sid")
+    kept = corpus.with_ordinals(lines.where("reason is null").select("file", "n", F.col("line").alias("text")), "file", "n", name="sid")
     tags = bio.punct_outside(bio.parse_tagged(kept)).withColumn("sid", F.format_string("llm_%04d", "sid")).withColumn("source", F.lit("llm_generated"))
     bad = bio.violations(tags).select("sid").distinct()
     tags = tags.join(bad, "sid", "left_anti").select("sid", "i", "tok", "tag", "source")
@@ -133,6 +134,14 @@ def cmd_export(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(not sinks.dropped_sentences(tags, spark.read.parquet(a.output)).isEmpty())
 
 
+def cmd_export_features(spark: SparkSession, a: argparse.Namespace) -> int:
+    """One row of features per token; words that the lexicon names get their role."""
+    tags = table(spark, a.input)
+    roles = features.best_role(features.role_confidence(readers.lexicon(spark, a.markers)))
+    sinks.features(features.feature_table(tags, roles), a.output)
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="spanspark", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -149,6 +158,7 @@ def parser() -> argparse.ArgumentParser:
     command("convert-generated", cmd_convert, ("--input", need), ("--output", need), ("--append-to-merged", flag), ("--merged-path", text))
     command("prompts", cmd_prompts, ("--num-batches", {"type": int, "default": 50}), ("--batch-size", {"type": int, "default": 10}), ("--s2l-path", need), ("--seed", {"type": int, "default": 42}))
     command("export", cmd_export, ("--input", need), ("--output", need))
+    command("export-features", cmd_export_features, ("--input", need), ("--output", need), ("--markers", need))
     return p
 
 

@@ -1,4 +1,4 @@
-"""Readers: explicit schemas, no inference; files whose line order matters are read whole and cut into numbered lines."""
+"""Readers: explicit schemas, no inference; line files are read in splits, and the order of their lines from where each split starts."""
 
 from __future__ import annotations
 
@@ -22,13 +22,16 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line) with lines numbered from 0 in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    """(file, n, line); n sorts a file's lines: where their split of the file starts, and their place in it.
+
+    Lines are read in order inside a split, so no file has to fit a row or a task.
+    """
+    each = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return each.select("file", F.struct("at", F.monotonically_increasing_id().alias("id")).alias("n"), "line")
 
 
 def trimmed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without outer blanks, empty ones left out."""
+    """(file, n, line) without outer blanks, empty lines left out; where order doesn't matter nothing is sorted."""
     return lines(spark, path).withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).where("line <> ''")
 
 
@@ -116,18 +119,16 @@ def response_blocks(spark: SparkSession, path: str) -> DataFrame:
 def lexicon_entries(text: str) -> list[tuple[int, str, str, str, str, str]]:
     """(ord, id, pattern, role, match_type, confidence), one per pattern, from marker YAML.
 
-    The full parser is used where it is installed; the line reader knows ids, roles, quoted patterns and match types.
+    What the full parser can't read, or where it isn't installed, goes to a line reader, which knows ids, roles, quoted
+    patterns and match types and takes every confidence for medium.
     """
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
     entries: list[dict] = []
-    if yaml:
-        data = yaml.safe_load(text)
-        entries = data if isinstance(data, list) else data.get("markers") or data.get("entries") or []
-    else:
-        now: dict = {}
+    try:
+        data = yaml_of(text)
+        entries = data if isinstance(data, list) else data.get("markers") or data["entries"]
+        entries = [dict(e) for e in entries]
+    except Exception:  # noqa: BLE001  whatever is wrong with the file
+        entries, now = [], {}
         for line in text.splitlines():
             if m := re.match(r"\s*-\s+id:\s*(\S+)", line):
                 now = {"id": m[1].strip("\"'"), "patterns": [], "confidence": "medium"}
@@ -136,15 +137,31 @@ def lexicon_entries(text: str) -> list[tuple[int, str, str, str, str, str]]:
                 now[m[1]] = m[2].strip("\"'")
             elif now and (m := re.match(r"\s*-\s+\"(.*)\"\s*$", line)):
                 now["patterns"].append(m[1])
-    flat = [(e["id"], p, e.get("role", ""), e.get("match_type", "phrase"), e.get("confidence", "medium")) for e in entries for p in e.get("patterns", [])]
+    flat = [(str(e.get("id", "")), str(p), e.get("role"), e.get("match_type", "phrase"), e.get("confidence")) for e in entries for p in e.get("patterns") or []]
     return [(k, *x) for k, x in enumerate(flat)]
 
 
-def lexicon(spark: SparkSession, path: str, gazetteer: Sequence[str] = ()) -> DataFrame:
-    """The lexicon with an optional second one, whose phrases are STRUCTURE; read through Spark, so any store will do."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    rows = lexicon_entries(text)
-    rows += [(len(rows) + k, f"gazetteer_{k}", p, "STRUCTURE", "phrase", "medium") for k, p in enumerate(gazetteer)]
+def yaml_of(text: str):
+    import yaml
+
+    return yaml.safe_load(text)
+
+
+def gazetteer_phrases(text: str) -> list[tuple[str, str]]:
+    """(id, phrase) from gazetteer YAML: a list ``entries`` of mappings with a ``phrase``; phrases without words fall away."""
+    listed = (yaml_of(text) or {}).get("entries") or []
+    return [(f"gazetteer_{k}", str(p)) for k, e in enumerate(listed) if re.search(r"\w", p := e.get("phrase") or "")]
+
+
+def small_file(spark: SparkSession, path: str) -> str:
+    """A parameter file's text, read through Spark, so any store will do."""
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def lexicon(spark: SparkSession, path: str, gazetteer: str | None = None) -> DataFrame:
+    """The lexicon with an optional gazetteer file, whose phrases are STRUCTURE."""
+    rows = lexicon_entries(small_file(spark, path))
+    rows += [(len(rows) + k, ident, p, "STRUCTURE", "phrase", "medium") for k, (ident, p) in enumerate(gazetteer_phrases(small_file(spark, gazetteer)) if gazetteer else ())]
     return spark.createDataFrame(rows, "ord int, id string, pattern string, role string, match_type string, confidence string")
 
 
@@ -156,7 +173,8 @@ def side_features(spark: SparkSession, path: str) -> DataFrame:
 def interactive(spark: SparkSession, text: str | None = None, path: str | None = None, fallback: str = "") -> DataFrame:
     """(sid, text): a given text before a file before a fallback, one row per non-empty line."""
     if text is None and path is not None:
-        return trimmed_lines(spark, path).select(F.col("n").cast("bigint").alias("sid"), F.col("line").alias("text"))
+        numbered_ = with_ordinals(lines(spark, path).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")), "file", "n", name="sid")
+        return numbered_.where("line <> ''").select("sid", F.col("line").alias("text"))
     given = (text if text is not None else fallback).splitlines()
     return spark.createDataFrame([(n, x.strip()) for n, x in enumerate(given) if x.strip()], "sid bigint, text string")
 

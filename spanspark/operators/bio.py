@@ -124,6 +124,12 @@ def parse_tagged(lines: DataFrame, text: str = "text") -> DataFrame:
     return each.select("sid", (F.row_number().over(whole) - 1).alias("i"), "tok", tag.alias("tag"))
 
 
+def reject_reasons(lines: DataFrame, text: str = "text") -> DataFrame:
+    """(sid, reason) of tagged lines(sid, text): the first failed check (counts, nesting, leak, broken tags); null: keep."""
+    broken = violations(punct_outside(parse_tagged(lines, text))).select("sid").distinct().withColumn("broken", F.lit(True))
+    return lines.join(broken, "sid", "left").select("sid", F.coalesce(T.reject_reason(F.col(text)), F.when(F.col("broken"), "bio")).alias("reason"))
+
+
 def encode(tag: Column) -> Column:
     return F.element_at(F.create_map(*(x for k, v in ((O, 0), (B, 1), (I, 2)) for x in (F.lit(k), F.lit(v)))), tag)
 

@@ -83,10 +83,12 @@ def stratified(rows: DataFrame, n: Column, total: int, key: str, seed: str) -> D
     """About total rows with the buckets' shares; shares of empty buckets go to the others. Rows are chosen by hash."""
     b = rows.withColumn("bucket", length_bucket(n)).where("bucket is not null")
     weights = F.element_at(F.array(*(F.lit(w) for _, _, w in LENGTH_BUCKETS)), F.col("bucket") + 1)
-    present = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("have")).withColumn("w", weights)
-    quota = present.join(present.agg(F.sum("w").alias("all"))).select("bucket", F.round(F.lit(total) * F.col("w") / F.col("all")).cast("int").alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(hash_order(key, seed), key))
-    return b.withColumn("rank", rank).join(F.broadcast(quota), "bucket").where("rank <= quota").drop("rank", "quota")
+    present = {r.bucket: r.w for r in b.select("bucket", weights.alias("w")).distinct().collect()}  # one row per bucket
+    out = b.limit(0)
+    for bucket, w in sorted(present.items()):
+        quota = int(total * w / sum(present.values()) + 0.5)
+        out = out.union(b.where(F.col("bucket") == bucket).orderBy(hash_order(key, seed), key).limit(quota))
+    return out
 
 
 def templates(tags: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def inject(items: DataFrame, fillers: DataFrame, variants: int, n_fillers: int)
     """(sid, variant, i, tok, tag): every slot of every variant filled by the filler (ord, text) that its hash names."""
     v = items.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "sid", "variant", "slot")), 1, 8), 16, 10).cast("bigint"), F.lit(n_fillers))
-    v = v.withColumn("ord", F.when(F.col("slot").isNotNull(), pick)).join(F.broadcast(fillers), "ord", "left")
+    v = v.withColumn("ord", F.when(F.col("slot").isNotNull(), pick)).join(fillers, "ord", "left")
     parts = F.when(F.col("slot").isNull(), F.array("item")).otherwise(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
     each = v.select("sid", "variant", "n", "slot", F.posexplode(parts).alias("j", "tok"))
     order = Window.partitionBy("sid", "variant").orderBy("n", "j")
@@ -125,7 +127,7 @@ def carried(fillers: DataFrame, carriers: list[tuple[str, ...]], total: int, n_f
         first += n
     table = spark.createDataFrame(rows, "first int, count int, prefix string, suffix string").where("count > 0")
     each = table.select("prefix", "suffix", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("n"))
-    return each.withColumn("ord", F.pmod(F.col("n") * 7 + 3, F.lit(n_fillers)).cast("bigint")).join(F.broadcast(fillers), "ord").select("n", "prefix", "text", "suffix")
+    return each.withColumn("ord", F.pmod(F.col("n") * 7 + 3, F.lit(n_fillers)).cast("bigint")).join(fillers, "ord").select("n", "prefix", "text", "suffix")
 
 
 def retry_with_fewer(make: Callable[[int], DataFrame], fits: Column, variants: Sequence[int], most_skipped: int) -> tuple[int, DataFrame, int]:

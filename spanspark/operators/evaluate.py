@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanspark.functions.text import f1
-from spanspark.operators.bio import O, spans
+from spanspark.operators.bio import B, I, O, spans
 
 
 def common_ids(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -76,12 +76,25 @@ def error_roles(gold: DataFrame, pred: DataFrame, roles: DataFrame) -> DataFrame
 
 
 def report(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row: counts of sentences, tokens and length mismatches, span and token F1, exact match."""
-    size = lambda df, k: df.groupBy("sid").agg(F.count(F.lit(1)).alias(k))
-    lengths = size(gold, "g").join(size(pred, "p"), "sid").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if(F.col("g") != F.col("p")).alias("length_mismatches"))
-    tokens = token_pairs(gold, pred).agg(F.count(F.lit(1)).alias("n_tokens"))
-    one = lengths.join(tokens).join(span_scores(gold, pred).select(F.col("f1").alias("span_f1")))
-    return one.join(token_scores(gold, pred).select(F.col("f1").alias("token_f1"))).join(exact_match(gold, pred).select("exact_match"))
+    """One row: counts of sentences, tokens and length mismatches, span and token F1, exact match, over the sentences of both.
+
+    Gold and prediction are joined once by place; one window finds where spans end, one aggregate counts a sentence.
+    """
+    both = gold.select("sid", "i", F.col("tag").alias("g")).join(pred.select("sid", "i", F.col("tag").alias("p")), ["sid", "i"], "full")
+    after = Window.partitionBy("sid").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    ends = lambda c: F.first(F.when(F.coalesce(F.col(c), F.lit(O)) != I, F.col("i")), ignorenulls=True).over(after)  # noqa: E731  null: the sentence's end
+    x = both.withColumn("g_end", ends("g")).withColumn("p_end", ends("p"))
+    opens = lambda c: F.coalesce(F.col(c) == B, F.lit(False))
+    has, math = {c: F.col(c).isNotNull() for c in "gp"}, {c: F.col(c) != O for c in "gp"}
+    by_sentence = x.groupBy("sid").agg(
+        F.count("g").alias("n_g"), F.count("p").alias("n_p"), F.count_if(has["g"] & has["p"]).alias("n_both"),
+        F.count_if(opens("g")).alias("s_g"), F.count_if(opens("p")).alias("s_p"), F.count_if(opens("g") & opens("p") & F.col("g_end").eqNullSafe(F.col("p_end"))).alias("s_both"),
+        F.count_if(math["g"] & math["p"]).alias("t_both"), F.count_if(math["g"] & has["p"]).alias("t_g"), F.count_if(math["p"] & has["g"]).alias("t_p"),
+    ).where("n_g > 0 and n_p > 0")
+    exact = (F.col("s_g") == F.col("s_both")) & (F.col("s_p") == F.col("s_both"))
+    total = by_sentence.agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if(F.col("n_g") != F.col("n_p")).alias("length_mismatches"), F.coalesce(F.sum("n_both"), F.lit(0)).alias("n_tokens"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("s_g", "s_p", "s_both", "t_g", "t_p", "t_both")), F.count_if(exact).alias("n_exact"))
+    scored = lambda k: F.round(f1(F.col(f"{k}_both"), F.col(f"{k}_p") - F.col(f"{k}_both"), F.col(f"{k}_g") - F.col(f"{k}_both"))["f1"], 6)
+    return total.select("n_sentences", "length_mismatches", "n_tokens", scored("s").alias("span_f1"), scored("t").alias("token_f1"), F.round(F.coalesce(F.try_divide("n_exact", "n_sentences"), F.lit(0.0)), 6).alias("exact_match"))
 
 
 def over_seeds(metrics: DataFrame, config: str = "config", value: str = "value") -> DataFrame:

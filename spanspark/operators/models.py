@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +56,27 @@ def viterbi(emissions: np.ndarray, moves: np.ndarray) -> list[int]:
 
 
 def decode(scored: DataFrame, moves: np.ndarray) -> DataFrame:
-    """(sid, i, tag) from scored(sid, i, scores): log scores of the tags for each token."""
+    """(sid, i, tag) from scored(sid, i, scores): log scores of the tags for each token. Sentences stream by as arrays."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        path = viterbi(np.stack(rows.scores.to_list()), moves)
-        return pd.DataFrame({"sid": rows.sid, "i": rows.i, "tag": [TAGS[k] for k in path]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, places, tags = [], [], []
+            for sid, rows in zip(batch.column("sid").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                path = viterbi(np.array([r["scores"] for r in rows]), moves)
+                sids += [sid] * len(rows)
+                places += [r["i"] for r in rows]
+                tags += [TAGS[k] for k in path]
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(places, pa.int32()), pa.array(tags, pa.string())], ["sid", "i", "tag"])
 
-    return scored.groupBy("sid").applyInPandas(one, "sid bigint, i int, tag string")
+    whole = scored.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", "scores"))).alias("rows"))
+    return whole.mapInArrow(each, "sid bigint, i int, tag string")
+
+
+def majority_tags(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(sid, i, tag) of test(sid, i, columns): the tag that train(tag, columns) most often gives these values, of equals the first by name; unseen: O."""
+    n = train.groupBy(*columns, "tag").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy(*columns).agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("best"))
+    return test.select("sid", "i", *columns).join(best, list(columns), "left").select("sid", "i", F.coalesce("best", F.lit(O)).alias("tag"))
 
 
 def fit_emissions(features: DataFrame, columns: Sequence[str], buckets: int = 1 << 12, steps: int = 50):
@@ -87,6 +101,15 @@ def run_grid(configs: dict[str, Sequence[str]], evaluate: Callable[[str, Sequenc
     return [{"config": name, **evaluate(name, columns)} for name, columns in configs.items()]
 
 
+def curriculum(tags: DataFrame, stages: Sequence[tuple[str, Sequence[str], int]]) -> DataFrame:
+    """(ord, stage, init, epochs, sentences): a training plan of stages (name, splits, epochs), each of which starts from the one before."""
+    spark = tags.sparkSession
+    plan = spark.createDataFrame([(k, name, stages[k - 1][0] if k else None, epochs, list(splits)) for k, (name, splits, epochs) in enumerate(stages)], "ord bigint, stage string, init string, epochs bigint, splits array<string>")
+    n = tags.groupBy("split").agg(F.countDistinct("sid").alias("n"))
+    each = plan.withColumn("split", F.explode("splits")).join(n, "split", "left")
+    return each.groupBy("ord", "stage", "init", "epochs").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sentences"))
+
+
 def best_config(metrics: DataFrame) -> DataFrame:
     """(config, value) with the largest value; of equals the first by ord."""
     return metrics.groupBy().agg(F.max_by("config", F.struct("value", -F.col("ord"))).alias("config"), F.max("value").alias("value"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spanspark.operators import align, bio, corpus, dependency, features, lexicon, models
-from spanspark.plans.registry import BASE, LEXICON, LONGEST, MATH, RUN, flagged, gold, long, query, sentences, table, tokens
+from spanspark.operators import align, bio, corpus, dependency, evaluate, features, lexicon, models
+from spanspark.plans.registry import LEXICON, LONGEST, MATH, RECURSIVE, RUN, flagged, gold, long, query, sentences, table, tokens
 from spanspark.plans.registry import lexicon as lex
-from spanspark.plans.relations import NGRAMS
+from spanspark.plans.relations import GRAMS, NGRAMS, SPLIT3, split3
 from spanspark.plans.sequences import NORMAL, STRONG
 
 #: Anchors for clustering: lexicon candidates of one word.
@@ -81,10 +81,19 @@ def h10(spark, sf):
     return lexicon.suppress(c, tokens(spark, sf).select("sid", "i", "tok"), ("et", "in", "of")).select("sid", *long("s", "e"), "roles")
 
 
-@query("h2_greedy_matching")
+BARRED = "('NEGATIVE_CONTEXT', 'BOUNDARY', 'BOUNDARY_AMBIGUOUS', 'END_CONTEXT', 'DISCOURSE_START')"
+#: The greedy choice, one candidate of each sentence after the other; the lexicon's regexes are of two words each.
+KEPT = f""", alls AS (SELECT sid, s, e, role, id, ord, 0 AS rx FROM cand UNION ALL SELECT g.sid, g.i, g.i + 2, l.role, l.id, l.ord, 1 FROM g JOIN lex l ON l.match_type = 'regex' AND g.size = 2 AND regexp_full_match(g.key, l.pattern)),
+ranked AS MATERIALIZED (SELECT *, role IN {BARRED} AS b, row_number() OVER (PARTITION BY sid ORDER BY rx, s - e, ord, s) AS k FROM alls),
+walk AS (SELECT sid, 0::BIGINT AS k, false AS free, []::BIGINT[] AS pos, []::BIGINT[] AS bnd FROM (SELECT DISTINCT sid FROM ranked)
+  UNION ALL SELECT sid, k, free, CASE WHEN free AND NOT b THEN pos || range(s, e) ELSE pos END, CASE WHEN free AND b AND rx = 0 THEN bnd || range(s, e) ELSE bnd END
+  FROM (SELECT r.*, w.pos, w.bnd, CASE WHEN r.rx = 1 AND r.b THEN true WHEN r.b THEN NOT list_has_any(w.bnd, range(r.s, r.e)) ELSE NOT list_has_any(w.pos, range(r.s, r.e)) END AS free FROM walk w JOIN ranked r ON r.sid = w.sid AND r.k = w.k + 1)),
+kept AS MATERIALIZED (SELECT r.sid, r.s, r.e, r.role, r.id, r.ord, r.b FROM walk w JOIN ranked r ON r.sid = w.sid AND r.k = w.k WHERE w.free)"""
+
+
+@query("h2_greedy_matching", NGRAMS + KEPT + " SELECT sid, s::BIGINT AS s, e::BIGINT AS e, role, id FROM kept", base=RECURSIVE)
 def h2(spark, sf):
-    found = lexicon.candidates(tokens(spark, sf).select("sid", "i", "tok"), lex(spark), LONGEST)
-    return lexicon.resolve(found).select("sid", *long("s", "e"), "role", "id")
+    return lexicon.matches(tokens(spark, sf).select("sid", "i", "tok"), lex(spark), LONGEST).select("sid", *long("s", "e"), "role", "id")
 
 
 ONE_WORD = NGRAMS + """, one AS (SELECT *, role IN ('NEGATIVE_CONTEXT', 'BOUNDARY', 'BOUNDARY_AMBIGUOUS', 'END_CONTEXT', 'DISCOURSE_START') AS cls FROM cand WHERE e = s + 1)
@@ -97,19 +106,20 @@ def h2_words(spark, sf):
     return lexicon.resolve(found).select("sid", *long("s"), "role", "id")
 
 
-@query("h12_detect_lexical")
+@query("h12_detect_lexical", NGRAMS + KEPT + ", anc AS (SELECT sid, s, e, role, id FROM kept WHERE NOT b)" + CLUSTERS + f""", pv AS (SELECT c.*, {NORMAL.format(t='t.tok')} AS prev FROM clu c LEFT JOIN tok t ON t.sid = c.sid AND t.i = c.s - 1)
+SELECT sid, s::BIGINT AS s, e::BIGINT AS e, roles FROM pv WHERE NOT (len(list_filter(string_split(roles, ','), lambda r: r NOT IN ('OBJECT', 'VARIABLE', 'CONNECTIVE'))) = 0 AND coalesce(prev IN ('про', 'о', 'об'), false))""", base=RECURSIVE)
 def h12_lexical(spark, sf):
     t = tokens(spark, sf).select("sid", "i", "tok")
     return lexicon.detect_lexical(t, lex(spark), LONGEST).select("sid", *long("s", "e"), "roles")
 
 
 def parsed(spark, sf):
-    """A stand-in parse of the sentences: marks are tokens, heads and labels come from arithmetic."""
+    """A stand-in parse of the sentences: marks are tokens, heads and labels come from arithmetic; every sixth token is a root."""
     each = sentences(spark, sf).select("sid", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).alias("idx", "text"))
     k = (F.col("sid") + F.col("idx")) % 6
     upos = F.when(F.col("text").rlike(r"^[^\p{L}\p{N}_]$"), "PUNCT").when(k == 0, "ADP").when(k == 1, "VERB").otherwise("NOUN")
     deprel = F.when(k == 0, "case").when(k == 1, "root").when(k == 2, "nsubj").when(k == 3, "nmod").when(k == 4, "obj").otherwise("punct")
-    return each.select("sid", "idx", "text", F.lower("text").alias("lemma"), upos.alias("upos"), F.when(k != 1, F.greatest(F.lit(0), F.col("idx") - k.cast("int"))).alias("head"), deprel.alias("deprel"), F.lit(0).alias("sent"))
+    return each.select("sid", "idx", "text", F.lower("text").alias("lemma"), upos.alias("upos"), F.when((k != 1) & (F.col("idx") > 0), F.greatest(F.lit(0), F.col("idx") - 1 - F.col("idx") % 2)).alias("head"), deprel.alias("deprel"), F.lit(0).alias("sent"))
 
 
 @query("h12_detect_dependency")
@@ -121,27 +131,70 @@ def expanded(spark, sf, *columns):
     return dependency.expansions(parsed(spark, sf), [x[:5] for x in LEXICON]).select("sid", *long("s", "e"), "id", *long(*columns))
 
 
-@query("h4_math_head_climb")
+listed = lambda xs: "(" + ", ".join(f"'{x}'" for x in sorted(xs)) + ")"
+#: The stand-in parse, its matches, anchors, closure, ways up, and what each match expands to.
+PARSE = rf"""WITH t0 AS (SELECT sid, unnest(range(len(ps)))::INT AS idx, unnest(ps) AS text FROM (SELECT sid, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS ps FROM sent)),
+t1 AS (SELECT *, regexp_full_match(text, '[^\p{{L}}\p{{N}}_]') AS mark, (sid + idx) % 6 AS k, {NORMAL.format(t='text')} AS form, (text IN ('.', '?', '!', ';', ':'))::INT AS strong FROM t0),
+t2 AS (SELECT *, CASE k WHEN 0 THEN 'case' WHEN 1 THEN 'root' WHEN 2 THEN 'nsubj' WHEN 3 THEN 'nmod' WHEN 4 THEN 'obj' ELSE 'punct' END AS deprel, CASE WHEN k <> 1 AND idx > 0 THEN greatest(0, idx - 1 - idx % 2) END AS head,
+  regexp_full_match(form, '\p{{L}}') AS letter, (mark OR k <> 0) AND (form IN {listed(dependency.VARIABLE_WORDS)} OR regexp_full_match(form, '\p{{L}}')) AS variable, form IN {listed(dependency.RELATION_LEMMAS)} AS relation,
+  coalesce(sum(strong) OVER (PARTITION BY sid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sc FROM t1),
+tk AS MATERIALIZED (SELECT *, deprel IN {listed(dependency.HEAD_DEPRELS)} OR relation OR variable AS may_head FROM t2),
+wd AS MATERIALIZED (SELECT sid, idx, form, row_number() OVER (PARTITION BY sid ORDER BY idx) - 1 AS place FROM tk WHERE NOT mark),
+nt AS (SELECT sid, place AS i, form AS w FROM wd)""" + GRAMS + KEPT + f""",
+an AS MATERIALIZED (SELECT DISTINCT w.sid, w.idx FROM kept k JOIN wd w ON w.sid = k.sid AND w.place >= k.s AND w.place < k.e WHERE NOT k.b),
+ed AS MATERIALIZED (SELECT t.sid, t.idx, t.head FROM tk t JOIN tk h ON h.sid = t.sid AND h.idx = t.head LEFT JOIN an a ON a.sid = t.sid AND a.idx = t.head WHERE (a.idx IS NOT NULL OR h.relation OR h.variable) AND t.sc - h.sc - h.strong = 0),
+way AS (SELECT k.sid, k.s, k.e, k.id, w.idx AS start, w.idx AS at, 0 AS step FROM kept k JOIN wd w ON w.sid = k.sid AND w.place = k.s WHERE NOT k.b UNION ALL SELECT w.sid, w.s, w.e, w.id, w.start, ed.head, w.step + 1 FROM way w JOIN ed ON ed.sid = w.sid AND ed.idx = w.at),
+hd AS MATERIALIZED (SELECT w.sid, w.s, w.e, w.id, coalesce(arg_max(w.at, w.step) FILTER (t.may_head), any_value(w.start)) AS head FROM way w JOIN tk t ON t.sid = w.sid AND t.idx = w.at GROUP BY w.sid, w.s, w.e, w.id),
+al AS (SELECT sid, idx AS node, idx AS top FROM tk UNION SELECT a.sid, a.node, t.head FROM al a JOIN tk t ON t.sid = a.sid AND t.idx = a.top WHERE t.head IS NOT NULL)"""
+
+
+@query("h4_math_head_climb", PARSE + " SELECT h.sid, h.s::BIGINT AS s, h.e::BIGINT AS e, h.id, h.head::BIGINT AS head, count(*)::BIGINT AS subtree FROM hd h JOIN al ON al.sid = h.sid AND al.top = h.head GROUP BY ALL", base=RECURSIVE)
 def h4(spark, sf):
     return expanded(spark, sf, "head", "subtree")
 
 
-@query("h5_relation_expansion")
+@query("h5_relation_expansion", PARSE + f""" SELECT h.sid, h.s::BIGINT AS s, h.e::BIGINT AS e, h.id, h.head::BIGINT AS head, count(DISTINCT al.node)::BIGINT AS relation
+FROM hd h LEFT JOIN tk r ON r.sid = h.sid AND r.idx = h.head AND r.relation LEFT JOIN tk c ON c.sid = r.sid AND c.head = r.idx AND c.deprel IN {listed(dependency.RELATION_CHILD_DEPRELS)} LEFT JOIN al ON al.sid = c.sid AND al.top = c.idx GROUP BY h.sid, h.s, h.e, h.id, h.head""", base=RECURSIVE)
 def h5(spark, sf):
     return expanded(spark, sf, "head", "relation")
 
 
-@query("h6_anchored_expansion")
+@query("h6_anchored_expansion", PARSE + f""", seeds AS (SELECT sid, idx FROM an UNION SELECT sid, idx FROM tk WHERE variable),
+tops AS (SELECT DISTINCT t.sid, t.idx FROM tk t JOIN al ON al.sid = t.sid AND al.top = t.idx JOIN seeds s ON s.sid = al.sid AND s.idx = al.node WHERE t.head IS NOT NULL AND t.deprel IN {listed(dependency.EXPANSION_DEPRELS)}),
+wide AS (SELECT DISTINCT al.sid, al.node FROM al JOIN tops ON tops.sid = al.sid AND tops.idx = al.top),
+held AS MATERIALIZED (SELECT h.sid, h.s, h.id, al.node FROM hd h JOIN al ON al.sid = h.sid AND al.top = h.head UNION SELECT h.sid, h.s, h.id, w.idx FROM hd h JOIN wd w ON w.sid = h.sid AND w.place >= h.s AND w.place < h.e UNION SELECT h.sid, h.s, h.id, x.node FROM hd h JOIN wide x ON x.sid = h.sid),
+n AS (SELECT sid, s, id, count(*) AS n FROM held GROUP BY sid, s, id),
+stays AS (SELECT h.sid, h.s, h.id, count(*) AS m FROM held h JOIN tk t ON t.sid = h.sid AND t.idx = h.node LEFT JOIN held u ON u.sid = h.sid AND u.s = h.s AND u.id = h.id AND u.node = t.head
+  WHERE NOT t.letter OR (u.node IS NOT NULL AND t.deprel IN {listed(dependency.LETTER_DEPRELS)}) OR EXISTS (SELECT 1 FROM an a WHERE a.sid = h.sid AND a.idx BETWEEN h.node - 3 AND h.node + 3) GROUP BY h.sid, h.s, h.id)
+SELECT h.sid, h.s::BIGINT AS s, h.e::BIGINT AS e, h.id, (CASE WHEN n.n = 1 THEN 1 ELSE coalesce(m, 0) END)::BIGINT AS expanded FROM hd h JOIN n USING (sid, s, id) LEFT JOIN stays USING (sid, s, id)""", base=RECURSIVE)
 def h6(spark, sf):
     return expanded(spark, sf, "expanded")
 
 
-@query("m4_parser_plug_in", "SELECT sid, count(*)::BIGINT AS n FROM tok GROUP BY sid")
+@query("m4_parser_plug_in", "SELECT sid, i::BIGINT AS idx, tok AS text, lower(tok) AS lemma, 'NOUN' AS upos, CASE WHEN i > 0 THEN i - 1 END::BIGINT AS head, 'dep' AS deprel FROM tok")
 def m4(spark, sf):
     def parser():
         return lambda text: [(t, t.lower(), "NOUN", None if k == 0 else k - 1, "dep", 0) for k, t in enumerate(text.split())]
 
-    return dependency.parse_texts(sentences(spark, sf).select("sid", "text"), parser).groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    return dependency.parse_texts(sentences(spark, sf).select("sid", "text"), parser).select("sid", *long("idx"), "text", "lemma", "upos", *long("head"), "deprel")
+
+
+@query("g9_backoff", "SELECT k::BIGINT AS refusals, (k + 1)::BIGINT AS tries, (5 * (2 ** k - 1))::BIGINT AS waited FROM range(5) AS t(k)")
+def g9(spark, sf):
+    """A generator that refuses a number of times before it answers, and what was waited for it."""
+    rows = []
+    for refusals in range(5):
+        asked, waits = [], []
+
+        def call(prompt: str) -> str:
+            asked.append(prompt)
+            if len(asked) <= refusals:  # noqa: B023  called at once
+                raise RuntimeError("rate")
+            return prompt
+
+        corpus.backoff(call, "x", wait=waits.append)
+        rows.append((refusals, len(asked), int(sum(waits))))
+    return spark.createDataFrame(rows, "refusals bigint, tries bigint, waited bigint")
 
 
 @query("g6_fewer_variants", "SELECT 1::BIGINT AS variants, count(*) FILTER (len(toks) > 60)::BIGINT AS skipped FROM arr")
@@ -155,30 +208,10 @@ def g6(spark, sf):
     return spark.createDataFrame([(variants, skipped)], "variants bigint, skipped bigint")
 
 
-@query("h3_subtree_sizes", """WITH nodes AS (SELECT sid, i, CASE WHEN i % 5 = 0 THEN NULL ELSE i - 1 - i % 2 END AS head FROM tok WHERE i < 40),
-a1 AS (SELECT sid, i AS node, i AS top FROM nodes), a2 AS (SELECT n.sid, n.i AS node, n.head AS top FROM nodes n WHERE head >= 0),
-a3 AS (SELECT a.sid, a.node, n.head AS top FROM a2 a JOIN nodes n ON n.sid = a.sid AND n.i = a.top WHERE n.head >= 0),
-a4 AS (SELECT a.sid, a.node, n.head AS top FROM a3 a JOIN nodes n ON n.sid = a.sid AND n.i = a.top WHERE n.head >= 0),
-a5 AS (SELECT a.sid, a.node, n.head AS top FROM a4 a JOIN nodes n ON n.sid = a.sid AND n.i = a.top WHERE n.head >= 0),
-al AS (SELECT * FROM a1 UNION SELECT * FROM a2 UNION SELECT * FROM a3 UNION SELECT * FROM a4 UNION SELECT * FROM a5)
-SELECT sid, top::BIGINT AS top, count(*)::BIGINT AS size FROM al GROUP BY sid, top""")
-def h3(spark, sf):
-    """Subtree closure as a bounded self-join, cut as its SQL is: tokens below 40, tops up to 4 links away; h3_whole_subtree_sizes has no cut."""
-    t = tokens(spark, sf).where("i < 40")
-    nodes = t.select("sid", "i", F.when(F.col("i") % 5 != 0, F.col("i") - 1 - F.col("i") % 2).alias("head"))
-    level = nodes.where("head >= 0").select("sid", F.col("i").alias("node"), F.col("head").alias("top"))
-    closed = nodes.select("sid", F.col("i").alias("node"), F.col("i").alias("top")).union(level)
-    up = nodes.where("head >= 0").select("sid", F.col("i").alias("top"), "head")
-    for _ in range(3):
-        level = level.join(up, ["sid", "top"]).select("sid", "node", F.col("head").alias("top"))
-        closed = closed.union(level)
-    return closed.distinct().groupBy("sid", "top").agg(F.count(F.lit(1)).alias("size")).withColumn("top", F.col("top").cast("bigint"))
-
-
-@query("h3_whole_subtree_sizes", """WITH nodes AS (SELECT sid, i, CASE WHEN i % 5 = 0 OR i = 1 THEN NULL ELSE i - 1 - i % 2 END AS head FROM tok),
+@query("h3_subtree_sizes", """WITH nodes AS (SELECT sid, i, CASE WHEN i % 5 = 0 OR i = 1 THEN NULL ELSE i - 1 - i % 2 END AS head FROM tok),
 al AS (SELECT sid, i AS node, i AS top FROM nodes UNION SELECT a.sid, a.node, n.head AS top FROM al a JOIN nodes n ON n.sid = a.sid AND n.i = a.top WHERE n.head IS NOT NULL)
-SELECT sid, top::BIGINT AS top, count(*)::BIGINT AS size FROM al GROUP BY sid, top""", base=BASE.replace("WITH", "WITH RECURSIVE", 1))
-def h3_whole(spark, sf):
+SELECT sid, top::BIGINT AS top, count(*)::BIGINT AS size FROM al GROUP BY sid, top""", base=RECURSIVE)
+def h3(spark, sf):
     """The subtree closure of whole turns, of any depth."""
     nodes = tokens(spark, sf).select("sid", "i", F.when((F.col("i") % 5 != 0) & (F.col("i") != 1), F.col("i") - 1 - F.col("i") % 2).alias("head"))
     return dependency.subtree_sizes(nodes).select("sid", *long("top"), "size")
@@ -276,10 +309,35 @@ def m1(spark, sf):
     return models.decode(models.emission_scores(model, test), moves).select("sid", *long("i"), "tag")
 
 
-@query("m2_ablation_grid", "SELECT * FROM (VALUES ('words', 1::BIGINT), ('words+shape', 2), ('all', 3)) AS t(config, n_columns)")
+GRID = {"words": ("lower",), "words+previous": ("lower", "lower_m1"), "prefix": ("prefix3",)}
+GRID_SQL = """WITH x AS (SELECT sid, i, tag, lower(tok) AS lower, left(tok, 3) AS prefix3, coalesce(lag(lower(tok)) OVER (PARTITION BY sid ORDER BY i), 'BOS') AS lower_m1 FROM bio2)"""
+
+
+def grid_sql(name: str, columns: tuple[str, ...]) -> str:
+    c = ", ".join(columns)
+    return f"""(WITH n AS (SELECT {c}, tag, count(*) AS n FROM x WHERE sid % 3 <> 0 GROUP BY ALL), b AS (SELECT {c}, arg_min(tag, (-n, tag)) AS best FROM n GROUP BY {c}), p AS (SELECT tag AS g, coalesce(best, 'O') AS p FROM x LEFT JOIN b USING ({c}) WHERE sid % 3 = 0),
+s AS (SELECT count(*) FILTER (g <> 'O' AND p <> 'O') AS tp, count(*) FILTER (g = 'O' AND p <> 'O') AS fp, count(*) FILTER (g <> 'O' AND p = 'O') AS fn FROM p) SELECT '{name}' AS config, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1 FROM s)"""
+
+
+@query("m2_ablation_grid", GRID_SQL + " SELECT * FROM " + " UNION ALL SELECT * FROM ".join(grid_sql(k, c) for k, c in GRID.items()))
 def m2(spark, sf):
-    grid = models.run_grid({"words": ("lower",), "words+shape": ("lower", "shape"), "all": ("lower", "shape", "suffix3")}, lambda name, columns: {"n_columns": len(columns)})
-    return spark.createDataFrame(pd.DataFrame(grid), "config string, n_columns bigint")
+    """Each set of columns is fitted on two thirds of the sentences and scored on the rest."""
+    x = bio.context(features.surface(gold(spark, sf).select("sid", "i", "tok", "tag")).select("sid", "i", "tag", "lower", "prefix3"), ("lower",), (-1,))
+    train, test = x.where("sid % 3 <> 0"), x.where("sid % 3 = 0")
+
+    def scored(name, columns):
+        s = evaluate.token_scores(test, models.majority_tags(train, test, columns)).first()
+        return {k: s[k] for k in ("tp", "fp", "fn", "f1")}
+
+    return spark.createDataFrame(pd.DataFrame(models.run_grid(GRID, scored)), "config string, tp bigint, fp bigint, fn bigint, f1 double")
+
+
+STAGES = (("noisy", ("val",), 2), ("clean", ("train_clean", "test"), 3))
+
+
+@query("m6_curriculum", f"WITH x AS (SELECT DISTINCT sid, {SPLIT3} AS split FROM bio2) SELECT 0::BIGINT AS ord, 'noisy' AS stage, NULL::VARCHAR AS init, 2::BIGINT AS epochs, count(*) FILTER (split = 'val')::BIGINT AS sentences FROM x UNION ALL SELECT 1, 'clean', 'noisy', 3, count(*) FILTER (split IN ('train_clean', 'test')) FROM x")
+def m6(spark, sf):
+    return models.curriculum(gold(spark, sf).withColumn("split", split3()), STAGES)
 
 
 @query("m3_tagger_default", "SELECT sid, i::BIGINT AS i, tok, 'UNK' AS postag FROM tok")

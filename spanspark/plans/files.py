@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanspark.functions import text as T
 from spanspark.operators import bio, evaluate, features
 from spanspark.plans.registry import LEXICON, flagged, gold, long, pred, query, sentences, table, tokens
-from spanspark.plans.relations import SIDE_SQL, SPLIT3, side, split3
+from spanspark.plans.relations import PAIRS, SCORE, SIDE_SQL, SPLIT3, side, split3
 from spanspark.plans.texts import BLOCK_SQL, REASON, TAGGED_SQL, blocks, tagged_lines
 from spanspark.sources import readers, sinks
 from spanspark.storage import scratch
@@ -109,8 +109,8 @@ def s9(spark, sf):
     return readers.pronunciations(spark, path)
 
 
-def lexicon_file(spark) -> str:
-    lines = []
+def lexicon_file(spark, first: str | None = None) -> str:
+    lines = [first] if first else []
     for _, ident, pattern, role, kind, _ in LEXICON:
         lines += [f"- id: {ident}", "  patterns:", f'    - "{pattern}"', f"  role: {role}", f"  match_type: {kind}"]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
@@ -124,12 +124,15 @@ def s10(spark, sf):
 
 @query("s11_lexicon_fallback", "SELECT id, pattern, role, 'medium' AS confidence FROM lex")
 def s11(spark, sf):
-    return readers.lexicon(spark, lexicon_file(spark)).select("id", "pattern", "role", "confidence")
+    """The file's first line is no YAML, so the line reader takes over."""
+    return readers.lexicon(spark, lexicon_file(spark, "version: [1, 2")).select("id", "pattern", "role", "confidence")
 
 
-@query("s12_gazetteer", "SELECT id, pattern, role FROM lex UNION ALL SELECT 'gazetteer_' || k, p, 'STRUCTURE' FROM (VALUES (0, 'sum of'), (1, 'root of')) AS g(k, p)")
+@query("s12_gazetteer", "SELECT id, pattern, role FROM lex UNION ALL SELECT 'gazetteer_' || k, p, 'STRUCTURE' FROM (VALUES (0, 'sum of'), (2, 'root of')) AS g(k, p)")
 def s12(spark, sf):
-    return readers.lexicon(spark, lexicon_file(spark), ("sum of", "root of")).select("id", "pattern", "role")
+    lines = ["entries:", '  - phrase: "sum of"', "    domain: x", '  - phrase: "--"', '  - phrase: "root of"']
+    path = text_file(spark.createDataFrame(list(enumerate(lines)), "n int, line string"), scratch(spark, "gazetteer"))
+    return readers.lexicon(spark, lexicon_file(spark), path).select("id", "pattern", "role")
 
 
 @query("s13_response_blocks", BLOCK_SQL + r" SELECT regexp_replace(block, '^\s+|\s+$', '', 'g') AS block FROM blk")
@@ -171,6 +174,12 @@ def s16(spark, sf):
     return readers.interactive(spark, text=" let x be \n \nof the sum\n")
 
 
+@query("s16_interactive_file", r"SELECT (row_number() OVER (ORDER BY sid) - 1)::BIGINT AS sid, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM sent WHERE regexp_matches(text, '\S')")
+def s16_file(spark, sf):
+    rows = sentences(spark, sf).where(r"text rlike '[^ \\s]'").select(F.col("sid").alias("n"), F.concat(F.lit(" "), F.regexp_replace("text", r"\s+", " ")).alias("line"))
+    return readers.interactive(spark, path=text_file(rows, scratch(spark, "interactive")))
+
+
 @query("k1_tagged_table", f"SELECT sid::VARCHAR AS sid, i::BIGINT AS i, tok, tag, 'conversations' AS source, {SPLIT3} AS split FROM bio2")
 def k1(spark, sf):
     return readers.bio_table(spark, stored_bio(spark, sf)).withColumn("i", F.col("i").cast("bigint"))
@@ -209,10 +218,9 @@ def k6(spark, sf):
     return sinks.detector_rows(gold(spark, sf).select("sid", F.col("i").cast("bigint").alias("pos"), "tok", F.lit("dep").alias("deprel"), "tag"))
 
 
-@query("k6_detector_json", """SELECT sid, '{"sid":' || sid || ',"tokens":[' || string_agg('"' || w || '"', ',' ORDER BY i) || '],"bio":[' || string_agg('"' || tag || '"', ',' ORDER BY i) || ']}' AS json FROM bio2 WHERE NOT contains(w, '"') GROUP BY sid""")
+@query("k6_detector_json", """SELECT sid, '{"sid":' || sid || ',"tokens":[' || string_agg(to_json(tok)::VARCHAR, ',' ORDER BY i) || '],"bio":[' || string_agg('"' || tag || '"', ',' ORDER BY i) || ']}' AS json FROM bio2 GROUP BY sid""")
 def k6_json(spark, sf):
-    g = gold(spark, sf).where("not contains(w, '\"')")
-    return sinks.detector_json(g.select("sid", F.col("i").alias("pos"), F.col("w").alias("tok"), "tag"))
+    return sinks.detector_json(gold(spark, sf).select("sid", F.col("i").alias("pos"), "tok", "tag"))
 
 
 @query("k7_metrics_json", "SELECT lang AS config, count(*)::BIGINT AS n FROM documents GROUP BY lang")
@@ -240,10 +248,10 @@ def k9(spark, sf):
     return spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out/kept").select(*long("batch_idx"), "line")
 
 
-@query("k10_report", "SELECT 4::BIGINT + count(DISTINCT lang)::BIGINT AS lines FROM documents")
+@query("k10_report", "SELECT * FROM (VALUES (0::BIGINT, '# documents'), (1, ''), (2, '| lang | n | mean_chars |'), (3, '|---|---|---|')) AS h(n, line) UNION ALL SELECT 3 + row_number() OVER (ORDER BY lang), '| ' || lang || ' | ' || count(*) || ' | ' || (sum(n_chars) // count(*)) || ' |' FROM documents GROUP BY lang")
 def k10(spark, sf):
-    n = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang")
-    return spark.createDataFrame([(len(sinks.markdown(n, "documents").splitlines()),)], "lines bigint")
+    n = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(n_chars) div count(1)").alias("mean_chars")).orderBy("lang")
+    return spark.createDataFrame(list(enumerate(sinks.markdown(n, "documents").split("\n"))), "n bigint, line string")
 
 
 @query("stream_event_sessions", "WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), k AS (SELECT *, sum((p IS NULL OR ts >= p + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, count(*)::BIGINT AS n FROM k GROUP BY user_id, k")
@@ -251,6 +259,12 @@ def stream_sessions(spark, sf):
     return append_log.sessions(table(spark, sf, "events").select("user_id", "ts")).select("user_id", "n")
 
 
-@query("evaluate_stored", "SELECT count(DISTINCT sid)::BIGINT AS n FROM pred")
+@query("evaluate_stored", PAIRS + f", n AS (SELECT (SELECT count(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM p)) AS tp, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM g)) AS fp, (SELECT count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM p)) AS fn) SELECT {SCORE} FROM n")
 def evaluate_stored(spark, sf):
-    return evaluate.common_ids(gold(spark, sf), pred(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+    """Both tables are written as delimited files and read back before they are scored."""
+    paths = []
+    for tags in (gold(spark, sf), pred(spark, sf)):
+        paths.append(scratch(spark, "tags"))
+        own = tags.select(F.col("sid").cast("string").alias("sid"), "i", "tok", "tag", F.lit("conversations").alias("source"), F.lit("test").alias("split"))
+        sinks.tagged_table(own, paths[-1])
+    return evaluate.span_scores(*(readers.bio_table(spark, p) for p in paths))

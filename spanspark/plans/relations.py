@@ -18,7 +18,7 @@ def split3():
     return F.when(k == 0, "train_clean").when(k == 1, "val").otherwise("test")
 
 
-@query("j1_semi_has_span", "SELECT sid, i::BIGINT AS i, tag FROM bio2 WHERE sid IN (SELECT sid FROM bio2 WHERE tag = 'B-MATH')")
+@query("j1_semi_has_span", "SELECT sid, i::BIGINT AS i, tag FROM (SELECT *, bool_or(tag = 'B-MATH') OVER (PARTITION BY sid) AS held FROM bio2) WHERE held")
 def j1(spark, sf):
     return corpus.with_span_only(gold(spark, sf)).select("sid", *long("i"), "tag")
 
@@ -28,14 +28,8 @@ def j2(spark, sf):
     return evaluate.common_ids(gold(spark, sf), pred(spark, sf))
 
 
-@query("j4_token_pairs", "SELECT g.sid, g.i::BIGINT AS i, g.tag AS gold, p.tag AS pred FROM bio2 g JOIN (SELECT * FROM pred WHERE i < 30) p USING (sid, i)")
+@query("j4_token_pairs", "SELECT g.sid, g.i::BIGINT AS i, g.tag AS gold, p.tag AS pred FROM bio2 g JOIN pred p USING (sid, i)")
 def j4(spark, sf):
-    return evaluate.token_pairs(gold(spark, sf), pred(spark, sf).where("i < 30")).select("sid", *long("i"), "gold", "pred")
-
-
-@query("j4_whole_token_pairs", "SELECT g.sid, g.i::BIGINT AS i, g.tag AS gold, p.tag AS pred FROM bio2 g JOIN pred p USING (sid, i)")
-def j4_whole(spark, sf):
-    """Whole sequences; j4_token_pairs is cut as its SQL is, to the first 30 tokens of the predicted side."""
     return evaluate.token_pairs(gold(spark, sf), pred(spark, sf)).select("sid", *long("i"), "gold", "pred")
 
 
@@ -58,8 +52,9 @@ def j5_labels(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("bigint").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("bigint").alias("toxic"))
 
 
-VOCAB = rf"""WITH lw AS (SELECT role, CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS conf, unnest(string_split(pattern, ' ')) AS word FROM lex WHERE role <> 'NEGATIVE_CONTEXT' AND NOT regexp_matches(pattern, '[\[\]\\()|+?*{{}}]')),
-rc AS (SELECT word, role, max(conf) AS conf FROM lw GROUP BY word, role),
+VOCAB = rf"""WITH lp AS (SELECT coalesce(role, 'NONE') AS role, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS conf, unnest(string_split_regex(pattern, '\s+')) AS part FROM lex WHERE NOT regexp_matches(pattern, '[\[\]\\()|+?*{{}}]')),
+lw AS (SELECT role, conf, {CLEAN.format(t='part')} AS word FROM lp WHERE role <> 'NEGATIVE_CONTEXT'),
+rc AS (SELECT word, role, max(conf) AS conf FROM lw WHERE length(word) >= 2 GROUP BY word, role),
 cw AS (SELECT {CLEAN.format(t='tok')} AS word, count(*) AS n FROM tok GROUP BY 1 HAVING count(*) >= 10 AND length(word) >= 2),
 voc AS (SELECT word, role, conf FROM rc UNION ALL SELECT word, 'S2L_MATH', 1 FROM cw WHERE word NOT IN (SELECT word FROM rc)),
 best AS (SELECT word, arg_min(role, (-conf, role)) AS role FROM voc GROUP BY word)"""
@@ -99,14 +94,14 @@ def a8(spark, sf):
 @query("j6_role_lookup", VOCAB + " SELECT c.sid, c.i::BIGINT AS i, coalesce(b.role, 'NONE') AS role, b.role IS NOT NULL AS is_math FROM clean c LEFT JOIN best b ON c.w = b.word")
 def j6(spark, sf):
     t = tokens(spark, sf).drop("role")
-    return features.with_role(t, F.broadcast(features.best_role(vocab(spark, sf)))).select("sid", *long("i"), "role", "is_math")
+    return features.with_role(t, features.best_role(vocab(spark, sf))).select("sid", *long("i"), "role", "is_math")
 
 
 @query("p19_feature_projection", VOCAB + """, x AS (SELECT c.sid, c.i, lower(c.tok) AS lower, coalesce(b.role, 'NONE') AS role, left(c.tok, 3) AS prefix3 FROM clean c LEFT JOIN best b ON c.w = b.word)
 SELECT sid, i::BIGINT AS i, lower, role, prefix3, i = 0 AS bos, coalesce(lag(role) OVER z, 'BOS') AS role_m1, coalesce(lead(lower, 2) OVER z, 'EOS') AS lower_p2 FROM x WINDOW z AS (PARTITION BY sid ORDER BY i)""")
 def p19(spark, sf):
     t = tokens(spark, sf).drop("role").withColumn("postag", F.lit("UNK"))
-    x = features.feature_table(t, F.broadcast(features.best_role(vocab(spark, sf))), postag=False)
+    x = features.feature_table(t, features.best_role(vocab(spark, sf)), postag=False)
     return x.select("sid", *long("i"), "lower", "role", "prefix3", "bos", "role_m1", "lower_p2")
 
 
@@ -120,10 +115,12 @@ def j9(spark, sf):
     return h.select("sid", "i").join(kids, ["sid", "i"]).groupBy("sid", "i").agg(F.count(F.lit(1)).alias("children"), F.min("child").cast("bigint").alias("first_child")).withColumn("i", F.col("i").cast("bigint"))
 
 
-NGRAMS = f"""WITH nt AS (SELECT sid, i, {NORMAL.format(t='tok')} AS w FROM tok),
+#: From normalised words nt(sid, i, w): n-grams, and the candidates of the lexicon's phrases.
+GRAMS = """,
 g AS (SELECT sid, i, 1 AS size, w AS key FROM nt UNION ALL SELECT * FROM (SELECT sid, i, 2, w || ' ' || lead(w) OVER (PARTITION BY sid ORDER BY i) FROM nt) WHERE 1 = 1),
 lk AS (SELECT ord, id, role, pattern AS key, len(string_split(pattern, ' ')) AS size FROM lex WHERE match_type IN ('phrase', 'exact', 'lemma')),
 cand AS (SELECT g.sid, g.i AS s, g.i + g.size AS e, lk.role, lk.id, lk.ord FROM g JOIN lk USING (size, key) WHERE g.key IS NOT NULL)"""
+NGRAMS = f"WITH nt AS (SELECT sid, i, {NORMAL.format(t='tok')} AS w FROM tok)" + GRAMS
 
 
 @query("j10_ngram_join", NGRAMS + " SELECT sid, s::BIGINT AS s, e::BIGINT AS e, role, id FROM cand")
@@ -243,7 +240,7 @@ def a14(spark, sf):
 @query("a15_error_roles", VOCAB + """, e AS (SELECT sid, s, e, 'FN' AS kind FROM (SELECT sid, s, e FROM span2 EXCEPT SELECT sid, s, e FROM span0 WHERE sid % 7 <> 3) UNION ALL SELECT sid, s, e, 'FP' FROM (SELECT sid, s, e FROM span0 WHERE sid % 7 <> 3 EXCEPT SELECT sid, s, e FROM span2))
 SELECT e.kind, coalesce(b.role, 'no_role') AS role, count(*)::BIGINT AS n FROM e JOIN clean c ON c.sid = e.sid AND c.i >= e.s AND c.i < e.e LEFT JOIN best b ON c.w = b.word GROUP BY 1, 2""")
 def a15(spark, sf):
-    roles = features.with_role(tokens(spark, sf).drop("role"), F.broadcast(features.best_role(vocab(spark, sf)))).where("is_math").select("sid", "i", "role")
+    roles = features.with_role(tokens(spark, sf).drop("role"), features.best_role(vocab(spark, sf))).where("is_math").select("sid", "i", "role")
     return evaluate.error_roles(gold(spark, sf), pred(spark, sf), roles)
 
 

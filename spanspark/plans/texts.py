@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanspark.functions import text as T
-from spanspark.operators import bio, models
+from spanspark.operators import bio, lexicon, models
 from spanspark.plans.registry import CLEAN, MATH, flagged, gold, long, query, sentences, table, tokens
 from spanspark.plans.registry import lexicon as lex
 from spanspark.plans.sequences import NORMAL
@@ -32,26 +32,13 @@ CLOSED = "(length(line) - length(replace(line, '[/MATH]', ''))) // 7"
 ALTERNATE = r"regexp_matches(array_to_string(list_transform(regexp_extract_all(line, '\[MATH\]|\[/MATH\]'), lambda x: CASE WHEN x = '[MATH]' THEN 'o' ELSE 'c' END), ''), '^(oc)*$')"
 REASON = f"CASE WHEN {OPENED} <> {CLOSED} OR {OPENED} = 0 THEN 'counts' WHEN NOT {ALTERNATE} THEN 'nesting' WHEN regexp_matches(line, '(?i)спан') THEN 'leak' END"
 
-META = r"""CASE doc_id % 5 WHEN 0 THEN 'Title: ' || left(text, 20) WHEN 1 THEN ' "HTTPS://' || left(text, 20) WHEN 2 THEN NULL WHEN 3 THEN 'SI=' || left(text, 5) ELSE left(text, 40) END"""
+META = "CASE doc_id % 5 WHEN 0 THEN 'Title: ' || text WHEN 1 THEN ' \"HTTPS://' || text WHEN 3 THEN 'SI=' || text ELSE text END"
 
 
 @query("p1_metadata_filter", f"""WITH m AS (SELECT doc_id, {META} AS line FROM documents),
 b AS (SELECT *, lower(trim(regexp_replace(trim(line), '^"+|"+$', '', 'g'))) AS bare FROM m)
 SELECT doc_id, coalesce({" OR ".join(f"starts_with(bare, '{p}')" for p in T.METADATA_PREFIXES)}, true) AS is_metadata FROM b""")
 def p1(spark, sf):
-    d, t, k = table(spark, sf, "documents"), F.col("text"), F.col("doc_id") % 5
-    line = F.when(k == 0, F.concat(F.lit("Title: "), F.left(t, F.lit(20)))).when(k == 1, F.concat(F.lit(' "HTTPS://'), F.left(t, F.lit(20)))).when(k == 2, None).when(k == 3, F.concat(F.lit("SI="), F.left(t, F.lit(5)))).otherwise(F.left(t, F.lit(40)))
-    return d.select("doc_id", T.is_metadata(line).alias("is_metadata"))
-
-
-WHOLE_META = "CASE doc_id % 5 WHEN 0 THEN 'Title: ' || text WHEN 1 THEN ' \"HTTPS://' || text WHEN 3 THEN 'SI=' || text ELSE text END"
-
-
-@query("p1_whole_metadata_filter", f"""WITH m AS (SELECT doc_id, {WHOLE_META} AS line FROM documents),
-b AS (SELECT *, lower(trim(regexp_replace(trim(line), '^"+|"+$', '', 'g'))) AS bare FROM m)
-SELECT doc_id, coalesce({" OR ".join(f"starts_with(bare, '{p}')" for p in T.METADATA_PREFIXES)}, true) AS is_metadata FROM b""")
-def p1_whole(spark, sf):
-    """Whole texts; p1_metadata_filter is cut as its SQL is, to the first 5 to 40 characters of a text."""
     d, t, k = table(spark, sf, "documents"), F.col("text"), F.col("doc_id") % 5
     line = F.when(k == 0, F.concat(F.lit("Title: "), t)).when(k == 1, F.concat(F.lit(' "HTTPS://'), t)).when(k == 3, F.concat(F.lit("SI="), t)).otherwise(t)
     return d.select("doc_id", T.is_metadata(line).alias("is_metadata"))
@@ -82,7 +69,7 @@ def p5(spark, sf):
 
 @query("p6_reject_reasons", TAGGED_SQL + f" SELECT sid, {REASON} AS reason FROM tl")
 def p6(spark, sf):
-    return tagged_lines(spark, sf).select("sid", T.reject_reason(F.col("line")).alias("reason"))
+    return bio.reject_reasons(tagged_lines(spark, sf).select("sid", "line"), "line")
 
 
 @query("a25_reason_counters", TAGGED_SQL + f" SELECT coalesce({REASON}, 'kept') AS reason, count(*)::BIGINT AS n FROM tl GROUP BY 1")
@@ -295,10 +282,10 @@ def f19(spark, sf):
     return tokens(spark, sf).select("sid", *long("i"), (end - F.length("tok")).cast("bigint").alias("start_char"), end.cast("bigint").alias("end_char"))
 
 
-@query("f20_token_bound_regex", "WITH g AS (SELECT sid, i AS s, w || ' ' || lead(w) OVER (PARTITION BY sid ORDER BY i) AS g FROM clean) SELECT sid, s::BIGINT AS s, (s + 2)::BIGINT AS e FROM g WHERE regexp_full_match(g, 'is (to|a)|of (the|a)')")
+@query("f20_token_bound_regex", "WITH g AS (SELECT sid, i AS s, w || ' ' || lead(w) OVER (PARTITION BY sid ORDER BY i) AS g FROM (SELECT sid, i, " + NORMAL.format(t="tok") + " AS w FROM tok)) SELECT sid, s::BIGINT AS s, (s + 2)::BIGINT AS e FROM g WHERE regexp_full_match(g, 'is (to|a)|of (the|a)')")
 def f20(spark, sf):
-    g = flagged(spark, sf).withColumn("g", F.concat("w", F.lit(" "), F.lead("w").over(bio.order())))
-    return g.where(F.col("g").rlike("^(is (to|a)|of (the|a))$")).select("sid", F.col("i").cast("bigint").alias("s"), (F.col("i") + 2).cast("bigint").alias("e"))
+    rule = spark.createDataFrame([(0, "r", "is (to|a)|of (the|a)", "OPERATOR", "regex")], "ord int, id string, pattern string, role string, match_type string")
+    return lexicon.regex_spans(tokens(spark, sf).select("sid", "i", "tok"), rule).select("sid", *long("s", "e"))
 
 
 @query("f21_prompt", "SELECT item_id // 5 AS batch, 'Write ' || count(*) || ' sentences.' || chr(10) || string_agg(item_id || '. ' || text, chr(10) ORDER BY item_id) AS prompt FROM benchmark GROUP BY item_id // 5")

@@ -6,8 +6,10 @@ version once, however many paths hold it, and findings are joined back to all pa
 exclusive. The text between two hits and the hits themselves give every hit's place: a running sum over their lengths,
 taken per blob in the partition that already holds it.
 
-Defined results: null text is the empty text (no spans); repeated rows and null paths give one row each; an empty table
-gives no rows; other columns are ignored; a ledger may be missing or empty.
+Defined results: null text is the empty text (no spans); repeated rows and null paths give one row each; spans that start
+at the same place stand in the order of the kinds; very long texts are scanned whole; an empty table gives no rows; other
+columns are ignored; a ledger may be missing or empty. A text that many paths hold is joined to them without a task that
+gathers its paths.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import checkpointed, text_of
+from spanspark.llm.common import checkpointed, skew_join, text_of
 
 # Kinds in order, the pattern of each, and what a hit must have besides.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -72,7 +74,10 @@ def update_ledger(history: DataFrame, ledger: DataFrame | None = None, rule_vers
 def findings(history: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, spans) for every row of history(path, blob); no secrets: an empty array."""
     of_version = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return history.select("path", "blob").join(of_version, "blob", "left").select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
+    paths = checkpointed(history.select("path", "blob"))
+    copies = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
+    found = skew_join(paths, of_version.join(copies, "blob"), "blob", "copies", paths.count(), "left")
+    return found.select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
 
 
 def scan_history(history: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,9 @@ ids), whose statistics are computed where the texts are; every text is then scor
 binary trees, flattened into arrays and walked level by level with numpy.
 
 Defined results: null text is the empty text and is scored like any other; a null doc_id is not held out and never
-labelled; where an id's labels disagree the smaller counts; repeated rows give one row each; without usable labels every
-score is 0.5; an empty table gives no rows; other columns are ignored.
+labelled; where an id's labels disagree the smaller counts; of equal splits the first feature and threshold count, and a
+value equal to a threshold goes left; very long texts are measured whole; repeated rows give one row each; without usable
+labels every score is 0.5; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -513,6 +513,35 @@ def test_trees_walk_like_plain_recursion():
     assert np.allclose(m.scores(x[:50]), plain)
 
 
+def test_first_split_equals_brute_force():
+    """One tree of depth one: the split of all features and thresholds with the largest gain, and its leaves."""
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        x, y = rng.integers(0, 9, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+        m = classifier.fit(x, y, trees=1, depth=1)
+        g, h = y.mean() - y, np.full(60, y.mean() * (1 - y.mean()))
+        part = lambda at: g[at].sum() ** 2 / (h[at].sum() + classifier.L2)  # noqa: E731, B023
+        gains = {(f, c): part(x[:, f] <= c) + part(x[:, f] > c) for f in range(3) for c in range(8) if min(h[x[:, f] <= c].sum(), h[x[:, f] > c].sum()) >= classifier.MIN_HESSIAN}
+        f, c = int(m.feature[0, 0]), float(m.threshold[0, 0])
+        if np.isfinite(c):
+            assert gains[f, c] == pytest.approx(max(gains.values()))
+            left = x[:, f] <= c
+            assert m.leaf[0].tolist() == pytest.approx([-classifier.RATE * g[s].sum() / (h[s].sum() + classifier.L2) for s in (left, ~left)])
+
+
+def test_classifier_on_held_out_documents(spark):
+    """Area under the curve and accuracy on the held-out fold of the test tables."""
+    from conftest import DATA
+
+    folder = DATA.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = classifier.score(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in rows if r.quality == k] for k in (1, 0))
+    assert len(good) > 10 and len(bad) > 10
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) > 0.97
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

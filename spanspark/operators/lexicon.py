@@ -27,7 +27,6 @@ ADVERSATIVES = ("а", "но", "однако", "зато")
 NON_VARIABLE_UPOS = ("ADP", "CCONJ", "SCONJ", "PART", "PRON")
 LEADING_UPOS = ("ADP", "SCONJ", "PART", "CCONJ")
 CLUSTER_GAP, MERGE_GAP, NEAR = 3, 2, 3
-CONFIDENCE = {"low": 1, "medium": 2, "high": 3}
 MAX_REGEXES = 10_000
 MATCH = "sid bigint, s int, e int, role string, id string, ord int"
 

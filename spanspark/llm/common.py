@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark import Broadcast, SparkContext, cloudpickle
@@ -14,7 +13,6 @@ from spanspark.storage import checkpointed, shared_folder  # noqa: F401  for the
 
 #: The contract's word: a run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD)
 #: The white space that ends a word or is stripped from a line.
 BLANKS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}

@@ -161,13 +161,13 @@ def parse(html: str) -> Node:
     return tags.way[0]
 
 
-def walk(root: Node, dropped: bool = False) -> list[Node]:
-    """Nodes, each before its children; dropped ones only on request."""
+def walk(root: Node) -> list[Node]:
+    """Kept nodes, each before its children."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo.extend(p for p in reversed(x.parts) if isinstance(p, Node) and (dropped or not p.drop))
+        todo.extend(p for p in reversed(x.parts) if isinstance(p, Node) and not p.drop)
     return order
 
 
@@ -198,27 +198,49 @@ def composite(chars: int, tags: int, link_chars: int, link_tags: int, link_share
     return chars / tags * max(0.0, math.log(chars / links * tags / link_tags)) / math.log(base)
 
 
+def link_share(root: Node) -> float:
+    """The part of the body's characters that stand in links, dropped elements included."""
+    body, todo = root, [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "body":
+            body = x
+            break
+        todo.extend(p for p in reversed(x.parts) if isinstance(p, Node))
+    chars = linked = 0
+    inside: list[tuple[Node, bool]] = [(body, body.tag == "a")]
+    while inside:
+        x, link = inside.pop()
+        for p in x.parts:
+            if isinstance(p, Node):
+                inside.append((p, link or p.tag == "a"))
+            else:
+                n = len(p.strip())
+                chars += n
+                linked += n * link
+    return linked / max(1, chars)
+
+
 def densities(root: Node) -> list[Node]:
     """Kept nodes in page order, with their counts, densities and density sums."""
-    every = walk(root, dropped=True)
-    for x in reversed(every):
-        x.chars, x.tags, x.link_chars, x.link_tags = sum(len(p.strip()) for p in x.parts if isinstance(p, str)), 0, 0, 0
+    share, order = link_share(root), walk(root)
+    for x in reversed(order):
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+        x.sum = 0.0
         for p in x.parts:
-            if isinstance(p, Node):
-                x.chars, x.tags, x.link_chars, x.link_tags = x.chars + p.chars, x.tags + 1 + p.tags, x.link_chars + p.link_chars, x.link_tags + (p.tag == "a") + p.link_tags
+            if isinstance(p, str):
+                if n := len(p.strip()):
+                    x.chars += n
+                    x.sum += composite(n, 0, n if x.tag == "a" else 0, 0, share)
+            elif not p.drop:
+                x.chars += p.chars
+                x.tags += 1 + p.tags
+                x.link_chars += p.link_chars
+                x.link_tags += (p.tag == "a") + p.link_tags
+                x.sum += p.density
         if x.tag == "a":
             x.link_chars = x.chars
-    body = next((x for x in every if x.tag == "body"), root)
-    share = body.link_chars / max(1, body.chars)
-    order = walk(root)
-    for x in reversed(order):
-        # The counts again, now without what is dropped.
-        kids = x.kept()
-        runs = [n for p in x.parts if isinstance(p, str) and (n := len(p.strip()))]
-        x.chars, x.tags = sum(runs) + sum(k.chars for k in kids), sum(1 + k.tags for k in kids)
-        x.link_chars, x.link_tags = x.chars if x.tag == "a" else sum(k.link_chars for k in kids), sum((k.tag == "a") + k.link_tags for k in kids)
         x.density = composite(x.chars, x.tags, x.link_chars, x.link_tags, share)
-        x.sum = sum(k.density for k in kids) + sum(composite(n, 0, n if x.tag == "a" else 0, 0, share) for n in runs)
     return order
 
 

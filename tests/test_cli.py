@@ -1,5 +1,6 @@
 """The command line over small files."""
 
+import io
 import json
 
 from spanspark import cli
@@ -33,6 +34,32 @@ def test_detect(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["bio"] == ["B-MATH", "I-MATH"]
 
 
+def test_detect_with_gazetteer_and_standard_input(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "m.yaml").write_text(MARKERS, encoding="utf-8")
+    (tmp_path / "g.yaml").write_text('entries:\n  - phrase: "сумма ряда"\n', encoding="utf-8")
+    monkeypatch.setattr("sys.stdin", io.StringIO("вот сумма ряда\nпросто зет\n"))
+    assert cli.main(["detect", "--input", "-", "--markers", f"{tmp_path}/m.yaml", "--gazetteer", f"{tmp_path}/g.yaml"]) == 0
+    out = [x.split() for x in capsys.readouterr().out.strip().splitlines()]
+    assert [(x[2], x[4]) for x in out] == [("вот", "O"), ("сумма", "B-MATH"), ("ряда", "I-MATH"), ("просто", "O"), ("зет", "B-MATH")]
+
+
+def test_parses_of_several_sentences_are_numbered(spark, tmp_path, capsys):
+    (tmp_path / "m.yaml").write_text(MARKERS, encoding="utf-8")
+    line = lambda w: f"1\t{w}\t{w}\tNOUN\t_\t_\t0\troot\t_\t_\n"
+    (tmp_path / "p.conllu").write_text("\n".join(map(line, ["икс", "да", "зет"])), encoding="utf-8")
+    assert cli.main(["detect", "--parses", f"{tmp_path}/p.conllu", "--markers", f"{tmp_path}/m.yaml"]) == 0
+    assert [x.split()[::2] for x in capsys.readouterr().out.strip().splitlines()] == [["input_0001", "икс", "B-MATH"], ["input_0002", "да", "O"], ["input_0003", "зет", "B-MATH"]]
+
+
+def test_export_features(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text(MARKERS, encoding="utf-8")
+    rows = [("s", k, t, "O", "x", "test") for k, t in enumerate(["Пусть", "икс", "зет"])]
+    sinks.tagged_table(spark.createDataFrame(rows, "sid string, i int, tok string, tag string, source string, split string"), f"{tmp_path}/t.tsv")
+    assert cli.main(["export-features", "--input", f"{tmp_path}/t.tsv", "--markers", f"{tmp_path}/m.yaml", "--output", f"{tmp_path}/f"]) == 0
+    got = spark.read.parquet(f"{tmp_path}/f").orderBy("i").collect()
+    assert [(r.lower, r.role, r.is_math, r.role_p1) for r in got] == [("пусть", "NONE", False, "RELATION"), ("икс", "RELATION", True, "OBJECT"), ("зет", "OBJECT", True, "EOS")]
+
+
 def test_convert_and_export(spark, tmp_path, capsys):
     (tmp_path / "in.txt").write_text("Пусть [MATH]икс[/MATH] .\n\nбез тегов\n[MATH]a , b[/MATH]\n", encoding="utf-8")
     merged = f"{tmp_path}/merged"

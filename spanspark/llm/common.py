@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from spanspark.storage import checkpointed, shared_folder  # noqa: F401  for the operators
 
 
-#: The contract's word: a run of characters other than space and the five ASCII controls from tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
 #: The white space that ends a word or is stripped from a line.
 BLANKS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}

@@ -11,8 +11,9 @@ shares a list meets. Inside a block of a bucket, overlaps of sketches and then t
 pairs, the whole sets decide, and pairs already connected are skipped, so a block returns at most one link for each of
 its nodes. A bucket beyond a fixed size is cut into blocks, and its pivot stands in each: one round, in which every node
 is sent once, connects a group of near copies. Nodes that their block leaves apart from the pivot get a pivot of their
-own in the next round, as long as rounds connect most of them. What is in no component with the first pivot after that
-meets, in blocks by pairs, the nodes with which it shares a list but no component. Components come from alternating
+own in the next round, as long as rounds connect most of them. What isn't in the largest component of its bucket after
+that meets, in blocks by pairs, the nodes with which it shares a list but no component; before that, nodes of which too
+few shingles are held outside their component for any link are left out, which is exact. Components come from alternating
 large and small stars. No list, link or component is ever gathered on the driver, and joins on values, pivots, contents
 and roots split hot keys.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanspark.llm.common import SHINGLE_WORDS, bound_batches, checkpointed, drop_unused, few_tasks, skew_join, text_of
+from spanspark.llm.common import SHINGLE_WORDS, bound_batches, broadcast_up_to, checkpointed, drop_unused, few_tasks, skew_join, text_of
 
 PERCENT = 75
 K = 64
@@ -44,6 +45,8 @@ BLOCK_NODES, BLOCK_SHINGLES = 128, 2_000_000
 ROUND_LEAVES = 0.7
 #: Pivots of all nodes in a table that is broadcast at most (a node has 39 at most, so many bytes each).
 BROADCAST_PLACES = 250_000
+#: Shingles of a slice of them by value, of which a task holds all; slices at most (beyond that, each grows).
+SLICE_SHINGLES, MOST_SLICES = 250_000, 1_000
 CACHE_WORDS, LONGEST_KEPT = 150_000, 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # fixed values: odd multipliers of a 64-bit mixer
 
@@ -240,10 +243,12 @@ def linked_components(docs: DataFrame, nodes: DataFrame, lists: DataFrame) -> Da
     roots = checkpointed(components(found))
     if first_apart.isEmpty():
         return roots
-    far = checkpointed(not_with_lead(first_apart, roots))
+    sizes = weighed.groupBy("pivot").agg(F.count(F.lit(1)).alias("held")).join(first_apart.select("pivot").distinct(), "pivot", "left_semi")
+    all_of = checkpointed(rooted(skew_join(weighed, checkpointed(sizes), "pivot", "held", weighed.count()), roots))
+    far = checkpointed(not_in_largest(all_of))
     if far.isEmpty():
         return roots
-    return components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).union(across(docs, far, weighed, roots, lists)))
+    return components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).union(across(docs, far, all_of, lists)))
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,21 +256,87 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def not_with_lead(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows(pivot, node) whose component isn't that of their bucket's first node, the pivot."""
-    held = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("held"))
-    leads = checkpointed(rooted(held.withColumn("node", F.col("pivot")), roots).select("pivot", "held", F.col("root").alias("lead_root")))
-    return skew_join(rooted(rows, roots), leads, "pivot", "held", rows.count()).where("root <> lead_root").select("pivot", "node")
+def not_in_largest(rows: DataFrame) -> DataFrame:
+    """(pivot, node) of the rows(pivot, node, root) whose component isn't the one with most nodes of their bucket."""
+    held = rows.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("held"))
+    largest = held.groupBy("pivot").agg(F.max(F.struct("held", "root")).alias("most"), F.sum("held").alias("held")).select("pivot", "held", F.col("most.root").alias("largest"))
+    return skew_join(rows, checkpointed(largest), "pivot", "held", rows.count()).where("root <> largest").select("pivot", "node")
 
 
-def across(docs: DataFrame, far: DataFrame, weighed: DataFrame, roots: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links(u, v) of far(pivot, node) to all nodes of their buckets with which they share a list but no component."""
-    sizes = weighed.groupBy("pivot").agg(F.count(F.lit(1)).alias("held")).join(far.select("pivot").distinct(), "pivot", "left_semi")
-    all_of = checkpointed(skew_join(weighed, checkpointed(sizes), "pivot", "held", weighed.count()))
-    own_lists = checkpointed(rooted(lists.join(all_of.select("node").distinct(), "node", "left_semi"), roots))
-    mixed = own_lists.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a < b").select("value", "held")
-    open_nodes = checkpointed(skew_join(own_lists, checkpointed(mixed), "value", "held", own_lists.count()).select("node").distinct())
-    all_of = checkpointed(all_of.join(open_nodes, "node", "left_semi"))
+def in_mixed_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows(pivot, node, root, …) whose node shares one of lists(value, node) with a node of another component."""
+    own = checkpointed(lists.join(rows.select("node", "root").distinct(), "node"))
+    mixed = own.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).where("a < b").select("value", "held")
+    nodes = checkpointed(skew_join(own, checkpointed(mixed), "value", "held", own.count()).select("node").distinct())
+    return checkpointed(rows.join(nodes, "node", "left_semi"))
+
+
+def shared_outside(docs: DataFrame, nodes: DataFrame, slices: int) -> DataFrame:
+    """(node, outside): how many shingles of each of nodes(node, row, root) a node of another component holds too; each shingle is sent once."""
+    names = ["slice", "shingles", "nodes", "roots"]
+    lists = pa.list_(pa.int64())
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(text, hashes) for text in batch.column(0).to_pylist()]
+            if not sets:
+                continue
+            flat, sizes = np.concatenate(sets), [len(s) for s in sets]
+            part = ((flat >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            found, at = np.unique(part[order], return_index=True)
+            offsets = pa.array([*at, len(flat)], pa.int32())
+            held = (flat.view(np.int64), *(np.repeat(batch.column(k).to_numpy(), sizes) for k in (1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in held)], names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(parts: list) -> pa.RecordBatch:
+            value, node, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((node, value))
+            value, node, root = value[order], node[order], root[order]
+            once = np.concatenate([[True], (value[1:] != value[:-1]) | (node[1:] != node[:-1])])
+            value, node, root = value[once], node[once], root[once]
+            starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(node[np.repeat(mixed, np.diff([*starts, len(value)]))], return_counts=True)], ["node", "outside"])
+
+        key, parts = None, []
+        for batch in batches:
+            for r, k in enumerate(batch.column(0).to_pylist()):
+                if k != key and parts:
+                    yield rows(parts)
+                    parts = []
+                key = k
+                parts.append([batch.column(c)[r].values.to_numpy() for c in names[1:]])
+        if parts:
+            yield rows(parts)
+
+    texts = docs.select("row", "whole").join(broadcast_up_to(nodes, BROADCAST_PLACES), "row").select("whole", "node", "root")
+    parts = texts.mapInArrow(sliced, "slice int, shingles array<bigint>, nodes array<bigint>, roots array<bigint>")
+    return parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(counted, "node bigint, outside bigint").groupBy("node").agg(F.sum("outside").alias("outside"))
+
+
+def linkable(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows(pivot, node, n, row, root) that may be linked to another component's node in their bucket.
+
+    Sets of n and p shingles are linked if they share at least 3 / 7 * (n + p); so a node is left out exactly if for no
+    size p in its bucket so many of its shingles are held outside its component.
+    """
+    nodes = checkpointed(rows.select("node", "row", "root", "n").distinct())
+    slices = min(MOST_SLICES, -(-nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SLICE_SHINGLES))
+    outside = checkpointed(shared_outside(docs, nodes.drop("n"), slices))
+    classes = rows.groupBy("pivot", F.floor(F.log("n") * 50).alias("class")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("held"))
+    sizes = checkpointed(classes.groupBy("pivot").agg(F.collect_list(F.struct("least", "most")).alias("sizes"), F.sum("held").alias("held")))
+    fits = F.exists("sizes", lambda p: (4 * p.most >= 3 * F.col("n")) & (3 * F.greatest(4 * p.least, 3 * F.col("n")) <= 4 * (7 * F.col("outside") - 3 * F.col("n"))))
+    return checkpointed(skew_join(rows.join(outside, "node"), sizes, "pivot", "held", rows.count()).where(fits).drop("sizes", "outside"))
+
+
+def across(docs: DataFrame, far: DataFrame, all_of: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links(u, v) of far(pivot, node) to all nodes of their buckets all_of(pivot, node, n, row, root) with which they share a list but no component."""
+    drop_unused(docs.sparkSession)
+    all_of = in_mixed_lists(linkable(docs, in_mixed_lists(all_of, lists)), lists)
+    drop_unused(docs.sparkSession)
     own = checkpointed(all_of.join(far, ["pivot", "node"], "left_semi"))
     n_own, n_all = own.count(), all_of.count()
     one, other = block_counts(own, "own_blocks").select("pivot", "own_blocks", F.col("held").alias("own_held")), block_counts(all_of, "all_blocks").drop("lead")

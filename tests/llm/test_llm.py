@@ -138,6 +138,37 @@ def test_a_large_group_sends_each_text_about_once(spark, monkeypatch):
     assert got == 1 and sum(x or 0 for x in sent) < 40 * 800 * 1.2
 
 
+def test_texts_far_from_a_large_group_are_not_sent_to_all_of_it(spark, monkeypatch):
+    """Most texts share the group's lists but are linked with nothing: the sets that meet don't grow with the product."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 16)
+    monkeypatch.setattr(neardup, "SLICE_SHINGLES", 10_000)
+    sent = []
+    meet = neardup.meet
+    monkeypatch.setattr(neardup, "meet", lambda docs, spots, n: (sent.append(spots.select(F.sum(F.col("place.times_i") * F.col("place.times_j"))).first()[0] or 0), meet(docs, spots, n))[1])
+    rng = random.Random(6)
+    texts = []
+    for k in range(400):
+        w = [f"w{j}" for j in range(150)]
+        for at in rng.sample(range(150), (1, 9, 10, 11)[k % 4] if k % 40 else 4):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    got = neardup.near_duplicates(frame(spark, texts)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == brute_components(list(range(len(texts))), texts)
+    assert len(sent) == 3 and sent[-1] < sent[0], sent
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_shingles_shared_outside_a_component(spark, slices):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(4)}" for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    texts += texts[:5]  # repeated rows count once
+    rows = spark.createDataFrame([(k % 40, t) for k, t in enumerate(texts)], "row bigint, whole string").repartition(3)
+    nodes = spark.createDataFrame([(k, k, k // 3) for k in range(40)], "node bigint, row bigint, root bigint")
+    sets = [set(neardup.shingles(t, neardup.WordHashes()).tolist()) for t in texts[:40]]
+    expected = {a: n for a in range(40) if (n := len(sets[a] & set().union(*(sets[b] for b in range(40) if b // 3 != a // 3))))}
+    assert {r.node: r.outside for r in neardup.shared_outside(rows, nodes, slices).collect()} == expected
+
+
 def test_skewed_joins_equal_plain_ones(spark, monkeypatch):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
     right = left.where("k <> 5").groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.max("x").alias("m"))

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_components, brute_lines, frame
 
 import corpus_pipeline
-from spanspark.llm import decontam, rules
+from spanspark.llm import decontam, neardup, rules
 
 
 def test_pipeline_equals_plain_steps(spark, tmp_path):
@@ -88,3 +89,20 @@ def test_any_column_names(spark, tmp_path):
         left = {tuple(r) for r in out.collect()}
         assert left and {(r[0], *r[2:]) for r in left} <= {(r[0], *r[2:]) for r in rows}, name
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 1, 2, 3, 4, 5, 8, 9}
+
+
+def test_near_dedup_does_not_send_far_texts_to_all_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 16)
+    sent = []
+    meet = neardup.meet
+    monkeypatch.setattr(neardup, "meet", lambda docs, spots, n: (sent.append(spots.select(F.sum(F.col("place.times_i") * F.col("place.times_j"))).first()[0] or 0), meet(docs, spots, n))[1])
+    rng = random.Random(12)
+    texts = []
+    for k in range(240):
+        w = [f"w{j}" for j in range(150)]
+        for at in rng.sample(range(150), 1 if k % 3 else 10):
+            w[at] = f"x{k}_{at}"
+        texts.append(" ".join(w))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), "").select("doc_id").collect()}
+    assert kept == {i for i, _, _, stays in brute_components(list(range(len(texts))), texts) if stays}
+    assert sum(sent[2:]) < sent[0], sent

@@ -19,20 +19,31 @@ def char_votes(ours: DataFrame, other: DataFrame) -> DataFrame:
     """(sid, i, j): for each of our tokens the other's token that shares most of its characters, null if none.
 
     Both sides' letters and digits get running numbers; equal characters of equal number vote; of equals the first voted wins.
+    Characters stay in their tokens: both sides' tokens lie in one order by the number of their first character, and from one
+    start to the next a single pair of tokens votes. Joins of tokens are never broadcast, as a scan's size says little of them.
     """
-    def stream(df: DataFrame, name: str) -> DataFrame:
-        each = df.select("sid", F.col("i").alias(name), F.posexplode(alnum_chars(F.col("tok"))).alias("c", "ch"))
-        return each.select("sid", name, "ch", F.row_number().over(Window.partitionBy("sid").orderBy(name, "c")).alias("pos"))
-
-    votes = stream(ours, "i").join(stream(other, "j"), ["sid", "pos", "ch"]).groupBy("sid", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    best = votes.groupBy("sid", "i").agg(F.min_by("j", F.struct(-F.col("n"), F.col("first"))).alias("j"))
-    return ours.select("sid", "i").join(best, ["sid", "i"], "left")
+    whole = lambda df, name: df.select("sid", F.lit(name).alias("side"), F.col("i").cast("bigint").alias("k"), F.array_join(alnum_chars(F.col("tok")), "").alias("chars"))
+    both = whole(ours, "i").unionByName(whole(other, "j")).repartition("sid")
+    n = F.length("chars")
+    at = both.withColumn("at", F.coalesce(F.sum(n).over(Window.partitionBy("sid", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(n > 0)
+    order = Window.partitionBy("sid").orderBy("at")
+    now = lambda side: F.last(F.when(F.col("side") == side, F.struct("k", "at", "chars")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    x = at.select("sid", "at", F.lead("at").over(order).alias("next"), now("i").alias("i"), now("j").alias("j"))
+    x = x.withColumn("to", F.least("next", F.col("i.at") + F.length("i.chars"), F.col("j.at") + F.length("j.chars"))).where("i is not null and j is not null and to > at")
+    part = lambda side: F.substring(f"{side}.chars", (F.col("at") - F.col(f"{side}.at") + 1).cast("int"), (F.col("to") - F.col("at")).cast("int"))
+    x = x.select("sid", F.col("i.k").alias("i"), F.col("j.k").alias("j"), "at", "to", part("i").alias("a"), part("j").alias("b"))
+    same = F.when(F.col("a") != F.col("b"), F.zip_with(alnum_chars(F.col("a")), alnum_chars(F.col("b")), lambda a, b: a == b))  # null: all of them
+    x = x.withColumn("same", same)
+    each = x.select("sid", "i", "j", F.when(F.col("same").isNull(), F.col("to") - F.col("at")).otherwise(F.size(F.filter("same", lambda v: v))).alias("n"), (F.col("at") + F.coalesce(F.array_position("same", F.lit(True)) - 1, F.lit(0))).alias("first")).where("n > 0")
+    votes = each.groupBy("sid", "i", "j").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = votes.groupBy("sid", "i").agg(F.min_by("j", F.struct(-F.col("n"), F.col("first"))).cast(other.schema["i"].dataType).alias("j"))
+    return ours.select("sid", "i").join(best.hint("merge"), ["sid", "i"], "left")
 
 
 def align_tokens(ours: DataFrame, other: DataFrame) -> DataFrame:
     """(sid, i, j, how): by place where both sides have as many tokens, else by characters; no partner: j null."""
     n1, n2 = (df.groupBy("sid").agg(F.count(F.lit(1)).alias(k)) for df, k in ((ours, "n1"), (other, "n2")))
-    same = n1.join(n2, "sid").where("n1 = n2").select("sid")
+    same = n1.join(n2.hint("merge"), "sid").where("n1 = n2").select("sid").hint("merge")
     fast = ours.join(same, "sid", "left_semi").select("sid", "i", F.col("i").alias("j"), F.lit("place").alias("how"))
     slow = char_votes(ours.join(same, "sid", "left_anti"), other.join(same, "sid", "left_anti"))
     return fast.unionByName(slow.select("sid", "i", "j", F.when(F.col("j").isNull(), "none").otherwise("characters").alias("how")))

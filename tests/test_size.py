@@ -37,3 +37,8 @@ def test_char_votes_by_brute_force(spark):
 
 def test_majority_vote_broadcasts_no_characters(spark):
     assert "Broadcast" not in plan(QUERIES["a9_majority_vote"](spark, DATA))
+
+
+def test_char_alignment_broadcasts_no_tokens(spark):
+    for name in ("j12_char_alignment", "j13_fast_path_or_alignment"):
+        assert "Broadcast" not in plan(QUERIES[name](spark, DATA))

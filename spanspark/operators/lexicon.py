@@ -2,8 +2,8 @@
 
 words: (sid, i, tok) with i counting words only, and lemma where there is one. lexicon: (ord, id, pattern, role,
 match_type, confidence); ord is the lexicon's order, which settles ties. Phrase, exact and lemma candidates come from an
-equi-join of n-grams no longer than the longest pattern with the lexicon; the join's strategy is left to its size. Regex
-entries (at most ``MAX_REGEXES``, collected from the lexicon) are searched in a sentence's normalised words joined by
+equi-join of n-grams no longer than the longest pattern with the lexicon, which is counted: it is broadcast up to
+``MOST_BROADCAST`` patterns and shuffled beyond; n-grams are never broadcast. Regex entries (at most ``MAX_REGEXES``, collected from the lexicon) are searched in a sentence's normalised words joined by
 blanks. Choosing among overlapping candidates depends on order and is done sentence by sentence as sentences stream by.
 """
 
@@ -27,7 +27,7 @@ ADVERSATIVES = ("а", "но", "однако", "зато")
 NON_VARIABLE_UPOS = ("ADP", "CCONJ", "SCONJ", "PART", "PRON")
 LEADING_UPOS = ("ADP", "SCONJ", "PART", "CCONJ")
 CLUSTER_GAP, MERGE_GAP, NEAR = 3, 2, 3
-MAX_REGEXES = 10_000
+MAX_REGEXES, MOST_BROADCAST = 10_000, 100_000
 MATCH = "sid bigint, s int, e int, role string, id string, ord int"
 
 
@@ -37,6 +37,12 @@ def patterns(lexicon: DataFrame) -> DataFrame:
     return own.withColumn("key", F.array_join("parts", " ")).withColumn("size", F.size("parts")).where("size > 0").drop("parts")
 
 
+def counted(patterns_: DataFrame) -> DataFrame:
+    """patterns_ with the join that their number allows. Left to itself the planner, which knows no size of a lexicon and takes
+    the n-grams for as small as the compressed file of their texts, broadcasts the n-grams."""
+    return F.broadcast(patterns_) if patterns_.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else patterns_.hint("merge")
+
+
 def candidates(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(sid, s, e, role, id, ord) of every place a pattern matches: lemma entries by words' lemmas, others by the words.
 
@@ -50,7 +56,7 @@ def candidates(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     grams = [F.struct(F.lit(k).alias("by"), F.lit(n).cast("int").alias("size"), F.concat_ws(" ", *(f"{k}{m}" for m in range(1, n + 1))).alias("key"), F.col(f"{k}{n}").isNotNull().alias("ok")) for k in series for n in range(1, longest + 1)]
     each = w.select("sid", "i", F.explode(F.array(*grams)).alias("g")).where("g.ok").select("sid", "i", "g.by", "g.size", "g.key")
     by = F.when(F.col("match_type") == "lemma", list(series)[-1]).otherwise("word")
-    found = each.join(patterns(lexicon).select("ord", "id", "role", "size", "key", by.alias("by")), ["by", "size", "key"])
+    found = each.join(counted(patterns(lexicon).select("ord", "id", "role", "size", "key", by.alias("by"))), ["by", "size", "key"])
     return found.select("sid", F.col("i").cast("int").alias("s"), (F.col("i") + F.col("size")).cast("int").alias("e"), "role", "id", "ord")
 
 
@@ -148,10 +154,13 @@ def regex_spans(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def drop_spoken_variables(matches: DataFrame, words: DataFrame) -> DataFrame:
-    """VARIABLE matches none of whose words is a function word; words: (sid, i, upos)."""
+    """VARIABLE matches none of whose words is a function word; words: (sid, i, upos).
+
+    No join is broadcast: words and matches outgrow the size that a scan of their texts lets expect.
+    """
     bad = words.where(F.col("upos").isin(*NON_VARIABLE_UPOS)).select("sid", "i")
-    hit = matches.where("role = 'VARIABLE'").select("sid", "s", "e", "id", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("i")).join(bad, ["sid", "i"], "left_semi").select("sid", "s", "e", "id").distinct()
-    return matches.join(hit, ["sid", "s", "e", "id"], "left_anti")
+    hit = matches.where("role = 'VARIABLE'").select("sid", "s", "e", "id", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("i")).join(bad.hint("merge"), ["sid", "i"], "left_semi").select("sid", "s", "e", "id").distinct()
+    return matches.join(hit.hint("merge"), ["sid", "s", "e", "id"], "left_anti")
 
 
 def near_anchor(letters: DataFrame, anchors: DataFrame, distance: int = NEAR) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from spanspark.operators import align
+from spanspark.operators import align, lexicon
 from spanspark.plans.catalog import QUERIES
 
 
@@ -42,3 +42,13 @@ def test_majority_vote_broadcasts_no_characters(spark):
 def test_char_alignment_broadcasts_no_tokens(spark):
     for name in ("j12_char_alignment", "j13_fast_path_or_alignment"):
         assert "Broadcast" not in plan(QUERIES[name](spark, DATA))
+
+
+def test_spoken_variable_filter_broadcasts_the_lexicon_only(spark):
+    p = plan(QUERIES["p14_spoken_variable_filter"](spark, DATA))
+    assert "BuildLeft" not in p and "LeftSemi, BuildRight" not in p and "LeftAnti, BuildRight" not in p
+
+
+def test_large_lexicons_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "MOST_BROADCAST", 3)
+    assert "Broadcast" not in plan(QUERIES["j10_ngram_join"](spark, DATA))

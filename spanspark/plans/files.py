@@ -24,7 +24,7 @@ MATH_SQL = "CASE WHEN (conv_id + i) % 3 = 0 THEN 'MathFormula' ELSE '_' END"
 
 
 def webanno_files(spark, sf, with_ids: bool) -> str:
-    """A folder per conversation, sentences with and without id lines."""
+    """A folder per conversation, sentences with and without id lines; written over the session's partitions, whose tasks move their own folders into place."""
     path = scratch(spark, "webanno")
     t = flagged(spark, sf)
     name = F.when((F.col("conv_id") + F.col("i")) % 3 == 0, "MathFormula").otherwise("_")
@@ -33,24 +33,24 @@ def webanno_files(spark, sf, with_ids: bool) -> str:
     s = sentences(spark, sf).where("text rlike '[^ \\\\s]'").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc"), "turn", "sid", F.regexp_replace("text", r"\s+", " ").alias("text"))
     head = [(0, F.lit("")), (1, F.concat(F.lit("#Sentence.id="), F.col("sid").cast("string"))), (2, F.concat(F.lit("#Text="), F.col("text")))]
     lines = s.select("doc", "turn", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), v.alias("line")) for n, v in head if with_ids or n != 1))).alias("x")).select("doc", "turn", "x.n", "x.line")
-    both = lines.unionByName(body).repartition(4, "doc").sortWithinPartitions("doc", "turn", "n")
-    both.select("doc", "line").write.partitionBy("doc").text(path)
+    both = lines.unionByName(body).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").sortWithinPartitions("doc", "turn", "n")
+    both.select("doc", "line").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc").text(path)
     return path
 
 
 @query("s1_webanno_scan", f"SELECT 'doc=c' || conv_id AS doc, sid::VARCHAR AS sent, i::BIGINT AS i, tok, {MATH_SQL} <> '_' OR math AS math FROM flag")
 def s1(spark, sf):
-    return readers.webanno(spark, f"{webanno_files(spark, sf, True)}/*/").select("doc", "sent", *long("i"), "tok", "math")
+    return readers.webanno(spark, webanno_files(spark, sf, True)).select("doc", "sent", *long("i"), "tok", "math")
 
 
 @query("s1_webanno_scan_by_prefix", f"SELECT 'doc=c' || conv_id AS doc, (turn + 1)::VARCHAR AS sent, i::BIGINT AS i, tok, {MATH_SQL} <> '_' OR math AS math FROM flag")
 def s1_prefix(spark, sf):
-    return readers.webanno(spark, f"{webanno_files(spark, sf, False)}/*/", by_prefix=True).select("doc", "sent", *long("i"), "tok", "math")
+    return readers.webanno(spark, webanno_files(spark, sf, False), by_prefix=True).select("doc", "sent", *long("i"), "tok", "math")
 
 
 @query("s2_directory_enumeration", "SELECT DISTINCT 'doc=c' || conv_id AS doc FROM tok")
 def s2(spark, sf):
-    return readers.webanno(spark, f"{webanno_files(spark, sf, True)}/*/").select("doc").distinct()
+    return readers.webanno(spark, webanno_files(spark, sf, True)).select("doc").distinct()
 
 
 @query("s3_tsv_scan", "SELECT doc_id, lang, source FROM documents")

@@ -13,6 +13,8 @@ from spanspark.storage import with_ordinals
 
 BIO_SCHEMA = "sid string, i int, tok string, tag string, source string, split string"
 TAGS, SPLITS = ("O", "B-MATH", "I-MATH"), ("test", "val", "train_clean", "train_noisy", "train_llm")
+#: Tasks a core that list the folders of annotation files.
+LISTING_TASKS = 8
 #: One dialect for every delimited file that the engine writes and reads.
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "nullValue": "\x00", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -21,12 +23,28 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
     return spark.read.options(**CSV, sep=sep).schema(schema).csv(path)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line); n sorts a file's lines: where their split of the file starts, and their place in it.
+def below(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files under path, however many folders hold them.
+
+    One root is given to Spark instead of a glob of all folders, which the planner compares again and again, and the folders
+    are listed by a few tasks a core instead of up to 10,000. The listing is done when this returns.
+    """
+    name, conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf
+    now = conf.get(name)
+    conf.set(name, str(min(int(now), LISTING_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.option("recursiveFileLookup", True).text(path, lineSep="\n")
+    finally:
+        conf.set(name, now)
+
+
+def lines(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """(file, n, line); n sorts a file's lines: where their split of the file starts, and their place in it. nested: of all files under path.
 
     Lines are read in order inside a split, so no file has to fit a row or a task.
     """
-    each = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    whole = below(spark, path) if nested else spark.read.text(path, lineSep="\n")
+    each = whole.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
     return each.select("file", F.struct("at", F.monotonically_increasing_id().alias("id")).alias("n"), "line")
 
 
@@ -67,13 +85,13 @@ def mask_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def webanno(spark: SparkSession, path: str, by_prefix: bool = False) -> DataFrame:
-    """(doc, sent, sid_text, i, tok, math) of annotation files.
+    """(doc, sent, sid_text, i, tok, math) of the annotation files under path (or that a glob names); a file's folder is its doc.
 
     A sentence opens at ``#Sentence.id=``; its last ``#Text=`` line counts. With by_prefix the part of the token id
     before its dash names the sentence instead, for files without sentence ids. Rows with fewer than 5 fields are skipped.
     """
     order = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines(spark, path).withColumn("f", F.split("line", "\t"))
+    x = lines(spark, path, nested=True).withColumn("f", F.split("line", "\t"))
     token = ~F.startswith("line", F.lit("#")) & (F.trim("line") != "") & (F.size("f") > 4)
     x = x.withColumn("token", token)
     opened = F.regexp_extract("line", r"^#Sentence\.id=(.*)$", 1)
@@ -87,7 +105,8 @@ def webanno(spark: SparkSession, path: str, by_prefix: bool = False) -> DataFram
     rows = x.where(F.col("token") & F.col("sent").isNotNull())
     place = F.row_number().over(Window.partitionBy("file", "sent").orderBy("n")) - 1
     i = F.coalesce(F.regexp_extract("line", r"^[0-9]+-([0-9]+)", 1).try_cast("int") - 1, place)
-    doc = F.regexp_replace(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1), r"(\.txt|\.conllu)$", "")
+    folder = F.substring_index(F.substring_index("file", "/", -2), "/", 1)  # a pattern would try every place of a long path, for each line
+    doc = F.regexp_replace(folder, r"(\.txt|\.conllu)$", "")
     math = T.is_math_mark(F.col("f")[3], F.coalesce(F.get("f", F.lit(6)), F.lit("")))
     return rows.select(doc.alias("doc"), "sent", F.col("text").alias("sid_text"), i.alias("i"), F.col("f")[2].alias("tok"), math.alias("math"))
 

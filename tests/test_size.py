@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanspark.operators import align, lexicon
 from spanspark.plans.catalog import QUERIES
+from spanspark.sources import readers
 
 
 def plan(df) -> str:
@@ -52,3 +53,20 @@ def test_spoken_variable_filter_broadcasts_the_lexicon_only(spark):
 def test_large_lexicons_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(lexicon, "MOST_BROADCAST", 3)
     assert "Broadcast" not in plan(QUERIES["j10_ngram_join"](spark, DATA))
+
+
+def test_annotation_folders_are_read_from_one_root(spark, tmp_path):
+    for k in range(40):  # more than the folders that Spark lists without a job
+        (tmp_path / f"a{k}.txt").mkdir()
+        (tmp_path / f"a{k}.txt" / "admin.tsv").write_text(f"#Sentence.id=s{k}\n#Text=x y\n1-1\t0-1\tx\tMathFormula\t_\n1-2\t2-3\ty\t_\t_\n")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    x = readers.webanno(spark, str(tmp_path))
+    assert spark.conf.get(name) == before
+    assert "InMemoryFileIndex(1 paths)" in plan(x)
+    assert {(r.doc, r.sent, r.i, r.tok, r.math) for r in x.collect()} == {(f"a{k}", f"s{k}", i, t, i == 0) for k in range(40) for i, t in enumerate("xy")}
+
+
+def test_annotation_scan_gives_the_planner_one_path(spark):
+    for name in ("s1_webanno_scan",):
+        assert "InMemoryFileIndex(1 paths)" in plan(QUERIES[name](spark, DATA))

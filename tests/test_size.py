@@ -68,5 +68,5 @@ def test_annotation_folders_are_read_from_one_root(spark, tmp_path):
 
 
 def test_annotation_scan_gives_the_planner_one_path(spark):
-    for name in ("s1_webanno_scan", "s2_directory_enumeration"):
+    for name in ("s1_webanno_scan", "s1_webanno_scan_by_prefix", "s2_directory_enumeration"):
         assert "InMemoryFileIndex(1 paths)" in plan(QUERIES[name](spark, DATA))

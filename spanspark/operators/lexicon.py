@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanspark.functions.text import normal_token, phrase_tokens
+from spanspark.storage import bound_batches, one_by_one, sent
 
 # Role classes and limits.
 BOUNDARY_ROLES = ("NEGATIVE_CONTEXT", "BOUNDARY", "BOUNDARY_AMBIGUOUS", "END_CONTEXT", "DISCOURSE_START")
@@ -116,14 +117,10 @@ def chosen(sentences: DataFrame, regexes: Sequence[tuple[int, str, str, str]] =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(o, i, re.compile(p, re.IGNORECASE), r) for o, i, p, r in regexes]
-        for batch in batches:
-            rows = []
-            for sid, found, forms in zip(*(batch.column(k).to_pylist() for k in ("sid", "found", "forms")), strict=True):
-                rows += [(sid, *m) for m in choose([(m["s"], m["e"], m["role"], m["id"], m["ord"]) for m in found or ()], forms or (), compiled)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        rows = ((sid, *m) for sid, found, forms in one_by_one(batches, "sid", "found", "forms") for m in choose([(m["s"], m["e"], m["role"], m["id"], m["ord"]) for m in found or ()], forms or (), compiled))
+        return sent(rows, names, types)
 
-    return sentences.mapInArrow(each, MATCH)
+    return bound_batches(sentences).mapInArrow(each, MATCH)
 
 
 def gathered(found: DataFrame) -> DataFrame:
@@ -144,7 +141,7 @@ def resolve(found: DataFrame) -> DataFrame:
 def matches(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """(sid, s, e, role, id, ord): all entries' matches that stay."""
     found, regexes = candidates(words, lexicon, longest), regex_entries(lexicon)
-    return chosen(joined_forms(words).join(gathered(found), "sid", "left"), regexes) if regexes else resolve(found)
+    return chosen(joined_forms(words).join(gathered(found).hint("merge"), "sid", "left"), regexes) if regexes else resolve(found)
 
 
 def regex_spans(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -209,7 +206,7 @@ def merge(spans: DataFrame, words: DataFrame, gap: int = MERGE_GAP) -> DataFrame
 def previous_word(spans: DataFrame, words: DataFrame) -> DataFrame:
     """spans with prev, the normalised word before their start (null at a sentence's start)."""
     before = words.select("sid", (F.col("i") + 1).alias("s"), normal_token(F.col("tok")).alias("prev"))
-    return spans.join(before, ["sid", "s"], "left")
+    return spans.join(before.hint("merge"), ["sid", "s"], "left")
 
 
 def suppress(spans: DataFrame, words: DataFrame, prepositions: tuple[str, ...] = TOPIC_PREPOSITIONS) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,39 @@ def with_ordinals(df: DataFrame, *order: str, name: str = "ordinal") -> DataFram
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", before.alias("_start"))
     return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_start")
+
+
+#: Bytes of one Arrow batch between the JVM and a Python worker, and rows that a worker gathers before it sends them.
+BATCH_BYTES, ROWS_OUT = 4 << 20, 20_000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends at most BATCH_BYTES at a time to Python workers, whatever the length of its sentences.
+
+    A smaller bound of the session stays. The bound is read when a query starts, so it stays set.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not str(now := conf.get(name)).isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def one_by_one(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows' values of some columns; only one row at a time is made into Python objects."""
+    for batch in batches:
+        held = [batch.column(c) for c in columns]
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in held)
+
+
+def sent(rows: Iterable[Sequence], names: Sequence[str], types: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ROWS_OUT."""
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+    out: list[Sequence] = []
+    for row in rows:
+        out.append(row)
+        if len(out) == ROWS_OUT:
+            yield made(out)
+            out = []
+    if out:
+        yield made(out)

@@ -3,9 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
+import pytest
 from conftest import DATA
-from pyspark.sql import functions as F
 
+from spanspark import storage
 from spanspark.operators import align, lexicon
 from spanspark.plans.catalog import QUERIES
 from spanspark.sources import readers
@@ -70,3 +72,30 @@ def test_annotation_folders_are_read_from_one_root(spark, tmp_path):
 def test_annotation_scan_gives_the_planner_one_path(spark):
     for name in ("s1_webanno_scan", "s1_webanno_scan_by_prefix", "s2_directory_enumeration"):
         assert "InMemoryFileIndex(1 paths)" in plan(QUERIES[name](spark, DATA))
+
+
+def test_workers_hold_one_sentence_as_objects_and_send_short_batches(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_OUT", 10)
+    made = []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([["x"] * 5] * 7)], ["sid", "rows"])
+
+    def rows():
+        for sid, found in storage.one_by_one([batch], "sid", "rows"):
+            made.append(sid)
+            yield from ((sid, x) for x in found)
+
+    out = storage.sent(rows(), ("sid", "x"), (pa.int64(), pa.string()))
+    assert next(out).num_rows == 10 and len(made) == 2
+    assert [b.num_rows for b in out] == [10, 10, 5] and made == list(range(7))
+
+
+@pytest.mark.parametrize("name", ["h4_math_head_climb"])
+def test_batches_of_sentences_are_bounded(spark, name):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(1 << 30))
+    try:
+        QUERIES[name](spark, DATA)
+        assert int(spark.conf.get(conf)) <= 4 << 20
+    finally:
+        spark.conf.set(conf, before)

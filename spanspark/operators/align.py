@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanspark.functions.text import alnum_chars
+from spanspark.storage import bound_batches
 
 LETTERS = "a-zA-Zа-яА-ЯёЁ"
 PUNCT = re.compile(r"^[,.!?;:]+$")
@@ -76,29 +77,39 @@ def fit_mask(tokens: list[str], mask: str, math_words: frozenset, zero_words: fr
     goal = len(mask)
     if len(tokens) <= goal:
         return list(tokens) if len(tokens) == goal else None
-    layers: list[dict[int, tuple[float, tuple[int, bool] | None]]] = [{0: (0, None)}]
+    values: dict[int, float] = {0: 0}
+    ways: list[tuple[int, bytearray]] = []  # of each token: the least number of bits, and for each from there whether the token was glued
     for k, token in enumerate(tokens):
         score, glue = likeness(token, math_words, zero_words), k > 0 and gluable(tokens[k - 1], token)
-        after: dict[int, tuple[float, tuple[int, bool] | None]] = {}
-        for j in sorted(layers[-1]):
-            value = layers[-1][j][0]
+        least = goal - (len(tokens) - k - 1)  # with fewer bits so far the rest can't fill the mask
+        after: dict[int, tuple[float, bool]] = {}
+        for j in sorted(values):
+            value = values[j]
             moves = []
             if j < goal:
-                moves.append((j + 1, value + (score if mask[j] == "1" else -score if score > 2 else 0), (j, False)))
+                moves.append((j + 1, value + (score if mask[j] == "1" else -score if score > 2 else 0), False))
             if glue:
                 cost = 0 if not j or not PUNCT.match(token) else -8 if mask[j - 1] == "1" else 1
-                moves.append((j, value + cost, (j, True)))
-            for to, v, how in moves:
-                if to not in after or v > after[to][0]:
-                    after[to] = (v, how)
-        layers.append(after)
-    if goal not in layers[-1]:
+                moves.append((j, value + cost, True))
+            for to, v, joined in moves:
+                if to >= least and (to not in after or v > after[to][0]):
+                    after[to] = (v, joined)
+        if not after:
+            return None
+        low = min(after)
+        ways.append((low, bytearray(max(after) - low + 1)))
+        for j, (_, joined) in after.items():
+            ways[-1][1][j - low] = joined
+        values = {j: v for j, (v, _) in after.items()}
+    if goal not in values:
         return None
     glued, j = set(), goal
-    for k in range(len(tokens), 0, -1):
-        j, merged = layers[k][j][1]
-        if merged:
-            glued.add(k - 1)
+    for k in range(len(tokens) - 1, -1, -1):
+        low, merged = ways[k]
+        if merged[j - low]:
+            glued.add(k)
+        else:
+            j -= 1
     out: list[str] = []
     for k, token in enumerate(tokens):
         if k in glued and out:
@@ -116,4 +127,4 @@ def align_mask(rows: DataFrame, math_words: tuple[str, ...], zero_words: tuple[s
     def aligned(tokens: pd.Series, mask: pd.Series) -> pd.Series:
         return pd.Series([fit_mask(list(t), m or "", words, zeros) if t is not None else None for t, m in zip(tokens, mask, strict=True)])
 
-    return rows.withColumn("aligned", aligned("tokens", "mask"))
+    return bound_batches(rows).withColumn("aligned", aligned("tokens", "mask"))

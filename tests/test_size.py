@@ -89,7 +89,7 @@ def test_workers_hold_one_sentence_as_objects_and_send_short_batches(spark, monk
     assert [b.num_rows for b in out] == [10, 10, 5] and made == list(range(7))
 
 
-@pytest.mark.parametrize("name", ["h4_math_head_climb", "h6_anchored_expansion", "h5_relation_expansion", "h12_detect_dependency", "h12_detect_lexical", "m4_parser_plug_in", "h2_greedy_matching_words"])
+@pytest.mark.parametrize("name", ["h4_math_head_climb", "h6_anchored_expansion", "h5_relation_expansion", "h12_detect_dependency", "h12_detect_lexical", "m4_parser_plug_in", "h2_greedy_matching_words", "h1_mask_alignment"])
 def test_batches_of_sentences_are_bounded(spark, name):
     conf = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(conf)

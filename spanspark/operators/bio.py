@@ -44,16 +44,20 @@ def gap_spans(tokens: DataFrame, max_gap: int = MAX_GAP, flag: str = "math") ->
 
 
 def gap_merge(tokens: DataFrame, max_gap: int = MAX_GAP, flag: str = "math") -> DataFrame:
-    """tokens with tag: the same islands, painted over their whole hull with windows only."""
+    """tokens with tag: the same islands, painted over their whole hull with windows only.
+
+    What comes next is found by leads over nulls, in one pass; a frame up to the sentence's end is worked out anew for each token.
+    """
     breaks = F.col("tok").rlike(T.SENTENCE_BREAK).cast("int")
     at = F.when(F.col(flag), F.col("i"))
-    after = order().rowsBetween(0, Window.unboundedFollowing)
     x = tokens.withColumn("own", breaks).withColumn("broken", F.sum("own").over(to_here()))
     x = x.withColumn("p", F.last(at, ignorenulls=True).over(before())).withColumn("pb", F.last(F.when(F.col(flag), F.col("broken")), ignorenulls=True).over(before()))
-    x = x.withColumn("n", F.first(at, ignorenulls=True).over(after)).withColumn("nb", F.first(F.when(F.col(flag), F.col("broken") - F.col("own")), ignorenulls=True).over(after))
+    own = F.when(F.col(flag), F.struct(F.col("i").alias("n"), (F.col("broken") - F.col("own")).alias("nb")))
+    x = x.withColumn("_own", own).withColumn("_next", F.coalesce("_own", F.expr("lead(_own) IGNORE NULLS OVER (PARTITION BY sid ORDER BY i)")))
+    x = x.withColumn("n", F.col("_next.n")).withColumn("nb", F.col("_next.nb"))
     joined = F.col("p").isNotNull() & F.col("n").isNotNull() & (F.col("n") - F.col("p") - 1 <= max_gap) & (F.col("nb") - F.col("pb") <= 0)
     tag = F.when(F.col(flag), F.when(joined, I).otherwise(B)).otherwise(F.when(joined, I).otherwise(O))
-    return x.withColumn("tag", tag).drop("own", "broken", "p", "pb", "n", "nb")
+    return x.withColumn("tag", tag).drop("own", "broken", "p", "pb", "_own", "_next", "n", "nb")
 
 
 def starts(lenient: bool) -> Column:

@@ -6,10 +6,12 @@ import re
 import pyarrow as pa
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from spanspark import storage
-from spanspark.operators import align, lexicon
+from spanspark.operators import align, bio, lexicon, models
 from spanspark.plans.catalog import QUERIES
+from spanspark.plans.registry import flagged
 from spanspark.sources import readers
 
 
@@ -99,3 +101,16 @@ def test_batches_of_sentences_are_bounded(spark, name):
         assert int(spark.conf.get(conf)) <= 4 << 20
     finally:
         spark.conf.set(conf, before)
+
+
+def test_gap_merge_has_no_frame_up_to_the_end(spark):
+    assert "unboundedfollowing" not in plan(bio.gap_merge(flagged(spark, DATA))).lower()
+
+
+def test_gap_merge_equals_gap_spans(spark):
+    rng = random.Random(2)
+    rows = [(sid, i, rng.choice(["a", "b", "c."]), rng.random() < 0.3) for sid in range(80) for i in range(rng.randint(1, 25))]
+    tokens = spark.createDataFrame(rows, "sid bigint, i int, tok string, math boolean")
+    for gap in (0, 2):
+        expected = {(r.sid, r.i): r.tag for r in bio.paint(bio.gap_spans(tokens, gap), tokens).collect()}
+        assert {(r.sid, r.i): r.tag for r in bio.gap_merge(tokens, gap).collect()} == expected

@@ -130,8 +130,23 @@ def parse_tagged(lines: DataFrame, text: str = "text") -> DataFrame:
 
 def reject_reasons(lines: DataFrame, text: str = "text") -> DataFrame:
     """(sid, reason) of tagged lines(sid, text): the first failed check (counts, nesting, leak, broken tags); null: keep."""
-    broken = violations(punct_outside(parse_tagged(lines, text))).select("sid").distinct().withColumn("broken", F.lit(True))
-    return lines.join(broken, "sid", "left").select("sid", F.coalesce(T.reject_reason(F.col(text)), F.when(F.col("broken"), "bio")).alias("reason"))
+    return lines.select("sid", F.coalesce(T.reject_reason(F.col(text)), F.when(breaks(F.col(text)), "bio")).alias("reason"))
+
+
+def breaks(line: Column) -> Column:
+    """Whether the tags of a tagged line, with punctuation outside, hold an I after an O or at the start; worked out inside the line.
+
+    The steps are those of parse_tagged, punct_outside and violations: a place is the part's number, the token and its number there.
+    """
+    token = lambda part, tok, j: F.struct(F.when(part % 2 == 0, O).when(j == 0, B).otherwise(I).alias("tag"), tok.rlike(T.PUNCT_OUTSIDE).alias("p"))
+    parts = F.transform(F.split(line, T.TAGS), lambda chunk, part: F.transform(T.words(chunk), lambda tok, j: token(part, tok, j)))
+
+    def step(now: Column, x: Column) -> Column:
+        tag = F.when(x["p"], O).when((x["tag"] == I) & now["lost"], B).otherwise(x["tag"])
+        return F.struct(tag.alias("last"), (x["p"] & (now["lost"] | (x["tag"] != O))).alias("lost"), (now["broken"] | ((tag == I) & (now["last"] == O))).alias("broken"))
+
+    none = F.struct(F.lit(O).alias("last"), F.lit(False).alias("lost"), F.lit(False).alias("broken"))
+    return F.aggregate(F.flatten(parts), none, step)["broken"]
 
 
 def encode(tag: Column) -> Column:

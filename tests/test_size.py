@@ -114,3 +114,15 @@ def test_gap_merge_equals_gap_spans(spark):
     for gap in (0, 2):
         expected = {(r.sid, r.i): r.tag for r in bio.paint(bio.gap_spans(tokens, gap), tokens).collect()}
         assert {(r.sid, r.i): r.tag for r in bio.gap_merge(tokens, gap).collect()} == expected
+
+
+def test_reject_reasons_shuffle_nothing(spark):
+    assert "Exchange" not in plan(QUERIES["p6_reject_reasons"](spark, DATA))
+
+
+def test_broken_tags_inside_a_line_as_by_windows(spark):
+    rng = random.Random(4)
+    lines = [(k, "".join(rng.choice(["[MATH]", "[/MATH]", " a", " ,", " b.", " !", " "]) for _ in range(rng.randint(0, 14)))) for k in range(300)]
+    df = spark.createDataFrame(lines, "sid bigint, text string")
+    slow = {r.sid for r in bio.violations(bio.punct_outside(bio.parse_tagged(df))).collect()}
+    assert {r.sid for r in df.where(bio.breaks(F.col("text"))).collect()} == slow

@@ -150,6 +150,23 @@ def first_subwords(subwords: DataFrame) -> DataFrame:
     return subwords.withColumn("label", F.when(F.coalesce(F.lag("i").over(order) != F.col("i"), F.lit(True)), F.col("label"))).select("sid", "j", "i", "label")
 
 
+def subword_labels(words: DataFrame, n: Column) -> DataFrame:
+    """(sid, j, i, label) of words(sid, i, label) cut into n subwords each: j runs through the sentence, and only a word's first keeps its label.
+
+    Words are numbered before they are cut, so no window holds or sorts subwords. Words of one place (of sentences with one id)
+    take turns, subword by subword, as an order by (i, part) has it.
+    """
+    order = Window.partitionBy("sid").orderBy("i")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = words.select("sid", "i", "label", n.cast("bigint").alias("n")).where("n > 0").withColumn("before", before)
+    x = x.withColumn("others", F.row_number().over(order) - F.rank().over(order)).withColumn("same", F.collect_list("n").over(order.rangeBetween(Window.currentRow, Window.currentRow)))
+    each = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    first = F.col("before") - F.aggregate(F.slice("same", 1, F.col("others")), F.lit(0).cast("bigint"), lambda a, m: a + m)
+    turns = F.aggregate("same", F.lit(0).cast("bigint"), lambda a, m: a + F.least(m, F.col("part"))) + F.size(F.filter(F.slice("same", 1, F.col("others")), lambda m: m > F.col("part")))
+    j = F.when(F.size("same") == 1, F.col("before") + F.col("part")).otherwise(first + turns)
+    return each.select("sid", j.alias("j"), "i", F.when(F.col("part") == 0, F.col("label")).alias("label"))
+
+
 def padded(sentences: DataFrame, column: str, batch: Column, pad: int = PAD) -> DataFrame:
     """Arrays filled up to the longest of their batch."""
     whole = Window.partitionBy("batch")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanspark.functions import text as T
@@ -118,9 +117,8 @@ SUB_SQL = f"WITH sub AS (SELECT sid, i, tag, unnest(range({SUBWORDS})) AS part F
 
 @query("p16_ignore_index", SUB_SQL + " SELECT sid, j::BIGINT AS j, i::BIGINT AS i, CASE WHEN part = 0 THEN CASE tag WHEN 'O' THEN 0 WHEN 'B-MATH' THEN 1 ELSE 2 END END::BIGINT AS label FROM o")
 def p16(spark, sf):
-    sub = gold(spark, sf).select("sid", "i", bio.encode(F.col("tag")).alias("label"), F.explode(F.sequence(F.lit(0), (F.floor((F.length("tok") + 3) / 4) - 1).cast("int"))).alias("part"))
-    sub = sub.withColumn("j", F.row_number().over(Window.partitionBy("sid").orderBy("i", "part")) - 1)
-    return models.first_subwords(sub).select("sid", *long("j", "i", "label"))
+    words = gold(spark, sf).select("sid", "i", "tok", bio.encode(F.col("tag")).alias("label"))
+    return models.subword_labels(words.withColumn("n", F.floor((F.length("tok") + 3) / 4)), F.col("n")).select("sid", *long("j", "i", "label"))
 
 
 @query("p17_label_codes", "SELECT sid, i::BIGINT AS i, CASE tag WHEN 'O' THEN 0 WHEN 'B-MATH' THEN 1 ELSE 2 END::BIGINT AS code, tag AS back FROM bio2")

@@ -126,3 +126,17 @@ def test_broken_tags_inside_a_line_as_by_windows(spark):
     df = spark.createDataFrame(lines, "sid bigint, text string")
     slow = {r.sid for r in bio.violations(bio.punct_outside(bio.parse_tagged(df))).collect()}
     assert {r.sid for r in df.where(bio.breaks(F.col("text"))).collect()} == slow
+
+
+def test_subword_labels_sort_no_subwords(spark):
+    p = plan(QUERIES["p16_ignore_index"](spark, DATA))
+    assert "part" not in "".join(x for x in p.splitlines() if "Sort [" in x) and p.count("Sort [") == 1
+
+
+def test_subword_labels_in_the_order_of_place_and_part(spark):
+    rng = random.Random(6)
+    rows = [(sid, rng.randint(0, 5), 1, rng.randint(1, 4)) for sid in range(30) for _ in range(rng.randint(1, 9))]  # with several words at a place
+    x = models.subword_labels(spark.createDataFrame(rows, "sid bigint, i int, label int, n int"), F.col("n")).collect()
+    for sid in range(30):
+        expected = sorted((i, part) for s, i, _, n in rows if s == sid for part in range(n))
+        assert sorted((r.j, r.i, r.label) for r in x if r.sid == sid) == [(j, i, None if part else 1) for j, (i, part) in enumerate(expected)]

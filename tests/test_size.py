@@ -3,13 +3,14 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from spanspark import storage
-from spanspark.operators import align, bio, dependency, lexicon, models
+from spanspark.operators import align, bio, crf, dependency, lexicon, models
 from spanspark.plans.catalog import QUERIES
 from spanspark.plans.registry import flagged
 from spanspark.sources import readers
@@ -157,3 +158,13 @@ def test_subtree_sizes_by_brute_force():
 def test_subtree_sizes_shuffle_tokens_once(spark):
     p = plan(QUERIES["h3_subtree_sizes"](spark, DATA))
     assert "Join" not in p and p.count("Exchange") == 1
+
+
+def test_best_paths_of_many_sentences_at_once():
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        lengths = draw.integers(1, 12, draw.integers(1, 20))
+        own, moves = draw.integers(-2, 3, (lengths.sum(), 3)).astype(float), draw.integers(-2, 3, (4, 3)).astype(float)  # with ties
+        moves[[0, 3], 2] = -np.inf
+        expected = [k for part in np.split(own, np.cumsum(lengths)[:-1]) for k in models.viterbi(part, moves)]
+        assert crf.best_paths(own, lengths, moves).tolist() == expected
